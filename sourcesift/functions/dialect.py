@@ -8,6 +8,7 @@ Lookaround and backreferences are not portable and are expressed as match + post
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 _SPACES = (
@@ -17,12 +18,14 @@ _NOT_LINE_END = r"[^\n\r\x{2028}\x{2029}]"
 _WORD = "[A-Za-z0-9_]"
 
 
+_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+_OPENS_WORD = re.compile(r"\w|\\[dw]|\[A-Z|\(\?:[\w(]")
+
+
 def _java_word_edge(before: str, after: str) -> str:
-    """ASCII ``\\b`` as one cheap lookaround: it opens or closes the word next to it."""
+    """ASCII ``\\b``: one cheap lookbehind where it plainly opens a word, else the exact test."""
     opens = not before or before.endswith(("|", "(", "(?:", "(?i)"))
-    if opens:
-        return f"(?<={_WORD})" if after[:1] in "!+-&'\"" and after else f"(?<!{_WORD})"
-    return f"(?!{_WORD})"
+    return f"(?<!{_WORD})" if opens and _OPENS_WORD.match(after) else _EDGE
 
 
 def _respell(pattern: str, java: bool) -> str:

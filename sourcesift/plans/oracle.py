@@ -92,6 +92,9 @@ def scan_cte(rules: Sequence[Rule], name: str = "findings", source: str = "corpu
     def passes(r: Rule):
         tests = []
         for g in r.guards:
+            if g.on == "pair":
+                tests.append("v = g2")
+                continue
             target = {"value": "v", "match": "m", "g2": "g2"}.get(g.on, win(g.before, g.after))
             if g.last:
                 target = f"right({target}, {g.last})"
@@ -127,7 +130,7 @@ def scan_cte(rules: Sequence[Rule], name: str = "findings", source: str = "corpu
         f"{hits}, {name}_v AS (SELECT *, coalesce({by_rule(rules, value, 'm')}, '') AS v FROM {name}_h), "
         f"{name}_k AS (SELECT *, {full} AS vt, {by_rule(rules, context, chr(39) * 2)} AS context "
         f"FROM {name}_v WHERE {by_rule(rules, passes, 'true')}), "
-        f"{name}_f AS (SELECT *, row_number() OVER (PARTITION BY artifact_id, rule_id, "
+        f"{name}_f AS (SELECT *, row_number() OVER (PARTITION BY artifact_id, path, rule_id, "
         f"{by_rule(rules, key, 'CAST(pos AS VARCHAR)')} ORDER BY pos) AS rn FROM {name}_k), "
         f"{name} AS MATERIALIZED (SELECT artifact_id, path, rule_id, "
         f"{by_rule(rules, lambda r: sql_text(r.category), 'NULL')} AS category, {sev} AS severity, "

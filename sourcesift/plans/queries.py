@@ -1,32 +1,4 @@
-"""The query registry: name -> (Spark query, DuckDB statement of the same result)."""
+"""All registered queries."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from sourcesift.operators.matching import scan_rules
-from sourcesift.plans import oracle as o
-from sourcesift.plans.corpora import mixed_corpus
-from sourcesift.rules.packs import PACKS
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-FINDINGS = ["artifact_id", "path", "rule_id", "category", "severity", "value", "context", "pos", "line"]
-
-
-def add(name: str, query: Query, oracle: str | None = None) -> None:
-    QUERIES[name] = query
-    if oracle is not None:
-        ORACLES[name] = oracle
-
-
-def _scan(pack: str) -> Query:
-    return lambda spark, sf: scan_rules(mixed_corpus(spark, sf), PACKS[pack]).select(*FINDINGS)
-
-
-for _pack in list(PACKS):
-    add(f"scan_{_pack}", _scan(_pack), o.scan_sql(PACKS[_pack]))
+from sourcesift.plans import extracts, graphs, scans  # noqa: F401
+from sourcesift.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -138,14 +138,15 @@ RACE = [
        ("localStorage.getItem",), "Storage write after an awaited read", context=(125, 125),
        fmt="localStorage read→Promise→write"),
 ]
-# A counter is read from storage and then incremented within the next three statements; group 1
-# and group 2 must name the same variable, which is tested after the match.
-RACE_COUNTER = [
-    Rule(f"race-counter-{gap}", "high", "Race Condition",
-         r"(\w+)\s*=\s*(?:parseInt\s*\()?\s*localStorage\.getItem[^;]{0,100};\s*"
-         + r"[^;]{0,100};\s*" * gap
-         + r"(\w+)\s*(?:\+\+|\+=\s*1|\+\s*1)",
-         gate=("localStorage.getItem",), groups=2)
+# A counter is read from storage and incremented within the next three statements: one rule per
+# distance, and group 1 and group 2 must name the same variable.
+RACE += [
+    _r("race-counter", "Race Condition", "high",
+       r"(\w+)\s*=\s*(?:parseInt\s*\()?\s*localStorage\.getItem[^;]{0,100};\s*"
+       + r"[^;]{0,100};\s*" * gap
+       + r"(\w+)\s*(?:\+\+|\+=\s*1|\+\s*1)",
+       ("localStorage.getItem",), "Counter in storage without a lock", groups=2, value="g1",
+       fmt="Non-atomic counter: {v}", context=(125, 125), guards=(Guard("pair", "", True),))
     for gap in range(4)
 ]
 
