@@ -65,7 +65,9 @@ def _respell(pattern: str, java: bool) -> str:
 @lru_cache(maxsize=None)
 def java_regex(pattern: str) -> str:
     """The pattern as Spark's regexp functions read it."""
-    return _respell(pattern, java=True)
+    out = _respell(pattern, java=True)
+    # a repeated group at the very end may as well be possessive: same matches, no stack use
+    return out + "+" if out.endswith(")*") else out
 
 
 @lru_cache(maxsize=None)

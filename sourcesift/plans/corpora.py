@@ -60,6 +60,20 @@ def mixed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_corpus(spark, sf_dir).unionByName(text_corpus(spark, sf_dir))
 
 
+def stream_corpus(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """One artifact per event, stamped with the event's time; works on streams as well."""
+    n = len(FRAGMENTS)
+    fragments = spark.createDataFrame(list(enumerate(FRAGMENTS)), "frag_id int, body string")
+    joined = events.join(
+        F.broadcast(fragments), F.pmod(F.col("event_id") * 7 + F.col("user_id"), F.lit(n)) == F.col("frag_id")
+    )
+    return joined.select(
+        F.col("event_id").alias("artifact_id"),
+        F.concat(F.lit("events/"), F.col("event_id").cast("string"), F.lit(".js")).alias("path"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), F.col("body").alias("src"),
+    )
+
+
 _CODE = (
     "SELECT o_orderkey * 2 AS artifact_id, 'orders/' || CAST(o_orderkey AS VARCHAR) || '.js' AS path, "
     "replace("
@@ -74,6 +88,10 @@ _TEXT = (
     "SELECT doc_id * 2 + 1 AS artifact_id, 'documents/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, "
     "text AS src FROM documents"
 )
+_EVENTS = (
+    "SELECT event_id AS artifact_id, 'events/' || CAST(event_id AS VARCHAR) || '.js' AS path, f.body AS src "
+    f"FROM events JOIN frag f ON f.frag_id = (event_id * 7 + user_id) % {len(FRAGMENTS)}"
+)
 _FRAG = "frag(frag_id, body) AS (VALUES " + ", ".join(
     f"({i}, {sql_text(body)})" for i, body in enumerate(FRAGMENTS)
 ) + ")"
@@ -83,5 +101,5 @@ def corpus_sql(kind: str) -> str:
     """CTEs that end in ``corpus(artifact_id, path, src)``, without the leading WITH."""
     if kind == "text":
         return f"corpus AS MATERIALIZED ({_TEXT})"
-    body = _CODE if kind == "code" else f"{_CODE} UNION ALL {_TEXT}"
+    body = {"code": _CODE, "events": _EVENTS, "mixed": f"{_CODE} UNION ALL {_TEXT}"}[kind]
     return f"{_FRAG}, corpus AS MATERIALIZED ({body})"

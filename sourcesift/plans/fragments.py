@@ -135,7 +135,7 @@ FRAGMENTS = [
     'document.write(z); /* scan-ignore: all */ x = 1; // scan-ignore: storage-local, xss-write checked twice',
     '// scan-ignore-next-line: xss-write legacy page\ndocument.write(q@K@);',
     # modules and graphs
-    '[[11],{\n101:function(e,t,d){var c=d(2615);d(455);d(455);require("@angular/core");this.http.get("/x");},\n102:function(e,t,d){var f=require(101);d(77);s.emit("go@K@");s.on("done",f);},\n103:(e,t,d)=>{require("axios");path: "wallet", canActivate: [AuthGuard];fetch("/z");}}]',
+    '[[11],{\n101:function(e,t,d){var c=d(2615);d(455);d(455);require("@angular/core");this.http.get("/x");},\n102:function(e,t,d){var f=require(101);d(77);s.emit("go@K@");s.on("done",f);var q=location.hash;var w=q;el.innerHTML=w;},\n103:(e,t,d)=>{require("axios");path: "wallet", canActivate: [AuthGuard];fetch("/z");}}]',
     '[[12],{\n455:function(e,t,d){module.exports = core;' + "d(455);" * 55 + "},\n9417:function(e,t,d){" + "".join(f"d({2000 + i});" for i in range(24)) + "import \"rxjs/operators\"; exports.panel = 1;}}]",
     '[[13],{\n700:(Q,H,d)=>{// admin dashboard\nrequire("manage-users");d(700);},\n701:function(e,t,d){export default main; import("lazy"); export { a, b };router.navigate(["x"]);}}]',
     'self["webpackChunk"].push([[21],{31:function(e,t,d){d(32);d(32);require("moment");},32:(e,t,d)=>{path: "score-board", component: S; d(31);fetch("/h");}}])',
