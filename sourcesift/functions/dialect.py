@@ -14,6 +14,8 @@ from functools import lru_cache
 _SPACES = (
     r"\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 )
+# the same set as characters, for trimming
+SPACE_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _NOT_LINE_END = r"[^\n\r\x{2028}\x{2029}]"
 _WORD = "[A-Za-z0-9_]"
 

@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name under ``spark.checkpoint.dir``.
+
+    Only where the session names no such folder, as in local tests, is a temporary one made.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/{uuid.uuid4()}" if base else tempfile.mkdtemp(prefix="sourcesift-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder and go on from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is set,
-    as in local tests, a temporary one is made.
+    The rows survive the loss of executors, and later steps neither repeat the scan nor drag its
+    plan along.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-")
-        )
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -10,18 +10,22 @@ packs of many rules, where a call per node would dominate small jobs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcesift.functions.dialect import java_regex
+from sourcesift.functions.dialect import SPACE_CHARS, java_regex
 
 BLOCK = 4096
 _RUN = 256
 
 
 def quote(value: str) -> str:
-    """A Spark SQL string literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """A Spark SQL string literal.
+
+    ``${`` is written with an escaped dollar, or the parser would take it for a variable.
+    """
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("${", "\\u0024{")
+    return f"'{escaped}'"
 
 
 def rx(pattern: str) -> str:
@@ -94,7 +98,7 @@ def line_of(pos: str) -> str:
 
 def trim_all(text: str) -> str:
     """Strip every kind of white space, not only blanks."""
-    return f"regexp_replace({text}, {rx(r'^\s+|\s+$')}, '')"
+    return f"btrim({text}, {quote(SPACE_CHARS)})"
 
 
 def one_line(text: str) -> str:
@@ -104,3 +108,16 @@ def one_line(text: str) -> str:
 def matches(column: str, pattern: str) -> Column:
     """``rlike`` with a rule pattern."""
     return F.col(column).rlike(java_regex(pattern))
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table as literal rows of the plan, without a Python worker."""
+
+    def cell(v) -> str:
+        return "NULL" if v is None else quote(v) if isinstance(v, str) else str(v)
+
+    columns = [c.strip().split() for c in schema.split(",")]
+    structs = ", ".join(
+        "struct(" + ", ".join(f"cast({cell(v)} AS {t}) AS {n}" for v, (n, t) in zip(row, columns)) + ")" for row in rows
+    )
+    return spark.range(1).selectExpr(f"inline(array({structs}))")

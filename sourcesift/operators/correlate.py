@@ -11,6 +11,8 @@ from sourcesift.operators.extract import entry_points
 from sourcesift.operators.matching import explode_matches
 from sourcesift.rules import taint as t
 
+_SALTS = 32
+
 
 def band_join(left: DataFrame, right: DataFrame, before: int, after: int, how: str = "inner") -> DataFrame:
     """Pairs of one artifact with ``left.pos - before <= right.r_pos <= left.pos + after``.
@@ -109,7 +111,9 @@ def artifact_links(findings: DataFrame) -> DataFrame:
     """
     once = findings.groupBy("rule_id", "value", "artifact_id").agg(F.count("*").alias("uses"))
     hubs = once.groupBy("rule_id", "value").agg(F.min("artifact_id").alias("hub_id"), F.count("*").alias("n"))
-    hubs = hubs.filter("n > 1").drop("n")
-    return once.join(hubs, ["rule_id", "value"]).filter("artifact_id != hub_id").selectExpr(
+    # a value may sit in a third of all artifacts, so its rows are salted over several tasks
+    hubs = hubs.filter("n > 1").selectExpr("rule_id", "value", "hub_id", f"explode(sequence(0, {_SALTS - 1})) AS salt")
+    salted = once.withColumn("salt", F.pmod(F.xxhash64("artifact_id"), F.lit(_SALTS)).cast("int"))
+    return salted.join(hubs, ["rule_id", "value", "salt"]).filter("artifact_id != hub_id").selectExpr(
         "rule_id", "value", "hub_id", "artifact_id"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcesift.functions.text import one_line, quote, rx, trim_all
+from sourcesift.functions.text import local_table, one_line, quote, rx, trim_all
 from sourcesift.operators.matching import explode_matches
 from sourcesift.operators.normalise import decode_literals
 from sourcesift.operators.surface import first_occurrence
@@ -190,7 +190,7 @@ def vulnerable_dependencies(versions: DataFrame) -> DataFrame:
     """Versions below the first fixed one; the advisory list is a fixed ten rows and broadcast."""
     spark = versions.sparkSession
     rows = [(p, *fixed, cve, sev) for p, _, fixed, cve, sev in x.VULNERABLE]
-    listed = spark.createDataFrame(
+    listed = local_table(spark, 
         rows, "package string, fix_major int, fix_minor int, fix_patch int, cve string, severity string"
     )
 

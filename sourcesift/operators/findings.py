@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sourcesift.functions.text import quote, rx
+from sourcesift.functions.text import local_table, quote, rx
 from sourcesift.operators import graph, surface
 from sourcesift.operators.extract import dependency_versions, vulnerable_dependencies
 from sourcesift.operators.matching import explode_matches, scan_rules, severity_rank, severity_weight
@@ -80,28 +80,29 @@ def suppression_rows(df: DataFrame, marker: str = "scan-ignore") -> DataFrame:
 
 def suppress_findings(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
     """Findings that no comment on their line suppresses."""
-    hidden = suppressions.select("artifact_id", "line", F.col("rule_id").alias("hidden_rule"))
-    f, s = findings.alias("f"), hidden.alias("s")
-    on = (
-        (F.col("f.artifact_id") == F.col("s.artifact_id"))
-        & (F.col("f.line") == F.col("s.line"))
-        & ((F.col("s.hidden_rule") == "all") | (F.col("s.hidden_rule") == F.lower("f.rule_id")))
-    )
-    return f.join(s, on, "left_anti")
+    # two equi anti joins: an OR in one join would compare every pair on a minified line
+    everything = suppressions.filter("rule_id = 'all'").select("artifact_id", "line")
+    named = suppressions.selectExpr("artifact_id", "line", "rule_id AS hidden_rule")
+    kept = findings.join(everything, ["artifact_id", "line"], "left_anti")
+    kept = kept.withColumn("hidden_rule", F.lower("rule_id"))
+    return kept.join(named, ["artifact_id", "line", "hidden_rule"], "left_anti").select(*findings.columns)
 
 
 def suppressed_findings(findings: DataFrame, suppressions: DataFrame, marker: str = "scan-ignore") -> DataFrame:
     """The suppressed ones, with the reason; ``all`` speaks before a named rule."""
-    hidden = suppressions.select("artifact_id", "line", F.col("rule_id").alias("hidden_rule"), "reason")
-    both = findings.join(hidden, ["artifact_id", "line"]).filter("hidden_rule = 'all' OR hidden_rule = lower(rule_id)")
-    given = (
-        f"coalesce(nullif(reason, ''), CASE WHEN hidden_rule = 'all' THEN {quote('suppressed by ' + marker + ': all')} "
-        f"ELSE {quote('suppressed by ' + marker + ' comment')} END)"
+    keys = ["artifact_id", "line"]
+    everything = suppressions.filter("rule_id = 'all'").selectExpr(
+        *keys, f"coalesce(nullif(reason, ''), {quote('suppressed by ' + marker + ': all')}) AS reason"
     )
-    both = both.selectExpr("artifact_id", "rule_id", "pos", "line", "substring(value, 1, 60) AS value", "hidden_rule = 'all' AS whole", f"{given} AS reason")
-    return both.groupBy("artifact_id", "rule_id", "pos", "line", "value").agg(
-        F.max(F.struct("whole", "reason")).getField("reason").alias("reason")
+    named = suppressions.selectExpr(
+        *keys, "rule_id AS hidden_rule",
+        f"coalesce(nullif(reason, ''), {quote('suppressed by ' + marker + ' comment')}) AS named_reason",
     )
+    rows = findings.selectExpr(*keys, "rule_id", "pos", "substring(value, 1, 60) AS value", "lower(rule_id) AS hidden_rule")
+    both = rows.join(everything, keys, "left").join(named, [*keys, "hidden_rule"], "left")
+    return both.selectExpr(
+        "artifact_id", "rule_id", "pos", "line", "value", "coalesce(reason, named_reason) AS reason"
+    ).filter("reason IS NOT NULL")
 
 
 def merge_config(base: dict | None, override: dict) -> dict:
@@ -127,7 +128,7 @@ def apply_rule_config(findings: DataFrame, config: dict) -> DataFrame:
     spark = findings.sparkSession
     names = sorted({*config.get("rules", {}), *config.get("severityOverrides", {})})
     rows = [(n, config.get("rules", {}).get(n), config.get("severityOverrides", {}).get(n)) for n in names]
-    table = spark.createDataFrame(rows, "rule_id string, level string, override string")
+    table = local_table(spark, rows, "rule_id string, level string, override string")
     out = findings.join(F.broadcast(table), "rule_id", "left").filter("coalesce(level, '') != 'off'")
     base = "coalesce(override, severity)"
     severity = (
@@ -144,7 +145,7 @@ def apply_rule_config(findings: DataFrame, config: dict) -> DataFrame:
 def severity_counts(findings: DataFrame) -> DataFrame:
     """Findings per severity, zeros included."""
     spark = findings.sparkSession
-    scale = spark.createDataFrame([(s, r) for s, (r, _) in SEVERITIES.items()], "severity string, rank int")
+    scale = local_table(spark, [(s, r) for s, (r, _) in SEVERITIES.items()], "severity string, rank int")
     counts = findings.groupBy("severity").agg(F.count("*").alias("n"))
     return scale.join(F.broadcast(counts), "severity", "left").selectExpr("severity", "rank", "coalesce(n, 0) AS findings")
 

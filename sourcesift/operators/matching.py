@@ -81,15 +81,23 @@ def explode_matches(
     rules: Sequence[Rule],
     ids: Sequence[str] = ID_COLUMNS,
     text: str = "src",
-    windows: dict[str, tuple[int, int]] | None = None,
+    windows: dict[str, tuple] | None = None,
     line: bool = False,
 ) -> DataFrame:
-    """One row per match: ``rule_id, m, g1..gn, pos`` plus the asked windows and line."""
+    """One row per match: ``rule_id, m, g1..gn, pos`` plus the asked windows and line.
+
+    A window is (before, after), or (before, after, rule ids) to cut it for those rules only.
+    """
     n_groups = max(r.groups for r in rules)
     hits = match_arrays(df, rules, ids, text)
     groups = range(1, n_groups + 1)
     fields = ["h.g0 AS m", *[f"coalesce(h.g{g}, '') AS g{g}" for g in groups], "h.pos AS pos"]
-    fields += [f"{window('h.pos', b, a)} AS {n}" for n, (b, a) in (windows or {}).items()]
+    for name, (before, after, *only) in (windows or {}).items():
+        cut = window("h.pos", before, after)
+        if only:
+            ix = [str(i) for i, r in enumerate(rules) if r.rule_id in only[0]]
+            cut = f"CASE WHEN ix IN ({', '.join(ix)}) THEN {cut} END"
+        fields.append(f"{cut} AS {name}")
     if line:
         fields.append(f"{line_of('h.pos')} AS line")
     zipped = f"arrays_zip({', '.join(f'g{g}' for g in range(n_groups + 1))}, pos)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcesift.functions.text import quote, rx
+from sourcesift.functions.text import local_table, quote, rx
 from sourcesift.operators.matching import explode_matches
 from sourcesift.rules import extraction as x
 
@@ -97,13 +97,13 @@ def literals_as_artifacts(literals: DataFrame) -> DataFrame:
 def module_names(spark: SparkSession) -> DataFrame:
     """The module-id dictionary (a fixed few dozen rows)."""
     rows = [(str(k), v) for k, v in x.MODULE_NAMES.items()]
-    return spark.createDataFrame(rows, "module_id string, name string")
+    return local_table(spark, rows, "module_id string, name string")
 
 
 def symbols(spark: SparkSession) -> DataFrame:
     """The default short-name table; any table with these columns can take its place."""
     rows = [(f, s, full) for f, names in x.SYMBOLS.items() for s, full in names.items()]
-    return spark.createDataFrame(rows, "framework string, short string, full_name string")
+    return local_table(spark, rows, "framework string, short string, full_name string")
 
 
 def resolve_module_aliases(df: DataFrame, names: DataFrame, text: str = "src") -> DataFrame:

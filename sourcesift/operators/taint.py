@@ -24,11 +24,49 @@ def _rank(rules, column: str) -> str:
     return f"CASE {column} {whens} END"
 
 
-def taint_seeds(df: DataFrame, keys=KEYS) -> DataFrame:
-    """Variables assigned from a source in the same statement; the last source of a name wins."""
-    hits = explode_matches(df, t.SOURCES, ids=keys, windows={"w": (300, 0)})
+_SOURCE_IDS = {r.rule_id for r in t.SOURCES}
+_ASSIGNMENT_IDS = {r.rule_id for r in t.ASSIGNMENTS}
+_SINK_IDS = {r.rule_id for r in t.SINKS}
+
+
+def _one_of(ids: set[str]) -> str:
+    return f"rule_id IN ({', '.join(quote(i) for i in sorted(ids))})"
+
+
+def _source_hits(df: DataFrame, keys) -> DataFrame:
+    return explode_matches(df, t.SOURCES, ids=keys, windows={"w": (300, 0)})
+
+
+def _assignment_hits(df: DataFrame, keys) -> DataFrame:
+    return explode_matches(df, t.ASSIGNMENTS, ids=keys, windows={"near": (20, 0)})
+
+
+def _sink_hits(df: DataFrame, keys) -> DataFrame:
+    return explode_matches(df, t.SINKS, ids=keys, windows={"b": (100, 0), "a": (0, 250)}, line=True)
+
+
+def taint_hits(df: DataFrame, keys=KEYS) -> DataFrame:
+    """Sources, assignments and sinks of the artifacts that hold any source, in one pass.
+
+    No flow can start elsewhere, so the other texts are left after a cheap test. The narrow match
+    rows are written once, as every later step reads them.
+    """
+    starts = " OR ".join(
+        f"(({' OR '.join(f'contains(src, {quote(g)})' for g in r.gate)}) AND src RLIKE {rx(r.pattern)})" for r in t.SOURCES
+    )
+    windows = {
+        "w": (300, 0, _SOURCE_IDS), "near": (20, 0, _ASSIGNMENT_IDS),
+        "b": (100, 0, _SINK_IDS), "a": (0, 250, _SINK_IDS),
+    }
+    rules = [*t.SOURCES, *t.ASSIGNMENTS, *t.SINKS]
+    return cut_lineage(explode_matches(df.filter(F.expr(starts)), rules, ids=keys, windows=windows, line=True))
+
+
+def _seeds(hits: DataFrame, keys) -> DataFrame:
     statement = f"regexp_extract(w, {rx(t.STATEMENT)}, 0)"
-    rows = hits.selectExpr(*keys, "rule_id AS source_id", f"{_rank(t.SOURCES, 'rule_id')} AS turn", "pos", f"{statement} AS statement")
+    rows = hits.filter(_one_of(_SOURCE_IDS)).selectExpr(
+        *keys, "rule_id AS source_id", f"{_rank(t.SOURCES, 'rule_id')} AS turn", "pos", f"{statement} AS statement"
+    )
     again = f"regexp_extract(statement, {rx(t.REASSIGNED)}, 1)"
     names = (
         f"array_distinct(filter(array(regexp_extract(statement, {rx(t.DECLARED)}, 1), "
@@ -39,15 +77,24 @@ def taint_seeds(df: DataFrame, keys=KEYS) -> DataFrame:
     return last.selectExpr(*keys, "var", "last.source_id AS source_id", "last.pos AS pos")
 
 
-def assignments(df: DataFrame, keys=KEYS) -> DataFrame:
-    """(variable, right-hand side) of declarations, assignments and member assignments."""
-    hits = explode_matches(df, t.ASSIGNMENTS, ids=keys, windows={"w": (20, 0)})
-    plain = f"(g1 RLIKE {rx(t.KEYWORD)} OR w RLIKE {rx(t.CONDITION)})"
+def taint_seeds(df: DataFrame, keys=KEYS) -> DataFrame:
+    """Variables assigned from a source in the same statement; the last source of a name wins."""
+    return _seeds(_source_hits(df, keys), keys)
+
+
+def _assigned(hits: DataFrame, keys) -> DataFrame:
+    plain = f"(g1 RLIKE {rx(t.KEYWORD)} OR near RLIKE {rx(t.CONDITION)})"
+    hits = hits.filter(_one_of(_ASSIGNMENT_IDS))
     return hits.filter(f"rule_id != 'reassignment' OR NOT {plain}").selectExpr(
         *keys, "rule_id AS kind", "g1 AS var", "trim(g2) AS rhs", "pos"
     )
 
 
+def assignments(df: DataFrame, keys=KEYS) -> DataFrame:
+    """(variable, right-hand side) of declarations, assignments and member assignments."""
+    return _assigned(_assignment_hits(df, keys), keys)
+
+
 def _names_in(text: str) -> str:
     """Names and object.member pairs of a text, each once."""
     chains = f"transform(regexp_extract_all({text}, {rx(t.NAME_CHAIN)}, 0), n -> split(n, '[.]'))"
@@ -85,52 +132,68 @@ def propagate_taint(seeds: DataFrame, edges: DataFrame, rounds: int = 5, keys=KE
     return reached
 
 
-def taint_sinks_reached(df: DataFrame, tainted: DataFrame, keys=KEYS) -> DataFrame:
-    """Sinks with a tainted name within 100 characters before or 250 after them."""
-    hits = explode_matches(df, t.SINKS, ids=keys, windows={"b": (100, 0), "a": (0, 250)}, line=True)
+_FLOW = (
+    f"{_lookup(t.SINKS, 'severity', 'sink_id')} AS severity", "{value} AS value", "source_id", "sink_id", "{var} AS var",
+    "{hop} AS hop", "context", f"{_lookup(t.SINKS, 'cwe', 'sink_id')} AS cwe", "pos", "line",
+)
+
+
+def _flow(rows: DataFrame, keys, rule_id: str, value: str, var: str, hop: str) -> DataFrame:
+    columns = [c.format(value=value, var=var, hop=hop) if c[0] == "{" else c for c in _FLOW]
+    return rows.selectExpr(*keys, f"'{rule_id}' AS rule_id", *columns)
+
+
+def _reached(hits: DataFrame, tainted: DataFrame, keys) -> DataFrame:
     names = f"array_union({_names_in('a')}, {_names_in('b')})"
-    rows = hits.selectExpr(
+    rows = hits.filter(_one_of(_SINK_IDS)).selectExpr(
         *keys, "rule_id AS sink_id", "pos", "line", f"substring({one_line('a')}, 1, 120) AS context", f"explode({names}) AS var"
     )
-    flows = rows.join(tainted, [*keys, "var"])
-    return flows.selectExpr(
-        *keys, "'taint-flow' AS rule_id", f"{_lookup(t.SINKS, 'severity', 'sink_id')} AS severity",
-        "concat(sink_id, ' ← \"', var, '\" (src:', source_id, ')') AS value", "source_id", "sink_id", "var",
-        "hop", "context", f"{_lookup(t.SINKS, 'cwe', 'sink_id')} AS cwe", "pos", "line",
-    )
+    value = "concat(sink_id, ' ← \"', var, '\" (src:', source_id, ')')"
+    return _flow(rows.join(tainted, [*keys, "var"]), keys, "taint-flow", value, "var", "hop")
 
 
-def taint_direct(df: DataFrame, tainted: DataFrame | None = None, keys=KEYS) -> DataFrame:
-    """Sinks with a source itself in the window; read off the window text, so no join is needed.
+def taint_sinks_reached(df: DataFrame, tainted: DataFrame, keys=KEYS) -> DataFrame:
+    """Sinks with a tainted name within 100 characters before or 250 after them."""
+    return _reached(_sink_hits(df, keys), tainted, keys)
 
-    With ``tainted``, only artifacts that taint some variable count.
-    """
-    hits = explode_matches(df, t.SINKS, ids=keys, windows={"b": (100, 0), "a": (0, 250)}, line=True)
+
+def _direct(hits: DataFrame, tainted: DataFrame | None, keys) -> DataFrame:
     seen = ", ".join(
         f"CASE WHEN a RLIKE {rx(r.pattern)} OR b RLIKE {rx(r.pattern)} THEN {quote(r.rule_id)} END" for r in t.SOURCES
     )
-    rows = hits.selectExpr(
+    rows = hits.filter(_one_of(_SINK_IDS)).selectExpr(
         *keys, "rule_id AS sink_id", "pos", "line", f"substring({one_line('a')}, 1, 120) AS context",
         f"explode(array_compact(array({seen}))) AS source_id",
     )
     if tainted is not None:
         rows = rows.join(tainted.select(*keys).distinct(), list(keys), "left_semi")
-    return rows.selectExpr(
-        *keys, "'taint-flow-direct' AS rule_id", f"{_lookup(t.SINKS, 'severity', 'sink_id')} AS severity",
-        "concat(source_id, ' → ', sink_id, ' (direct)') AS value", "source_id", "sink_id", "'' AS var", "0 AS hop",
-        "context", f"{_lookup(t.SINKS, 'cwe', 'sink_id')} AS cwe", "pos", "line",
-    )
+    return _flow(rows, keys, "taint-flow-direct", "concat(source_id, ' → ', sink_id, ' (direct)')", "''", "0")
+
+
+def taint_direct(df: DataFrame, tainted: DataFrame | None = None, keys=KEYS) -> DataFrame:
+    """Sinks with a source itself in the window; read off the window text, so no join is needed.
+
+    With ``tainted``, only artifacts that taint some variable count.
+    """
+    return _direct(_sink_hits(df, keys), tainted, keys)
+
+
+def _closure(hits: DataFrame, rounds: int, keys) -> DataFrame:
+    seeds = cut_lineage(_seeds(hits, keys))
+    # assignments matter only where something is tainted at all
+    assigned = _assigned(hits, keys).join(seeds.select(*keys).distinct(), list(keys), "left_semi")
+    return propagate_taint(seeds, assignment_edges(assigned, keys), rounds, keys)
 
 
 def taint_closure(df: DataFrame, rounds: int = 5, keys=KEYS) -> DataFrame:
-    edges = assignment_edges(assignments(df, keys), keys)
-    return propagate_taint(taint_seeds(df, keys), edges, rounds, keys)
+    return _closure(taint_hits(df, keys), rounds, keys)
 
 
 def taint_flows(df: DataFrame, keys=KEYS) -> DataFrame:
     """Flows through variables and direct ones."""
-    tainted = taint_closure(df, keys=keys)
-    return taint_sinks_reached(df, tainted, keys).unionByName(taint_direct(df, tainted, keys))
+    hits = taint_hits(df, keys)
+    tainted = _closure(hits, 5, keys)
+    return _reached(hits, tainted, keys).unionByName(_direct(hits, tainted, keys))
 
 
 def taint_by_module(modules: DataFrame) -> DataFrame:

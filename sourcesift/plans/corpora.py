@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcesift.functions.dialect import sql_text
+from sourcesift.functions.text import local_table
 from sourcesift.plans.fragments import FRAGMENTS
 from sourcesift.sources.corpus import read_table_corpus
 
@@ -33,7 +34,7 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One artifact per order; the fragment table is a fixed handful of rows, so it is broadcast."""
     n = len(FRAGMENTS)
     out = spread(table(spark, sf_dir, "orders").select("o_orderkey"))
-    fragments = spark.createDataFrame(list(enumerate(FRAGMENTS)), "frag_id int, body string")
+    fragments = local_table(spark, list(enumerate(FRAGMENTS)), "frag_id int, body string")
     for i, (a, b) in enumerate(PICKS):
         part = fragments.select(F.col("frag_id").alias(f"f{i}"), F.col("body").alias(f"b{i}"))
         key = F.pmod(F.col("o_orderkey") * a + b, F.lit(n))
@@ -63,7 +64,7 @@ def mixed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_corpus(spark: SparkSession, events: DataFrame) -> DataFrame:
     """One artifact per event, stamped with the event's time; works on streams as well."""
     n = len(FRAGMENTS)
-    fragments = spark.createDataFrame(list(enumerate(FRAGMENTS)), "frag_id int, body string")
+    fragments = local_table(spark, list(enumerate(FRAGMENTS)), "frag_id int, body string")
     joined = events.join(
         F.broadcast(fragments), F.pmod(F.col("event_id") * 7 + F.col("user_id"), F.lit(n)) == F.col("frag_id")
     )

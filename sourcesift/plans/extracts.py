@@ -19,7 +19,7 @@ from sourcesift.sources.sourcemaps import recover_sources
 
 
 def cnt(pattern: str, text: str = "src") -> str:
-    return f"len(regexp_extract_all({text}, {o.rx(pattern)}, 0))"
+    return f"CAST(len(regexp_extract_all({text}, {o.rx(pattern)}, 0)) AS INTEGER)"
 
 
 def found(pattern: str, text: str = "src") -> str:

@@ -60,6 +60,9 @@ FRAGMENTS = [
     'if (file.type.startsWith("image/") && file.name.endsWith(".png") && file.size > 5 * 1024) upload(file);',
     'box.size > 10',
     '//# sourceMappingURL=app@K@.js.map\nload("x.map") ; // source-map',
+    'sql = "select a from t where id=" + key@K@; h = md5(data@K@);',
+    'location.href = target@K@;' + " " * 130,
+    'sid = Math.random().toString(36) + "token@K@"',
     # dynamic code, business logic, sockets
     'setTimeout("tick(@K@)", 10); setInterval(poll, 100); setTimeout(function () { x(); }, 5); setTimeout(() => y(), 6);',
     '(0, eval)("x"); execScript("y"); WebAssembly.compile(bytes@K@);',

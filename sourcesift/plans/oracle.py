@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from sourcesift.functions.dialect import re2_regex, sql_text
+from sourcesift.functions.dialect import SPACE_CHARS, re2_regex, sql_text
 from sourcesift.plans.corpora import corpus_sql
 from sourcesift.rules.model import Rule
 
@@ -62,7 +62,7 @@ def line(pos: str = "pos", text: str = "src") -> str:
 
 
 def trim_all(x: str) -> str:
-    return f"regexp_replace({x}, {rx(r'^\s+|\s+$')}, '', 'g')"
+    return f"trim({x}, {sql_text(SPACE_CHARS)})"
 
 
 def one_line(x: str) -> str:

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from sourcesift.functions.dialect import sql_text
+from sourcesift.functions.lineage import shared_folder
 from sourcesift.operators import extract as e
 from sourcesift.operators import findings as op
 from sourcesift.operators import surface
-from sourcesift.operators.matching import scan_rules
+from sourcesift.operators.matching import order_findings, scan_rules, severity_rank
 from sourcesift.plans import oracle as o
-from sourcesift.plans.corpora import code_corpus, mixed_corpus, stream_corpus, table, text_corpus
+from sourcesift.plans.corpora import mixed_corpus, stream_corpus, table
 from sourcesift.plans.extracts import DEPS_CTE, ENDPOINT_CTE, HIDDEN_CTE, UNGUARDED_CTE, _FIXES, _V, mixed
 from sourcesift.plans.flows import FALLBACK, TAINT
 from sourcesift.plans.graphs import CHUNK_CTE, DEGREE_CTE, EDGES_CTE, MODULES_CTE, hot_cte
@@ -93,6 +92,14 @@ add(
     FROM joined WHERE coalesce(level, '') <> 'off' AND rule_id <> 'pii-email-field' AND NOT (path LIKE 'documents/1%.txt')""",
 )
 
+add(
+    "order_findings",
+    lambda spark, sf: order_findings(main_findings(spark, sf)).selectExpr(
+        f"{severity_rank()} AS rank", "severity", "artifact_id", "pos", "rule_id"
+    ),
+    mixed(MAIN_CTE) + f" SELECT {RANK} AS rank, severity, artifact_id, pos, rule_id FROM findings ORDER BY 1, 3, 4, 5",
+)
+
 # --- counts and scores -----------------------------------------------------------------------
 _SCALE = ", ".join(f"('{s}', {r})" for s, (r, _) in SEVERITIES.items())
 add(
@@ -267,7 +274,7 @@ def _events_stream(spark, sf):
 
 def _drain(spark, df, schema):
     """Run a stream over what is there and read back what it wrote."""
-    root = tempfile.mkdtemp(prefix="stream-")
+    root = shared_folder(spark)
     streaming.append_batches(df, f"{root}/rows", f"{root}/checkpoint").awaitTermination()
     return spark.read.schema(schema).parquet(f"{root}/rows/*")
 

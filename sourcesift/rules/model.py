@@ -7,6 +7,8 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sourcesift.functions.text import local_table
+
 # Severity -> (rank, score weight).
 SEVERITIES = {
     "critical": (0, 10),
@@ -68,4 +70,4 @@ def rules_table(spark: SparkSession, pack: str, rules: list[Rule]) -> DataFrame:
     """The pack as rows (pattern, gates and guards as text), for inspection or export."""
     names = [f.name for f in fields(Rule)]
     rows = [(pack, *[str(getattr(r, n)) for n in names]) for r in rules]
-    return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in ["pack", *names]))
+    return local_table(spark, rows, ", ".join(f"`{n}` string" for n in ["pack", *names]))
