@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sourcesift.llm import decontamination, mixing, sharding, token_counts, toxicity, warc
+from sourcesift.llm import decontamination, embedding_dedup, mixing, ngram_jaccard, sharding, substring_dedup, suffix_dedup, token_counts, toxicity, warc
 from sourcesift.llm.storage import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +19,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_words(read(spark, sf_dir, "documents"), window=35).drop("kept_text")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
@@ -47,5 +54,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read(spark, sf_dir, "pages")).drop("payload")
 
 
-for _query in (op3_token_counts, op4_mixing, op5_sharding, op6_decontamination, op7_toxicity, op8_warc):
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.near_duplicate_groups(read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_bytes(read(spark, sf_dir, "documents"), window=200).drop("kept")
+
+
+for _query in (op1_embedding_dedup, op2_substring_dedup, op3_token_counts, op4_mixing, op5_sharding, op6_decontamination, op7_toxicity, op8_warc, op9_ngram_jaccard, op10_suffix_dedup):
     QUERIES[_query.__name__] = _query

@@ -19,17 +19,21 @@ from sourcesift.llm import textwords as tw
 #: Everything ASCII but letters and digits separates words.
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
 BITS = 17
+#: Besides whole words, their first bytes are features: stems meet words not seen in training.
+STEM = 4
 #: (category, SQL over the label table), in the order of the chain.
 CATEGORIES = (("low_quality", "1 - quality"), ("toxic", "toxic"))
 
 
 def word_features(texts: pa.Array, bits: int = BITS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Per chunk of rows: first row, end row, and the distinct (row in chunk, bucket) pairs of words."""
+    """Per chunk of rows: first row, end row, and the distinct (row in chunk, bucket) pairs of words and stems."""
     mask = tw.table(SEPARATORS)
     for row, end, data, at in tw.chunks(texts):
         s, e, words = tw.word_bounds(data, at, mask)
-        bucket = (tw.word_hashes(data, s, e, tw.LOWER) >> np.uint64(64 - bits)).astype(np.int64)
-        pairs = np.unique(tw.row_of(words) << bits | bucket)
+        whole = tw.word_hashes(data, s, e, tw.LOWER)
+        stem = tw.splitmix(tw.word_hashes(data, s, np.minimum(e, s + STEM), tw.LOWER))
+        rows = tw.row_of(words) << bits
+        pairs = np.unique(np.concatenate([rows | (h >> np.uint64(64 - bits)).astype(np.int64) for h in (whole, stem)]))
         yield row, end, pairs >> bits, pairs & ((1 << bits) - 1)
 
 
@@ -37,23 +41,29 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, steps: int = 120, l2: float = 1e-4) -> np.ndarray:
+def fit_linear(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, steps: int = 100, l2: float = 1e-3, least: int = 3) -> np.ndarray:
     """Logistic regression on binary sparse features plus dense ``extra`` columns; bias first.
 
-    Full-batch Adam, deterministic. Returns [bias, extras…, word weights…].
+    Words are scaled by their smoothed log ratio between the classes, those in fewer than ``least`` rows
+    by 0, so that rare words are not learnt by heart. Full-batch Adam, deterministic. Returns
+    [bias, extras…, word weights…].
     """
     k, n = extra.shape[1], max(1, len(y))
+    yes, no = (np.bincount(cols, side[rows], minlength=width) for side in (y, 1 - y))
+    ratio = np.log((yes + 1) / (y.sum() + 2)) - np.log((no + 1) / ((1 - y).sum() + 2))
+    ratio *= yes + no >= least
     w = np.zeros(1 + k + width)
     first, second = np.zeros_like(w), np.zeros_like(w)
     base = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
     w[0] = np.log(base / (1 - base))
     for t in range(1, steps + 1):
-        z = w[0] + extra @ w[1 : 1 + k] + np.bincount(rows, w[1 + k :][cols], minlength=len(y))
+        z = w[0] + extra @ w[1 : 1 + k] + np.bincount(rows, (w[1 + k :] * ratio)[cols], minlength=len(y))
         error = (_sigmoid(z) - y) / n
-        grad = np.concatenate([[error.sum()], extra.T @ error, np.bincount(cols, error[rows], minlength=width)])
+        grad = np.concatenate([[error.sum()], extra.T @ error, np.bincount(cols, error[rows], minlength=width) * ratio])
         grad[1:] += l2 * w[1:]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         w -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    w[1 + k :] *= ratio
     return w
 
 
