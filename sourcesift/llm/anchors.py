@@ -30,6 +30,11 @@ class Units:
     window: int
     gram: int
 
+    @property
+    def chunk(self) -> int:
+        """Bytes read together; every byte is a unit of 8 bytes in several arrays."""
+        return tw.CHUNK_BYTES if self.words else tw.CHUNK_BYTES >> 2
+
     def read(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of a chunk's units, and n+1 offsets of its rows in units."""
         if not self.words:
@@ -81,14 +86,14 @@ def find_anchors(units: np.ndarray, at: np.ndarray, kind: Units) -> tuple[np.nda
 def candidate_windows(docs: DataFrame, kind: Units) -> tuple[DataFrame, DataFrame]:
     """(known, open): anchors whose windows are all repeated, and those whose windows must be compared.
 
-    Both have id, th, lo, hi (window starts within the text); known also has ref_doc and ref_lo, one
+    Both have id, th, lo, hi (window starts within the text); known also has ref_doc, a text with an
     equal context. open also has key, a (the anchor's place), weight (2 stands for any larger number of
     equal contexts, of which one is here) and others, the number of different contexts of its anchor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, at in tw.chunks(batch.column("text")):
+            for first, end, data, at in tw.chunks(batch.column("text"), kind.chunk):
                 row, a, lo, hi, key, context = find_anchors(*kind.read(data, at), kind)
                 take = pa.array(row + first)
                 longs = [pa.array(x.view(np.int64)) for x in (key, context)]
@@ -97,15 +102,15 @@ def candidate_windows(docs: DataFrame, kind: Units) -> tuple[DataFrame, DataFram
 
     every = stored(docs.select("id", "th", "text").mapInArrow(run, "id long, th long, key long, context long, a int, lo int, hi int"))
     again = every.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
-    every = stored(every.join(again, "key"))
+    every = stored(every.join(again, "key"), every)
     contexts = every.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "lo")).alias("one"))
     contexts = stored(contexts)
     kinds = contexts.groupBy("key").agg(F.count("*").alias("others"))
-    contexts = contexts.join(kinds, "key")
-    marked = every.join(contexts, ["key", "context"])
+    marked = every.join(contexts.join(kinds, "key"), ["key", "context"])
     mine = F.struct("id", "th", "lo").eqNullSafe(F.col("one"))
-    marked = stored(marked.select("id", "th", "key", "a", "lo", "hi", "n", "others", mine.alias("mine"), F.col("one.id").alias("ref_doc"), F.col("one.lo").alias("ref_lo")))
-    known = marked.filter("n > 1").select("id", "th", "lo", "hi", "ref_doc", "ref_lo")
+    marked = marked.select("id", "th", "key", "a", "lo", "hi", "n", "others", mine.alias("mine"), F.col("one.id").alias("ref_doc"))
+    marked = stored(marked, every, contexts)
+    known = marked.filter("n > 1").select("id", "th", "lo", "hi", "ref_doc")
     left = marked.filter("others > 1 AND (n = 1 OR mine)").select("id", "th", "key", "a", "lo", "hi", F.least("n", F.lit(2)).cast("int").alias("weight"), "others")
     return known, left
 
@@ -126,7 +131,7 @@ def window_rows(places: DataFrame, docs: DataFrame, kind: Units) -> DataFrame:
             flat, cuts = lists.flatten(), np.diff(lists.offsets.to_numpy())
             lo, hi, weight = (flat.field(f).to_numpy() for f in ("lo", "hi", "weight"))
             owner = np.repeat(np.arange(batch.num_rows), cuts)
-            for first, end, data, at in tw.chunks(batch.column("text")):
+            for first, end, data, at in tw.chunks(batch.column("text"), kind.chunk):
                 units, offsets = kind.read(data, at)
                 if len(units) < kind.window:
                     continue
@@ -147,9 +152,8 @@ def window_rows(places: DataFrame, docs: DataFrame, kind: Units) -> DataFrame:
 
 
 def repeated_windows(windows: DataFrame) -> DataFrame:
-    """(id, th, lo, hi, ref_doc, ref_lo) of the windows with equals; lo = hi is the window's start."""
-    place = F.struct("id", "th", "p")
-    index = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("times"), F.min(place).alias("low"), F.max(place).alias("high")).filter("times > 1")
+    """(id, th, lo, hi, ref_doc) of the windows with equals; lo = hi is the window's start, ref_doc a text that has it."""
+    index = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("times"), F.min("id").alias("low"), F.max("id").alias("high")).filter("times > 1")
     found = windows.filter("weight = 1").join(index, ["w1", "w2"])
-    ref = F.when(place.eqNullSafe(F.col("low")), F.col("high")).otherwise(F.col("low"))
-    return found.select("id", "th", F.col("p").alias("lo"), F.col("p").alias("hi"), ref.getField("id").alias("ref_doc"), ref.getField("p").alias("ref_lo"))
+    ref = F.when(F.col("id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
+    return found.select("id", "th", F.col("p").alias("lo"), F.col("p").alias("hi"), ref.alias("ref_doc"))

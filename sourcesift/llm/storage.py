@@ -34,14 +34,30 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: With it Spark removes a query's shuffle files as soon as the query is done.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, *done: DataFrame) -> DataFrame:
     """Write the rows as Parquet to a new folder in the shared folder and go on from there.
 
-    Later steps neither repeat the work nor depend on the executors that did it.
+    Later steps neither repeat the work nor depend on the executors that did it, so the shuffle files
+    that led here are removed, and so are the stored tables ``done`` that nothing reads any more.
     """
-    path = shared_folder(df.sparkSession) + "/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path = shared_folder(spark) + "/table"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    for table in done:
+        place = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    out = spark.read.parquet(path)
+    out._stored_at = path
+    return out
 
 
 def _folded(edges: DataFrame) -> DataFrame:
@@ -64,7 +80,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = _folded(large)
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(_folded(small.unionByName(lower.select("a", F.col("m").alias("b")))))
+        edges = stored(_folded(small.unionByName(lower.select("a", F.col("m").alias("b")))), edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -86,8 +86,8 @@ class Suffixes:
     def neighbours(self, order: np.ndarray) -> np.ndarray:
         """Common prefix of each suffix in ``order`` and the one before it, verified on the bytes themselves."""
         out = np.zeros(len(order), np.int64)
-        for i in range(1, len(order), 1 << 14):
-            y = order[i : i + (1 << 14)]
+        for i in range(1, len(order), 1 << 11):
+            y = order[i : i + (1 << 11)]
             x = order[i - 1 : i - 1 + len(y)]
             said = self.extension(x, y)
             widest = int(said.max(initial=0))
@@ -160,15 +160,22 @@ def repeated_spans(docs: DataFrame, window: int = 200, gram: int = 32) -> DataFr
             return
         table = pa.Table.from_batches(whole)
         table = table.take(pa.array(np.argsort(table.column("key").to_numpy(), kind="stable")))
+        keys, begin = table.column("key").to_numpy(), 0
+        while begin < len(keys):  # whole anchors, a bounded number of contexts at a time
+            end = int(np.searchsorted(keys, keys[min(begin + 4 * SORTED, len(keys)) - 1], "right"))
+            yield sort_part(table.slice(begin, end - begin).combine_chunks())
+            begin = end
+
+    def sort_part(table: pa.Table) -> pa.RecordBatch:
         key, a, lo, hi, weight = (table.column(c).to_numpy() for c in ("key", "a", "lo", "hi", "weight"))
-        data, at = tw.text_buffer(table.column("piece").combine_chunks())
+        data, at = tw.text_buffer(table.column("piece"))
         starts = repeated_starts(key, data, at, (a - lo).astype(np.int64), (hi - lo).astype(np.int64), weight.astype(float), window)
         starts[weight > 1] = False  # already known
         edges = np.diff(np.pad(starts, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, first = np.nonzero(edges == 1)
         _, last = np.nonzero(edges == -1)
         take = pa.array(row)
-        yield pa.record_batch(
+        return pa.record_batch(
             [table.column("id").combine_chunks().take(take), table.column("th").combine_chunks().take(take), pa.array((lo[row] + first).astype(np.int32)), pa.array((lo[row] + last - 1).astype(np.int32))],
             names=["id", "th", "lo", "hi"],
         )
@@ -185,7 +192,7 @@ def dedup_bytes(docs: DataFrame, window: int = 200) -> DataFrame:
     rows. Repeated rows are copies of each other. Only doc_id and text are read.
     """
     rows = keyed(docs)
-    spans = repeated_spans(rows, window).groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = stored(repeated_spans(rows, window)).groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     rich = rows.join(spans, ["id", "th"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
