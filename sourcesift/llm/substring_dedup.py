@@ -22,27 +22,27 @@ from sourcesift.llm import textwords as tw
 from sourcesift.llm.anchors import Units, candidate_windows, keyed, repeated_windows, window_rows
 from sourcesift.llm.storage import stored
 
-FACTORS = "array<struct<start:int,length:int,ref_doc:long,ref_start:int>>"
+FACTORS = "array<struct<start:int,length:int,ref_doc:long>>"
 
 
-def greedy_factors(lo: np.ndarray, hi: np.ndarray, ref_doc: np.ndarray, ref_lo: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
-    """Factors (start, length, ref_doc, ref_start) from runs of windows lo..hi and their copies.
+def greedy_factors(lo: np.ndarray, hi: np.ndarray, ref_doc: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """Factors (start, length, ref_doc) from runs of windows lo..hi and a text that each is copied from.
 
-    A run that continues the last factor's copy at the next window makes it longer; any other begins a
-    new factor.
+    A run that goes on at the next window in the same text makes the last factor longer; any other begins
+    a new factor.
     """
     out: list[list[int]] = []
     for i in np.lexsort((hi, lo)):
-        a, z, doc, ref = int(lo[i]), int(hi[i]), int(ref_doc[i]), int(ref_lo[i])
+        a, z, doc = int(lo[i]), int(hi[i]), int(ref_doc[i])
         if out:
             last = out[-1]
             upto = last[0] + last[1] - window  # the last factor's last window
             if z <= upto:
                 continue
-            if doc == last[2] and ref - a == last[3] - last[0] and a <= upto + 1:
+            if doc == last[2] and a <= upto + 1:
                 last[1] = z + window - last[0]
                 continue
-        out.append([a, z - a + window, doc, ref])
+        out.append([a, z - a + window, doc])
     return [tuple(f) for f in out]
 
 
@@ -51,16 +51,16 @@ def factor_documents(docs: DataFrame, window: int = 35) -> DataFrame:
     docs, kind = keyed(docs), Units(True, window, min(6, window))
     known, left = candidate_windows(docs, kind)
     found = repeated_windows(stored(window_rows(left, docs, kind)))
-    runs = known.unionByName(found).groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi", "ref_doc", "ref_lo")).alias("at"))
+    runs = known.unionByName(found).groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi", "ref_doc")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("at")
             flat, cuts = lists.flatten(), np.cumsum(np.append(0, np.diff(lists.offsets.to_numpy())))
-            fields = [flat.field(f).fill_null(-1).to_numpy() for f in ("lo", "hi", "ref_doc", "ref_lo")]
+            fields = [flat.field(f).fill_null(-1).to_numpy() for f in ("lo", "hi", "ref_doc")]
             factors = [greedy_factors(*(f[i:j] for f in fields), window) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-            rows = [[dict(zip(("start", "length", "ref_doc", "ref_start"), f, strict=True)) for f in one] for one in factors]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
+            rows = [[dict(zip(("start", "length", "ref_doc"), f, strict=True)) for f in one] for one in factors]
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64())]))
             yield pa.record_batch([batch.column("id"), batch.column("th"), pa.array(rows, kind)], names=["id", "th", "factors"])
 
     return runs.mapInArrow(run, f"id long, th long, factors {FACTORS}")
@@ -73,7 +73,7 @@ def dedup_words(docs: DataFrame, window: int = 35) -> DataFrame:
     window goes, the first as well, also within one document; windows are judged on the input. Null and empty
     texts have no words. Repeated rows are copies of each other. Only doc_id and text are read.
     """
-    factors = factor_documents(docs, window)
+    factors = stored(factor_documents(docs, window))
     ranges = factors.select("id", "th", F.transform("factors", lambda f: F.struct(f["start"].alias("a"), (f["start"] + f["length"]).alias("z"))).alias("spans"))
     rows = keyed(docs)
     rich = rows.join(ranges, ["id", "th"], "left").select("doc_id", "text", "spans")
