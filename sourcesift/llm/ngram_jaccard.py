@@ -28,6 +28,8 @@ from sourcesift.llm.storage import connected_components, stored
 LAST = 1 << 16
 #: A batch reports the grams that it has in at least so many documents.
 LOCAL = 4
+#: Products over neighbours before the full one.
+ROUNDS = 2
 HOT = np.uint64(1 << 62)
 
 
@@ -177,21 +179,12 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     matrix = stored(matrix.repartition("gram").mapInArrow(shared_columns, shape))
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, rep, n = _columns(batches, ["gram", "rep", "n"])
+        gram, rep, n, component = _columns(batches, ["gram", "rep", "n", "component"])
         if len(gram) > 1:
-            ok = (gram[1:] == gram[:-1]) & _close(n[1:], n[:-1], percent)
+            ok = (gram[1:] == gram[:-1]) & (component[1:] != component[:-1]) & _close(n[1:], n[:-1], percent)
             yield _pair_batch(rep[:-1][ok], rep[1:][ok])
 
-    first = matrix.repartition("gram").mapInArrow(neighbours, "a long, b long, c long")
-    first = first.groupBy("a", "b").agg(F.sum("c").alias("c"))
-    ends = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
-    best = ends.groupBy("a").agg(F.max(F.struct("c", "b")).getField("b").alias("b"))
-    best = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    # whole sets, sorted by hash, of the documents that have a column in common with another
-    wanted = classes.select("k1", "r.doc_id", "r.th").join(matrix.select(F.col("rep").alias("k1")).distinct(), "k1")
-    texts = docs.join(wanted, ["doc_id", "th"]).select("k1", "text")
-
+    facts = stored(matrix.groupBy("rep").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.first("last_key").alias("last_key")))
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -200,10 +193,31 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
                 out += [raw[8 * i : 8 * j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.record_batch([batch.column("k1"), pa.array(out, pa.binary())], names=["rep", "grams"])
 
-    sets = stored(texts.mapInArrow(whole_sets, "rep long, grams binary"))
-    links = stored(_verified(best, sets, percent))
-    grouped = connected_components(links)
-    coloured = matrix.join(grouped, matrix["rep"] == grouped["node"], "left").select("gram", "rep", "n", "last_key", "p", F.coalesce("component", "rep").alias("component"))
+    keys = stored(classes.select("k1", "r.doc_id", "r.th"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose whole sets, made anew from the texts, are similar enough."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct().join(keys, "k1")
+        texts = docs.join(wanted, ["doc_id", "th"]).select("k1", "text")
+        sets = stored(texts.mapInArrow(whole_sets, "rep long, grams binary"))
+        return stored(_verified(pairs, sets, percent), sets)
+
+    def coloured(links: DataFrame) -> DataFrame:
+        groups = connected_components(links)
+        return matrix.join(groups, matrix["rep"] == groups["node"], "left").select(*matrix.columns, F.coalesce("component", "rep").alias("component"))
+
+    # neighbours in few columns are left to the full product below, whatever their similarity
+    current, links, tried = matrix.withColumn("component", F.col("rep")), None, None
+    for _ in range(ROUNDS):
+        first = current.repartition("gram").mapInArrow(neighbours, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+        first = first if tried is None else first.join(tried, ["a", "b"], "left_anti")
+        ends = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
+        best = ends.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", "m.b", "m.c")
+        best = best.join(facts.select(F.col("rep").alias("a"), "p"), "a").filter("c * 4 >= p")
+        best = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        new = verified(best)
+        links, tried = (new, best) if links is None else (links.unionByName(new), tried.unionByName(best))
+        current = coloured(links)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, rep, n, component = _columns(batches, ["gram", "rep", "n", "component"])
@@ -227,16 +241,15 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
         if held:
             yield _pair_batch(*(np.concatenate(z) for z in zip(*held, strict=True)))
 
-    overlaps = coloured.repartition("gram").mapInArrow(products, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    facts = matrix.groupBy("rep").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.first("last_key").alias("last_key"))
+    overlaps = current.repartition("gram").mapInArrow(products, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
     for side in "ab":
         overlaps = overlaps.join(facts.select(F.col("rep").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "p", "last_key")]), side)
     # up to the earlier end of the two prefixes every common gram has been counted
     room_a, room_b = F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")
     room = F.when(F.col("last_key_a") < F.col("last_key_b"), room_a).when(F.col("last_key_a") > F.col("last_key_b"), room_b).otherwise(F.greatest(room_a, room_b))
     enough = (F.col("c") + room) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    more = stored(overlaps.filter(enough).select("a", "b").join(best, ["a", "b"], "left_anti"))
-    links = links.unionByName(_verified(more, sets, percent))
+    more = stored(overlaps.filter(enough).select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    links = links.unionByName(verified(more))
     members = connected_components(links).select(F.col("node").alias("k1"), "component")
     reps = stored(classes.select("k1", "k2", "n", F.col("r.doc_id").alias("rep")).join(members, "k1", "left").withColumn("component", F.coalesce("component", "k1")))
     least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
