@@ -140,7 +140,8 @@ def read_bundles(index: DataFrame) -> DataFrame:
     Frames are the unit of work: each is fetched alone by the bundle's seek table and decoded once.
     """
     frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("page_id", "offset", "length")).alias("records"))
-    frames = frames.repartition("bundle", "frame")
+    # by number, as the index is too small for its size to say how much work it stands for
+    frames = frames.repartition(max(1, -(-frames.count() // 16)), "bundle", "frame")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
