@@ -69,7 +69,7 @@ def java_regex(pattern: str) -> str:
     """The pattern as Spark's regexp functions read it."""
     out = _respell(pattern, java=True)
     # a repeated group at the very end may as well be possessive: same matches, no stack use
-    return out + "+" if out.endswith(")*") else out
+    return out + "+" if out.endswith(")*") else out[:-1] + "+)" if out.endswith(")+)") else out
 
 
 @lru_cache(maxsize=None)

@@ -11,10 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under ``spark.checkpoint.dir``.
 
-    Only where the session names no such folder, as in local tests, is a temporary one made.
+    Where the session names no such folder, the context's checkpoint folder counts. A session in one process, as
+    in tests, may do without either: it shares its own temporary folder with itself. A cluster may not.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{uuid.uuid4()}" if base else tempfile.mkdtemp(prefix="sourcesift-")
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if base is None:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/sourcesift-{context.applicationId}"
+    return f"{base.rstrip('/')}/{uuid.uuid4()}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -120,4 +120,6 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     structs = ", ".join(
         "struct(" + ", ".join(f"cast({cell(v)} AS {t}) AS {n}" for v, (n, t) in zip(row, columns)) + ")" for row in rows
     )
+    if not rows:
+        return spark.range(0).selectExpr(*[f"cast(NULL AS {t}) AS {n}" for n, t in columns])
     return spark.range(1).selectExpr(f"inline(array({structs}))")

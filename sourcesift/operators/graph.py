@@ -19,7 +19,7 @@ def _slices(text: str, pattern: str, with_head: bool) -> str:
     """array<struct<id, body>>: one element per boundary, up to the next boundary."""
     body = "concat(m, rest)" if with_head else "rest"
     pieces = (
-        f"zip_with(regexp_extract_all({text}, {rx(pattern)}, 0), slice(split({text}, {rx(pattern)}, -1), 2, 1000000000), "
+        f"zip_with(regexp_extract_all({text}, {rx(pattern)}, 0), slice(split({text}, {rx(pattern)}, -1), 2, length({text}) + 1), "
         f"(m, rest) -> {body})"
     )
     return f"zip_with(regexp_extract_all({text}, {rx(pattern)}, 1), {pieces}, (id, body) -> struct(id AS id, body AS body))"
@@ -104,10 +104,10 @@ def extract_modules(df: DataFrame) -> DataFrame:
 
 
 def dependency_uses(df: DataFrame, names: DataFrame) -> DataFrame:
-    """Uses of each module id in an artifact; ``names`` is the small dictionary and broadcast."""
+    """Uses of each module id in an artifact, named by ``names`` (module_id, name)."""
     ids = df.selectExpr("artifact_id", f"explode(regexp_extract_all(src, {rx(g.USES)}, 1)) AS module_id")
     uses = ids.groupBy("artifact_id", "module_id").agg(F.count("*").alias("uses"))
-    return uses.join(F.broadcast(names), "module_id", "left").selectExpr(
+    return uses.join(names, "module_id", "left").selectExpr(
         "artifact_id", "module_id", "coalesce(name, concat('module-', module_id)) AS name", "uses"
     )
 

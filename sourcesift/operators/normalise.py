@@ -113,16 +113,13 @@ def resolve_module_aliases(df: DataFrame, names: DataFrame, text: str = "src") -
         F.max(F.struct("pos", F.col("g2").alias("module_id"))).alias("last")
     )
     out = last.select("artifact_id", "path", "alias", "last.module_id")
-    return out.join(F.broadcast(names), "module_id").select(
+    return out.join(names, "module_id").select(
         "artifact_id", "path", "alias", "module_id", "name"
     )
 
 
 def symbol_usage(df: DataFrame, names: DataFrame, text: str = "src") -> DataFrame:
-    """Calls of known short names, with the full name, where the text shows the framework.
-
-    ``names`` must be a small dictionary; it is broadcast.
-    """
+    """Calls of known short names, with the full name, where the text shows the framework."""
     gates = ", ".join(
         f"CASE WHEN {text} RLIKE {rx(p)} THEN '{f}' END" for f, p in x.SYMBOL_GATES.items()
     )
@@ -135,7 +132,7 @@ def symbol_usage(df: DataFrame, names: DataFrame, text: str = "src") -> DataFram
         F.count_if(F.col("rule_id") == "call").alias("calls"),
         F.count_if(F.col("rule_id") == "member").alias("members"),
     )
-    used = hits.join(F.broadcast(names), "short").filter(
+    used = hits.join(names, "short").filter(
         "array_contains(split(shown, ','), framework)"
     )
     return used.selectExpr(

@@ -29,7 +29,7 @@ LITERALS = [
     spec("char_codes", r"String\.fromCharCode\s*\(([^)]+)\)", ("String.fromCharCode",), 1),
     spec("base64", r"""atob\s*\(\s*["']([A-Za-z0-9+/=]+)["']\s*\)""", ("atob",), 1),
     spec("hex_array", r"\[([0-9a-fA-FxX,\s]+)\]", ("0x",), 1),
-    spec("concat", r"""(["'][^"']*["'](?:\s*\+\s*["'][^"']*["']){1,200})""", ("+",), 1),
+    spec("concat", r"""(["'][^"']*["'](?:\s*\+\s*["'][^"']*["'])+)""", ("+",), 1),
     spec("array_join", r"""\[([^\[\]]*)\]\s*\.\s*join\s*\(\s*["']\s*["']\s*\)""", ("join",), 1),
 ]
 STRING_LITERAL = r"""["']([^"']*)["']"""

@@ -246,3 +246,20 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     )
     query.awaitTermination()
     assert seen == {(r.window_start, r.severity): r.findings for r in streaming.severity_windows(rows).collect()}
+
+
+def test_long_chain_of_joined_strings_is_one_value(spark, artifacts):
+    from sourcesift.operators.normalise import decode_literals
+
+    chain = " + ".join(f'"p{i}"' for i in range(3000))
+    rows = decode_literals(artifacts(**{"a.js": f"x = {chain};"})).collect()
+    assert any("".join(f"p{i}" for i in range(3000)).startswith(r.value[:100]) for r in rows)
+    assert sum(r.kind == "concat" for r in rows) == 1 if "kind" in rows[0].asDict() else len(rows) == 1
+
+
+def test_empty_configuration_leaves_findings_alone(spark):
+    from sourcesift.operators.findings import FINDING, apply_rule_config
+
+    one = spark.sql("SELECT 1L AS artifact_id, 'a' AS path, 'r' AS rule_id, 'c' AS category, 'high' AS severity, 'v' AS value, '' AS context, 0 AS pos, 1 AS line")
+    assert apply_rule_config(one.select(*FINDING), {}).count() == 1
+    assert apply_rule_config(one, {"suppressions": [{"rule": "r", "file": "*"}]}).count() == 0
