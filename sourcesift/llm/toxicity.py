@@ -52,19 +52,31 @@ def fit_linear(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndar
     yes, no = (np.bincount(cols, side[rows], minlength=width) for side in (y, 1 - y))
     ratio = np.log((yes + 1) / (y.sum() + 2)) - np.log((no + 1) / ((1 - y).sum() + 2))
     ratio *= yes + no >= least
-    w = np.zeros(1 + k + width)
+    # words that count, renumbered, in row order and in word order, so that sums run over slices
+    words, cols = np.unique(cols[use := ratio[cols] != 0], return_inverse=True)
+    rows, scale = rows[use], ratio[words]
+    by_row, by_word = np.argsort(rows, kind="stable"), np.argsort(cols, kind="stable")
+    row_cols, word_rows = cols[by_row], rows[by_word]
+    some, row_at = np.unique(rows[by_row], return_index=True)
+    word_at = np.searchsorted(cols[by_word], np.arange(len(words)))
+    w = np.zeros(1 + k + len(words))
     first, second = np.zeros_like(w), np.zeros_like(w)
     base = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
     w[0] = np.log(base / (1 - base))
     for t in range(1, steps + 1):
-        z = w[0] + extra @ w[1 : 1 + k] + np.bincount(rows, (w[1 + k :] * ratio)[cols], minlength=len(y))
+        z = w[0] + extra @ w[1 : 1 + k]
+        if len(words):
+            z[some] += np.add.reduceat((w[1 + k :] * scale)[row_cols], row_at)
         error = (_sigmoid(z) - y) / n
-        grad = np.concatenate([[error.sum()], extra.T @ error, np.bincount(cols, error[rows], minlength=width) * ratio])
+        slope = np.add.reduceat(error[word_rows], word_at) * scale if len(words) else np.zeros(0)
+        grad = np.concatenate([[error.sum()], extra.T @ error, slope])
         grad[1:] += l2 * w[1:]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         w -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    w[1 + k :] *= ratio
-    return w
+    out = np.zeros(1 + k + width)
+    out[: 1 + k] = w[: 1 + k]
+    out[1 + k + words] = w[1 + k :] * scale
+    return out
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
