@@ -3,7 +3,8 @@
 Rules are written in the JavaScript flavour the rule authors use: ``\\s`` covers the Unicode
 spaces, ``.`` stops at line ends, ``\\b`` and ``\\w`` are ASCII and ``$`` is the end of the text.
 Java and RE2 read those tokens differently, so each is spelled out for the engine at hand.
-Lookaround and backreferences are not portable and are expressed as match + post-filter.
+Lookaround is not portable and is expressed as match + post-filter. The one rule with a backreference is
+stated without it where RE2 is asked.
 """
 
 from __future__ import annotations

@@ -124,8 +124,6 @@ def _by_rule(rules: Sequence[Rule], pick, default: str) -> str:
 
 
 def _passes(guard: Guard) -> str:
-    if guard.on == "pair":  # group 1 and group 2 name the same thing
-        return "h.v = h.g2"
     if guard.on == "window":
         target = window("h.pos", guard.before, guard.after)
         if guard.last:

@@ -19,8 +19,7 @@ def first_occurrence(df: DataFrame, keys: list[str], order: str = "pos") -> Data
 
 
 def scan_race(artifacts: DataFrame) -> DataFrame:
-    found = scan_rules(artifacts, extended.RACE)
-    return found.dropDuplicates(["artifact_id", "rule_id", "pos"])
+    return scan_rules(artifacts, extended.RACE)
 
 
 def scan_service_worker(artifacts: DataFrame) -> DataFrame:

@@ -85,7 +85,8 @@ FRAGMENTS = [
     'uid = localStorage.getItem("userId"); http.get("/u/" + uid);',
     'async function save() { var a = localStorage.getItem("n"); localStorage.setItem("n", a); }',
     'localStorage.getItem("a").then(v => localStorage.setItem("a", v));',
-    'count = parseInt(localStorage.getItem("c@K@")); x = 1; count++; other = localStorage.getItem("d"); y++;',
+    'count = parseInt(localStorage.getItem("c@K@")); x = 1; count++; other = localStorage.getItem("d"); y++;'
+    ' a = localStorage.getItem("p@K@"); b = localStorage.getItem("q"); c++; b++; total = localStorage.getItem("r"); al += 1;',
     # web3, config, lazy, service worker
     'pk = "0x' + "ab" * 32 + '"; addr = "0x' + "cd" * 20 + '"; again = "0x' + "cd" * 20 + '"; eth.sendTransaction (tx);',
     'vault.call(x).then(r => { balance = r; }); ethers.utils.keccak256(m);' + " " * 110,

@@ -92,9 +92,6 @@ def scan_cte(rules: Sequence[Rule], name: str = "findings", source: str = "corpu
     def passes(r: Rule):
         tests = []
         for g in r.guards:
-            if g.on == "pair":
-                tests.append("v = g2")
-                continue
             target = {"value": "v", "match": "m", "g2": "g2"}.get(g.on, win(g.before, g.after))
             if g.last:
                 target = f"right({target}, {g.last})"

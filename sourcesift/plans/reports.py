@@ -16,7 +16,7 @@ from sourcesift.plans.extracts import DEPS_CTE, ENDPOINT_CTE, HIDDEN_CTE, UNGUAR
 from sourcesift.plans.flows import FALLBACK, TAINT
 from sourcesift.plans.graphs import CHUNK_CTE, DEGREE_CTE, EDGES_CTE, MODULES_CTE, hot_cte
 from sourcesift.plans.registry import add
-from sourcesift.plans.scans import NETWORK_CTE, _SIGNED
+from sourcesift.plans.scans import NETWORK_CTE, RACE_CTE, _SIGNED
 from sourcesift.rules import extended
 from sourcesift.rules.levels import DEFAULT_LEVELS
 from sourcesift.rules.model import SEVERITIES
@@ -154,7 +154,23 @@ add(
     lambda spark, sf: op.rule_frequency(main_findings(spark, sf)),
     mixed(MAIN_CTE) + " SELECT rule_id, count(*) AS findings, count(DISTINCT artifact_id) AS artifacts FROM findings GROUP BY 1",
 )
-add("rule_frequency_approx", lambda spark, sf: op.rule_frequency_approx(main_findings(spark, sf)))
+
+
+def _frequency_bounds(spark, sf):
+    """The estimates beside the exact counts: five times the sketch's standard error is the bound."""
+    found = main_findings(spark, sf)
+    near = op.rule_frequency_approx(found).withColumnRenamed("artifacts", "estimate").drop("findings")
+    return op.rule_frequency(found).join(near, "rule_id").selectExpr(
+        "rule_id", "findings", "artifacts", "abs(estimate - artifacts) <= 0.1 * artifacts AS within"
+    )
+
+
+add(
+    "rule_frequency_approx",
+    _frequency_bounds,
+    mixed(MAIN_CTE)
+    + " SELECT rule_id, count(*) AS findings, count(DISTINCT artifact_id) AS artifacts, true AS within FROM findings GROUP BY 1",
+)
 add(
     "report_rows",
     lambda spark, sf: op.report_rows(main_findings(spark, sf)),
@@ -205,7 +221,7 @@ add(
     "full_scan",
     lambda spark, sf: op.full_scan(mixed_corpus(spark, sf)).drop("context"),
     mixed(
-        o.scan_cte(_WIRED, "wired"), o.scan_cte(extended.RACE, "race"), o.scan_cte(extended.SERVICE_WORKER, "sw", _SIGNED),
+        o.scan_cte(_WIRED, "wired"), RACE_CTE, o.scan_cte(extended.SERVICE_WORKER, "sw", _SIGNED),
         DEPS_CTE, f"fixes(package, ma, mi, pa, cve, severity) AS (VALUES {_FIXES})", TAINT, FALLBACK, MODULES_CTE, EDGES_CTE, DEGREE_CTE, hot_cte(10), CHUNK_CTE,
     )
     + f""" SELECT artifact_id, path, rule_id, category, severity, value, pos, line FROM wired

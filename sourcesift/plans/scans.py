@@ -22,10 +22,34 @@ def _scan(pack: str) -> Query:
 for _pack in list(PACKS):
     add(f"scan_{_pack}", _scan(_pack), o.scan_sql(PACKS[_pack]))
 
+# Counters are stated without the rule's pattern: each read of storage is looked at by itself, with
+# every ending of the name before it, and the hits that start inside an earlier one fall away.
+_READ = "localStorage.getItem"
+_NAMED = o.rx(r"(\w+)\s*=\s*(?:parseInt\s*\()?\s*$")
+_NEXT, _PLUS = o.rx(r"^[^;]{0,100};\s*(?:[^;]{0,100};\s*){0,3}"), o.rx(r"\s*(?:\+\+|\+=\s*1|\+\s*1)")
+RACE_CTE = (
+    o.scan_cte([r for r in extended.RACE if r.rule_id != "race-counter"], "race_plain")
+    + f""", rc_reads AS (SELECT *, unnest(range(1, len(parts))) AS i FROM (SELECT artifact_id, path, src,
+      string_split(src, '{_READ}') AS parts FROM corpus WHERE contains(src, '{_READ}'))),
+    rc_ends AS (SELECT artifact_id, path, src, array_to_string(parts[1:i], '{_READ}') AS head,
+      array_to_string(parts[i + 1:], '{_READ}') AS tail FROM rc_reads),
+    rc_names AS (SELECT *, regexp_extract(head, {_NAMED}, 1) AS name,
+      length(head) - length(regexp_extract(head, {_NAMED}, 0)) AS begin FROM rc_ends),
+    rc_tries AS (SELECT *, substring(name, k + 1) AS word FROM (SELECT *, unnest(range(0, length(name))) AS k FROM rc_names)),
+    rc_hits AS (SELECT artifact_id, path, src, begin + k AS pos, word,
+      regexp_extract(tail, {_NEXT} || word || {_PLUS}, 0) AS rest, length(head) + {len(_READ)} AS upto FROM rc_tries),
+    rc_lists AS (SELECT artifact_id, path, src, list({{'pos': pos, 'word': word, 'stop': upto + length(rest)}} ORDER BY pos) AS c
+      FROM rc_hits WHERE rest <> '' GROUP BY ALL),
+    rc_kept AS (SELECT artifact_id, path, src, unnest(list_reduce(list_transform(c, lambda x: [x]), lambda kept, x:
+      CASE WHEN x[1].pos >= kept[len(kept)].stop THEN list_concat(kept, x) ELSE kept END)) AS h FROM rc_lists),
+    rc AS (SELECT artifact_id, path, src, CAST(h.pos AS INTEGER) AS pos, h.word AS word FROM rc_kept),
+    race AS (SELECT {o.FINDING_COLUMNS} FROM race_plain UNION ALL SELECT artifact_id, path, 'race-counter', 'Race Condition', 'high',
+      'Non-atomic counter: ' || substring(word, 1, 100), {o.one_line(o.win(125, 125))}, pos, {o.line()} FROM rc)"""
+)
 add(
     "scan_race",
     lambda spark, sf: surface.scan_race(mixed_corpus(spark, sf)).select(*FINDINGS),
-    o.scan_sql(extended.RACE),
+    o.with_corpus("mixed", RACE_CTE) + f" SELECT {o.FINDING_COLUMNS} FROM race",
 )
 
 _SIGNED = f"(SELECT * FROM corpus WHERE regexp_matches(src, {o.rx(extended.SERVICE_WORKER_SIGNS)}))"

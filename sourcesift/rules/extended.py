@@ -137,17 +137,12 @@ RACE = [
        r"localStorage\.getItem[^;]{0,200}\.then\s*\([^)]{0,200}localStorage\.setItem",
        ("localStorage.getItem",), "Storage write after an awaited read", context=(125, 125),
        fmt="localStorage read→Promise→write"),
-]
-# A counter is read from storage and incremented within the next three statements: one rule per
-# distance, and group 1 and group 2 must name the same variable.
-RACE += [
+    # fixed pattern: read from storage, at most three statements on, the same name plus one
     _r("race-counter", "Race Condition", "high",
        r"(\w+)\s*=\s*(?:parseInt\s*\()?\s*localStorage\.getItem[^;]{0,100};\s*"
-       + r"[^;]{0,100};\s*" * gap
-       + r"(\w+)\s*(?:\+\+|\+=\s*1|\+\s*1)",
-       ("localStorage.getItem",), "Counter in storage without a lock", groups=2, value="g1",
-       fmt="Non-atomic counter: {v}", context=(125, 125), guards=(Guard("pair", "", True),))
-    for gap in range(4)
+       r"(?:[^;]{0,100};\s*){0,3}\1\s*(?:\+\+|\+=\s*1|\+\s*1)",
+       ("localStorage.getItem",), "Counter in storage without a lock", groups=1, value="g1",
+       fmt="Non-atomic counter: {v}", context=(125, 125)),
 ]
 
 WEB3 = [

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sourcesift.functions.dialect import java_regex, re2_regex
 from sourcesift.operators.matching import explode_matches, order_findings, scan_rules
+from sourcesift.operators.surface import scan_race
 from sourcesift.rules.model import Guard, Rule, rules_table
 from sourcesift.rules.packs import PACKS, register_pack
 from sourcesift.rules.surface import spec
@@ -61,6 +62,19 @@ def test_first_occurrence_and_guards(artifacts):
     assert {r.value for r in scan_rules(df, PACKS["credentials"]).filter("rule_id = 'hardcoded-password'").collect()} == {"secret-1"}
 
 
+def test_counters_read_from_storage(artifacts):
+    read = 'localStorage.getItem("k");'
+    df = artifacts(
+        second=f"a = {read} b = {read} c++; b++;", ending=f"total = {read} al += 1;", both=f"a = {read} a++; b = parseInt({read} b + 1;",
+        inside=f"a = {read} b = {read} a++; b++;", far=f"a = {read} 1; 2; 3; a++;", too_far=f"a = {read} 1; 2; 3; 4; a++;",
+        other=f"a = {read} b++;", none="a++;", empty="",
+    )
+    rows = {(r.path, r.value.split(": ")[1], r.pos) for r in scan_race(df).filter("rule_id = 'race-counter'").collect()}
+    assert rows == {
+        ("second", "b", 31), ("ending", "al", 3), ("both", "a", 0), ("both", "b", 36), ("inside", "a", 0), ("far", "a", 0),
+    }
+
+
 def test_ascii_word_edge_next_to_accents(artifacts):
     rows = explode_matches(artifacts(a="éeval(1) xeval(2) eval(3)"), [spec("e", r"\beval\(")]).collect()
     assert sorted(r.pos for r in rows) == [1, 18]
