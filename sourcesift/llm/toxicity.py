@@ -162,7 +162,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple = CATEGORIES
         chain = train_chain(rows, words.values.to_numpy(), y, (tw.splitmix(ids) % np.uint64(folds)).astype(int), names, bits)
         return pa.table({"i": pa.array(range(len(names)), pa.int32()), "threshold": chain.thresholds, "weights": [w.astype(np.float32).tobytes() for w in chain.weights]})
 
-    fitted = shaped.groupBy(F.lit(0).alias("all")).applyInArrow(train, "i int, threshold double, weights binary").orderBy("i").collect()
+    fitted = shaped.groupBy(F.lit(0).alias("all")).applyInArrow(train, "i int, threshold double, weights binary").collect()
+    fitted.sort(key=lambda r: r.i)  # one row per category; a distributed sort would sample them first, and so train twice
     if not fitted:
         return Chain(names, [np.zeros(1 + i + (1 << bits)) for i in range(len(names))], [1.1] * len(names), bits)
     return Chain(names, [np.frombuffer(r.weights, np.float32).astype(float) for r in fitted], [r.threshold for r in fitted], bits)
