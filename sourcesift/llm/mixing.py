@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sourcesift.llm.storage import stored
+from sourcesift.llm.storage import row_key, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,14 +69,23 @@ def mix_sources(
     doc_id and size are interchangeable. Only doc_id, source and text are read, so other columns may have
     any name. One row per source goes to one task to be ranked and apportioned, never documents.
     """
+    return _mixed(docs, weights, share, most, block_words, shard_words, seed).drop("th")
+
+
+def _mixed(
+    docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: int = 2,
+    block_words: int = 256, shard_words: int = 1 << 17, seed: int = 20240501,
+) -> DataFrame:
+    """The columns of ``mix_sources`` and th, the hash of the text; it stands in for a null doc_id."""
     # the word count of a text; a null text has none
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    sized = stored(docs.select("doc_id", "source", name.alias("name"), size.alias("size")))
+    sized = stored(docs.select("doc_id", "source", F.xxhash64("text").alias("th"), name.alias("name"), size.alias("size")))
     total, rows = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     block = int(min(block_words, max(1, total // 65536)))
     shards = int(max(1, -(-(total + rows) // shard_words)))
-    sized = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)).cast("int"))
+    known = F.coalesce("doc_id", "th")
+    sized = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), known), F.lit(shards)).cast("int"))
     cells = sized.groupBy("name", "shard").agg(F.sum("size").alias("words"))
     cells = cells.withColumn("blocks", F.ceil(F.col("words") / block).cast("long"))
     sources = cells.groupBy("name").agg(F.sum("words").alias("words"), F.sum("blocks").alias("blocks"))
@@ -103,7 +112,7 @@ def mix_sources(
     quotas = cells.join(targets, "name").groupBy("name").applyInPandas(
         over_shards, "name string, shard int, words long, blocks long, source_size long, target double, quota long"
     )
-    order = W.partitionBy("name", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "doc_id", "size")
+    order = W.partitionBy("name", "shard").orderBy(F.xxhash64(F.lit(seed + 1), known, "size"), "doc_id", "size", "th")
     placed = sized.withColumn("stop", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
     placed = placed.join(quotas, ["name", "shard"])
     begin, extra = "(j * words) div blocks", "quota % blocks"
@@ -113,25 +122,32 @@ def mix_sources(
     at = "((({x}) + 1) * blocks - 1) div words"
     spans = f"sequence({at.format(x='stop - size')}, {at.format(x='stop - 1')})"
     taken = f"CASE WHEN size = 0 THEN 0L ELSE aggregate({spans}, 0L, (sum, j) -> sum + {times} * {overlap}) END"
-    return placed.selectExpr("doc_id", "source", "size", "source_size", "target", f"{taken} AS taken")
+    return placed.selectExpr("doc_id", "source", "size", "source_size", "target", f"{taken} AS taken", "th")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 20240502, **options) -> DataFrame:
     """The mix as whole documents: each row as often as its taken words ask for.
 
-    The fraction left over after whole copies is rounded by a seeded draw, so sources keep their shares.
-    Columns are those of ``docs``. Rows of equal doc_id, source and text are repeated alike.
+    The fraction left over after whole copies is rounded by a seeded draw over doc_id and text, so sources
+    keep their shares. Rows of equal doc_id, source and text are rounded together and share their copies as
+    evenly as whole copies can be. A null doc_id or source is a key like any other. Columns are those of
+    ``docs``, none of them a map.
     """
-    taken = mix_sources(docs, **options)
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    source = {"_source": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))}
+    keys, lanes = row_key(), 16
+    key = [*keys, *source]
+    draw = F.pmod(F.xxhash64(F.lit(seed), "_null", "_id", "_text"), F.lit(1 << 20)) / float(1 << 20)
+    taken = _mixed(docs, **options).withColumns({**keys, **source, "_text": F.col("th")})
+    wanted = taken.groupBy(*key).agg(F.sum("taken").alias("taken"), F.first("size").alias("size"), F.count("*").alias("_rows"))
     copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + draw).cast("int")
-    # equal rows are counted together and dealt evenly, so that a join never multiplies them
-    key = ["_id", "_source", "_size"]
-    wanted = taken.select(F.col("doc_id").alias("_id"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_source"), F.col("size").alias("_size"), copies.alias("_copies"))
-    wanted = wanted.groupBy(*key).agg(F.ceil(F.avg("_copies")).cast("int").alias("_copies")).filter("_copies > 0")
-    rows = docs.withColumns({
-        "_id": F.col("doc_id"), "_source": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),
-        "_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-    })
-    out = rows.join(wanted, key).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
-    return out.select(*docs.columns)
+    wanted = stored(wanted.select(*key, "_rows", copies.alias("_copies")).filter("_copies > 0"))
+    rows = docs.withColumns({**keys, **source})
+    alone = rows.join(wanted.filter("_rows = 1"), key).select(*docs.columns, "_copies")
+    # equal rows go to lanes and are counted, so no key gathers its rows in one task
+    again = wanted.filter("_rows > 1").withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    again = rows.withColumn("_lane", F.pmod(F.monotonically_increasing_id(), F.lit(lanes)).cast("int")).join(again, [*key, "_lane"])
+    again = again.groupBy(*key, "_rows", "_copies", *docs.columns).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy(*key).orderBy(*docs.columns).rowsBetween(W.unboundedPreceding, 0))
+    again = again.withColumn("_upto", upto).selectExpr(*[f"`{c}`" for c in docs.columns], "CAST(_copies * _upto div _rows - _copies * (_upto - _n) div _rows AS int) AS _copies")
+    out = alone.unionByName(again.filter("_copies > 0"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)

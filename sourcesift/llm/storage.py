@@ -6,7 +6,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcesift.functions.lineage import shared_folder
@@ -34,6 +34,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def row_key() -> dict[str, Column]:
+    """Key columns that tell rows of documents apart by doc_id and text, a null doc_id being a value of its own."""
+    return {"_null": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_text": F.xxhash64("text")}
+
+
 #: With it Spark removes a query's shuffle files as soon as the query is done.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

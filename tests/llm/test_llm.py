@@ -150,6 +150,21 @@ def test_mixing(docs):
     assert mixing.mix_sources(docs(*rows).limit(0)).count() == 0
 
 
+def test_mixed_documents_keep_null_ids(docs, spark):
+    rows = corpus(9) + [(None, " ".join(f"v{i}x{j}" for j in range(40))) for i in range(60)] + [(None, "one same text")] * 7 + [(4, "a b c d")] * 4
+    out = Counter((r.doc_id, r.text) for r in mixing.mixed_documents(docs(*rows)).select("doc_id", "text").collect())
+    asked = Counter()
+    for r in mixing._mixed(docs(*rows)).collect():
+        asked[r.doc_id, r.th] += r.taken / max(r["size"], 1)
+    texts = spark.createDataFrame(sorted({(t,) for _, t in rows if t is not None}), "text string")
+    th = {r.text: r.th for r in texts.selectExpr("text", "xxhash64(text) AS th").collect()} | {None: 42}
+    assert set(out) <= set(rows)
+    assert all(int(asked[i, th[t]] + 1e-9) <= out[i, t] <= asked[i, th[t]] + 1 for i, t in set(rows))
+    words = sum(len(t.split()) * n for (i, t), n in out.items() if i is None)
+    wanted = sum(asked[i, th[t]] * len(t.split()) for i, t in set(rows) if i is None)
+    assert wanted > 0 and abs(words - wanted) <= 0.15 * wanted
+
+
 def test_sainte_lague_gives_the_highest_quotients():
     rng = np.random.default_rng(4)
     for _ in range(50):
