@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal blocks of words.
 
-Targets come from filling sources by weight up to a bound. Blocks are given out twice by highest
-quotients votes / (2·seats + 1): first over the sources, then, for each source, over its shards.
+Targets come from filling sources by weight up to a bound. Seats are given out twice by highest
+quotients votes / (2·seats + 1): first words over the sources, then, for each source, blocks of its words
+over its shards. The size of a source's blocks follows from its own target alone.
 Within a shard of a source the documents stand in a seeded order, the words are cut into equal blocks
 and a seeded systematic draw picks as many blocks as the quota says, each at most ``most`` times.
 """
@@ -64,7 +65,8 @@ def mix_sources(
     """(doc_id, source, size, source_size, target, taken) per row of ``docs``.
 
     Sources in code point order, null last, take the weights in turn. Blocks hold at most
-    ``block_words`` words, fewer for small tables, so that about 65,536 blocks exist at least. A null or
+    ``block_words`` words, fewer for small sources, so that a source's target has about 32,768 blocks at least,
+    or blocks of one word, whatever the other sources' sizes. A null or
     empty text has size 0 and nothing is taken of it; repeated rows are rows of their own; rows with equal
     doc_id and size are interchangeable. Only doc_id, source and text are read, so other columns may have
     any name. One row per source goes to one task to be ranked and apportioned, never documents.
@@ -82,35 +84,34 @@ def _mixed(
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     sized = stored(docs.select("doc_id", "source", F.xxhash64("text").alias("th"), name.alias("name"), size.alias("size")))
     total, rows = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    block = int(min(block_words, max(1, total // 65536)))
     shards = int(max(1, -(-(total + rows) // shard_words)))
     known = F.coalesce("doc_id", "th")
     sized = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), known), F.lit(shards)).cast("int"))
     cells = sized.groupBy("name", "shard").agg(F.sum("size").alias("words"))
-    cells = cells.withColumn("blocks", F.ceil(F.col("words") / block).cast("long"))
-    sources = cells.groupBy("name").agg(F.sum("words").alias("words"), F.sum("blocks").alias("blocks"))
+    sources = cells.groupBy("name").agg(F.sum("words").alias("words"))
 
     def over_sources(rows: pd.DataFrame) -> pd.DataFrame:
         # "s" sorts after "n", so names are ranked by hand: the null source last
         rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (rows["name"].iloc[i] == "n", rows["name"].iloc[i]))]
-        words, blocks = rows["words"].to_numpy(), rows["blocks"].to_numpy()
+        words = rows["words"].to_numpy()
         share_of = np.resize(np.asarray(weights, float), len(rows))
         target = fill_targets(words, share_of, share * words.sum(), most)
-        seats = sainte_lague(target, int(round(target.sum() / block)))
-        picks = np.minimum(np.rint(seats * block * blocks / np.maximum(words, 1)), most * blocks).astype(np.int64)
-        return pd.DataFrame({"name": rows["name"], "source_size": words, "target": target, "picks": picks})
+        seats = sainte_lague(target, int(round(target.sum())))
+        block = np.clip(target // 32768, 1, block_words).astype(np.int64)
+        return pd.DataFrame({"name": rows["name"], "source_size": words, "target": target, "seats": seats, "block": block})
 
     def over_shards(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shard")
-        blocks = rows["blocks"].to_numpy()
-        quota = sainte_lague(blocks, int(rows["picks"].iloc[0]), most * blocks)
-        return rows[["name", "shard", "words", "blocks", "source_size", "target"]].assign(quota=quota)
+        blocks = -(-rows["words"].to_numpy() // rows["block"].to_numpy())
+        picks = round(int(rows["seats"].iloc[0]) * int(blocks.sum()) / max(int(rows["source_size"].iloc[0]), 1))
+        quota = sainte_lague(blocks, picks, most * blocks)
+        return rows[["name", "shard", "words", "source_size", "target"]].assign(blocks=blocks, quota=quota)
 
     targets = sources.groupBy(F.lit(0).alias("all")).applyInPandas(
-        lambda _, r: over_sources(r[["name", "words", "blocks"]]), "name string, source_size long, target double, picks long"
+        lambda _, r: over_sources(r[["name", "words"]]), "name string, source_size long, target double, seats long, block long"
     )
     quotas = cells.join(targets, "name").groupBy("name").applyInPandas(
-        over_shards, "name string, shard int, words long, blocks long, source_size long, target double, quota long"
+        over_shards, "name string, shard int, words long, source_size long, target double, blocks long, quota long"
     )
     order = W.partitionBy("name", "shard").orderBy(F.xxhash64(F.lit(seed + 1), known, "size"), "doc_id", "size", "th")
     placed = sized.withColumn("stop", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))

@@ -150,6 +150,17 @@ def test_mixing(docs):
     assert mixing.mix_sources(docs(*rows).limit(0)).count() == 0
 
 
+def test_mixing_of_small_sources_beside_a_large_one(spark):
+    # the large source's blocks are of 256 words
+    large = spark.range(40).selectExpr("id AS doc_id", "'b' AS source", "repeat('w ', 450000) AS text")
+    small = [(100 + i, s, "w " * n) for i, (s, n) in enumerate([("a", 3), ("a", 7), ("c", 20), ("c", 25), ("d", 300), ("d", 5)])]
+    out = mixing.mix_sources(large.unionByName(spark.createDataFrame(small, "doc_id long, source string, text string"))).drop("text").collect()
+    assert len(out) == 46 and all(0 <= r.taken <= 2 * r["size"] for r in out)
+    for source in "abcd":
+        own = [r for r in out if r.source == source]
+        assert own[0].target > 0 and abs(sum(r.taken for r in own) - own[0].target) <= 0.01 * own[0].target + 1
+
+
 def test_mixed_documents_keep_null_ids(docs, spark):
     rows = corpus(9) + [(None, " ".join(f"v{i}x{j}" for j in range(40))) for i in range(60)] + [(None, "one same text")] * 7 + [(4, "a b c d")] * 4
     out = Counter((r.doc_id, r.text) for r in mixing.mixed_documents(docs(*rows)).select("doc_id", "text").collect())
