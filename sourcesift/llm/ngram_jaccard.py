@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourcesift.llm import textwords as tw
-from sourcesift.llm.storage import connected_components, stored
+from sourcesift.llm.storage import connected_components, row_key, stored
 
 #: How many of the most frequent grams are put last; they are broadcast (16 bytes each).
 LAST = 1 << 16
@@ -161,12 +161,17 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     similarity of at least ``percent`` / 100 are linked; component_id is the smallest doc_id reachable.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Null texts and texts without words have no
-    shingles and stand alone. Rows with a null doc_id are left out. Repeated rows give repeated results. Only
-    doc_id and text are read.
+    shingles and stand alone. Rows with a null doc_id take part; component_id is null where no other id is
+    reachable. Repeated rows give repeated results. Only doc_id and text are read.
     """
-    docs = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("th"))
+    return _grouped(docs, k, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The columns of ``near_duplicate_groups``, th, the hash of the text, and component, a key of the group (null without shingles)."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     rows = stored(_incidence(docs, k, percent))
-    classes = rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "th", "last_key", "first")).alias("r"))
+    classes = rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th", "last_key", "first")).alias("r"))
     matrix = classes.select(F.explode("r.first").alias("gram"), F.col("k1").alias("rep"), "n", F.col("r.last_key").alias("last_key"), F.size("r.first").cast("long").alias("p"))
 
     def shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,19 +191,25 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
 
     facts = stored(matrix.groupBy("rep").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.first("last_key").alias("last_key")))
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows of equal doc_id and text, which fall to one task, are one set
+        seen: set[int] = set()
         for batch in batches:
-            out = []
+            new = np.zeros(batch.num_rows, bool)
+            for i, rep in enumerate(batch.column("k1").to_pylist()):
+                new[i] = rep not in seen
+                seen.add(rep)
+            batch, out = batch.filter(pa.array(new)), []
             for _, _, grams, at in gram_sets(batch.column("text"), k):
                 raw = grams.tobytes()
                 out += [raw[8 * i : 8 * j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.record_batch([batch.column("k1"), pa.array(out, pa.binary())], names=["rep", "grams"])
 
-    keys = stored(classes.select("k1", "r.doc_id", "r.th"))
+    keys = stored(classes.select("k1", F.col("r.null").alias("_null"), F.coalesce("r.doc_id", F.lit(0)).alias("_id"), F.col("r.th").alias("_text")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose whole sets, made anew from the texts, are similar enough."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct().join(keys, "k1")
-        texts = docs.join(wanted, ["doc_id", "th"]).select("k1", "text")
+        texts = docs.withColumns(row_key()).join(wanted, ["_null", "_id", "_text"]).select("k1", "text")
         sets = stored(texts.mapInArrow(whole_sets, "rep long, grams binary"))
         return stored(_verified(pairs, sets, percent), sets)
 
@@ -253,12 +264,29 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     members = connected_components(links).select(F.col("node").alias("k1"), "component")
     reps = stored(classes.select("k1", "k2", "n", F.col("r.doc_id").alias("rep")).join(members, "k1", "left").withColumn("component", F.coalesce("component", "k1")))
     least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
-    reps = reps.join(least, "component").select("k1", "k2", "n", "component_id")
-    out = rows.select("doc_id", "n", "k1", "k2").join(reps, ["k1", "k2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    reps = reps.join(least, "component").select("k1", "k2", "n", "component", "component_id")
+    out = rows.select("doc_id", "th", "n", "k1", "k2").join(reps, ["k1", "k2", "n"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "th", "component")
 
 
 def keep_one_per_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The row with the smallest doc_id of each near-duplicate group, columns unchanged; rows with a null doc_id stay."""
-    groups = near_duplicate_groups(docs, k, percent).filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate group, that of the smallest doc_id and then text hash, null ids last.
+
+    Rows are told apart by doc_id and text. Of several rows that agree in both, the one with the smallest other
+    columns stays (maps do not count). Texts without words stand alone, so all of them stay. Columns unchanged.
+    """
+    key, lanes = list(row_key()), 16
+    rows = _grouped(docs, k, percent).filter("component IS NOT NULL")
+    rows = rows.select(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("th").alias("_text"), "component")
+    rows = stored(rows.groupBy(*key, "component").agg(F.count("*").alias("_rows")))
+    first = rows.groupBy("component").agg(F.min(F.struct(*key)).alias("_first"))
+    rows = stored(rows.join(first, "component").select(*key, "_rows", (F.struct(*key) == F.col("_first")).alias("_wins")))
+    keyed = docs.withColumns(row_key())
+    others = keyed.join(rows.filter("NOT _wins OR _rows > 1").select(*key), key, "left_anti").select(*docs.columns)
+    # a winner's repeated rows go to lanes, then the lanes' choices meet
+    again = rows.filter("_wins AND _rows > 1").select(*key, F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("_lane"))
+    again = keyed.withColumn("_lane", F.pmod(F.monotonically_increasing_id(), F.lit(lanes)).cast("int")).join(again, [*key, "_lane"])
+    again = again.select(*key, "_lane", F.struct(*docs.columns).alias("_row"), F.struct(*[c for c, t in docs.dtypes if "map<" not in t]).alias("_by"))
+    again = again.groupBy(*key, "_lane").agg(F.min_by("_row", "_by").alias("_row"), F.min("_by").alias("_by"))
+    again = again.groupBy(*key).agg(F.min_by("_row", "_by").alias("_row"))
+    return others.unionByName(again.select("_row.*"))

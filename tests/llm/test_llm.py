@@ -124,6 +124,26 @@ def test_ngram_jaccard(docs):
     assert ngram_jaccard.near_duplicate_groups(docs(*rows).limit(0)).count() == 0
 
 
+def test_ngram_jaccard_keeps_null_ids(docs):
+    near = [" ".join(f"n{j}" if j != i else "other" for j in range(60)) for i in (0, 59)]
+    lone = " ".join(f"l{j}" for j in range(30))
+    rows = [(5, near[0]), (None, near[1]), (None, near[1]), (None, lone), (None, lone), (None, None), (7, "two words")]
+    got = Counter(tuple(r) for r in ngram_jaccard.near_duplicate_groups(docs(*rows), 4, 85).collect())
+    assert got == Counter([(5, 57, 5), (None, 57, 5), (None, 57, 5), (None, 27, None), (None, 27, None), (None, 0, None), (7, 1, 7)])
+
+
+def test_one_row_stays_of_each_group(docs):
+    near = [" ".join(f"n{j}" if j != i else "other" for j in range(60)) for i in range(0, 60, 7)]
+    lone = [" ".join(f"l{i}x{j}" for j in range(30)) for i in range(6)]
+    rows = [(1, near[0]), (2, near[1]), (2, lone[0]), (None, near[2]), (None, near[2])]  # one doc_id on two texts
+    rows += [(3, lone[1])] * 4 + [(None, lone[2])] * 5 + [(None, lone[3]), (9, lone[3]), (None, lone[4])]  # repeated rows, null ids
+    rows += [(None, None), (None, None), (4, ""), (4, "")]  # no words: all stay
+    got = ngram_jaccard.keep_one_per_group(docs(*rows), 5, 80)
+    assert got.columns == docs(*rows).columns
+    stays = [(1, near[0]), (2, lone[0]), (3, lone[1]), (None, lone[2]), (9, lone[3]), (None, lone[4]), (None, None), (None, None), (4, ""), (4, "")]
+    assert Counter((r.doc_id, r.text) for r in got.select("doc_id", "text").collect()) == Counter(stays)
+
+
 def test_token_counts(docs):
     tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     path = public.path("byte_bpe_50k.json")
