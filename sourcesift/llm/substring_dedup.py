@@ -1,11 +1,9 @@
-"""Substring de-duplication by relative Lempel-Ziv parsing.
-
-The reference is the corpus itself, indexed in blocks: Spark deals windows of words to blocks by their hash,
-and an entry says how often a window starts anywhere and where. Each document is then factored greedily
-against all blocks: a factor begins at the first window that the index knows elsewhere and goes on as long
-as the next word keeps the copy going; the search resumes right after a factor's last whole window, so windows
-that cross a factor's boundary are checked as well. The words under factors are duplicate spans.
-Windows that cannot repeat, by their anchors (see ``anchors``), are never dealt out.
+"""Substring de-duplication by counting windows of words.
+
+Windows that occur more than once are found by their anchors (see ``anchors``) and by counts of their hashes; no
+document is parsed against a reference. Neighbouring repeated windows are then joined to factors. The words
+under factors are duplicate spans. A factor's ref_doc has each of its windows somewhere when the windows' texts
+agree, but not necessarily all of them in one place, so a factor longer than a window need not be one whole copy.
 """
 
 from __future__ import annotations
@@ -26,10 +24,10 @@ FACTORS = "array<struct<start:int,length:int,ref_doc:long>>"
 
 
 def greedy_factors(lo: np.ndarray, hi: np.ndarray, ref_doc: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """Factors (start, length, ref_doc) from runs of windows lo..hi and a text that each is copied from.
+    """Factors (start, length, ref_doc) from runs of windows lo..hi and a text that has each.
 
-    A run that goes on at the next window in the same text makes the last factor longer; any other begins
-    a new factor.
+    A run that goes on at the next window and names the same text makes the last factor longer, wherever in that
+    text the window stands; any other begins a new factor.
     """
     out: list[list[int]] = []
     for i in np.lexsort((hi, lo)):
