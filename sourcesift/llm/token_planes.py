@@ -37,7 +37,7 @@ PLANES = {"bit": 32, "byte": 4}
 
 #: Blocks of ids, and ids after which a file is closed (a document is never cut between files).
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 24
-#: Words whose ids a worker keeps; beyond it starts anew. Results do not depend on it.
+#: A worker keeps the ids of at least so many words met last and at most twice as many. Results do not depend on it.
 KEPT_WORDS = 1 << 19
 
 #: Pre-token patterns, as tokenizer files state them, that match no white space (fixed values).
@@ -152,6 +152,24 @@ class PlaneReader:
             rest = run[n:]
 
 
+class _Pool:
+    """Ids of words, end to end."""
+
+    def __init__(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.ids, self.ends = array("I"), array("Q", [0])
+
+    def put(self, word: str, ids: list[int] | array) -> int:
+        self.slot[word] = at = len(self.ends) - 1
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        return at
+
+    def get(self, word: str) -> array:
+        at = self.slot[word]
+        return self.ids[self.ends[at] : self.ends[at + 1]]
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Callable[[pa.Array], Iterator[np.ndarray]]:
     """Texts -> ids of each, as the tokenizers library gives them without added special tokens.
@@ -165,6 +183,8 @@ def _encoder(path: str) -> Callable[[pa.Array], Iterator[np.ndarray]]:
     tokenizer = tokenizers.Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    if hasattr(tokenizer.model, "_resize_cache"):
+        tokenizer.model._resize_cache(0)  # words are kept here
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
@@ -175,14 +195,14 @@ def _encoder(path: str) -> Callable[[pa.Array], Iterator[np.ndarray]]:
         and not spec.get("post_processor") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(SPACES.decode()) for t in spec["added_tokens"])
     )
     is_word, specials = table(SPACES), [t["content"].encode() for t in spec["added_tokens"]]
-    known: dict[str, int] = {}
-    pool, ends = array("I"), array("Q", [0])
+    # ids of the words met of late, and of those before them; every word is in one of the two when it is needed
+    young, old = _Pool(), _Pool()
 
     def encode(texts: list[str]) -> Iterator[list[int]]:
         return (e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
 
     def by_words(texts: pa.Array) -> Iterator[np.ndarray]:
-        nonlocal pool, ends
+        nonlocal young, old
         for _, _, data, at in chunks(texts, 1 << 22):
             s, e, words_at = word_bounds(data, at, is_word)
             raw = data.tobytes()
@@ -198,19 +218,21 @@ def _encoder(path: str) -> Callable[[pa.Array], Iterator[np.ndarray]]:
             words = pa.LargeStringArray.from_buffers(len(s), pa.py_buffer(bounds), pa.py_buffer(data[is_word[data]].tobytes()))
             coded = words.dictionary_encode()
             distinct = coded.dictionary.to_pylist()
-            if len(known) > KEPT_WORDS:
-                known.clear()
-                pool, ends = array("I"), array("Q", [0])
-            new = [w for w in distinct if w not in known]
-            for word, ids in zip(new, encode(new), strict=True):
-                known[word] = len(ends) - 1
-                pool.extend(ids)
-                ends.append(len(pool))
-            slot = np.array([known[w] for w in distinct], np.int64)[coded.indices.to_numpy()]
-            stop = np.array(ends, np.int64)
+            if len(young.slot) > KEPT_WORDS:
+                young, old = _Pool(), young
+            slots = [young.slot.get(w, -1) for w in distinct]
+            new = [i for i, at_slot in enumerate(slots) if at_slot < 0]
+            again = [i for i in new if distinct[i] in old.slot]
+            for i in again:
+                slots[i] = young.put(distinct[i], old.get(distinct[i]))
+            fresh = [i for i in new if slots[i] < 0]
+            for i, ids in zip(fresh, encode([distinct[i] for i in fresh]), strict=True):
+                slots[i] = young.put(distinct[i], ids)
+            slot = np.array(slots, np.int64)[coded.indices.to_numpy()]
+            pool, stop = np.array(young.ids, np.uint32), np.array(young.ends, np.int64)
             first, size = stop[slot], stop[slot + 1] - stop[slot]
             done = np.concatenate([[0], np.cumsum(size)])
-            flat = np.array(pool, np.uint32)[np.arange(done[-1]) + np.repeat(first - done[:-1], size)]
+            flat = pool[np.arange(done[-1]) + np.repeat(first - done[:-1], size)]
             for a, z in zip(done[words_at[:-1]], done[words_at[1:]], strict=True):
                 yield flat[a:z]
 
