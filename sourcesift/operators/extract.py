@@ -163,33 +163,33 @@ def hidden_routes(df: DataFrame) -> DataFrame:
     )
 
 
-def dependency_versions(df: DataFrame) -> DataFrame:
-    """Version per known package: its own notation first, else the last quoted pair."""
-    own = []
-    for package, pattern, *_ in x.VULNERABLE:
-        groups = 2 if pattern.count("([0-9.]+)") == 2 else 1
-        value = " , ".join(f"nullif(regexp_extract(src, {rx(pattern)}, {g}), '')" for g in range(1, groups + 1))
-        own.append(
-            f"CASE WHEN src RLIKE {rx(pattern)} THEN struct({quote(package)} AS package, coalesce({value}, '') AS version) END"
-        )
-    specific = df.selectExpr("artifact_id", "path", f"inline(array_compact(array({', '.join(own)})))")
-    specific = specific.filter("version != ''").withColumn("how", F.lit("specific"))
+DEPENDENCY_RULES = [*x.VERSION_REFS, *x.PACKAGE_REF]
+
+
+def versions_of(hits: DataFrame) -> DataFrame:
+    """Versions from the matches of ``DEPENDENCY_RULES``: see :func:`dependency_versions`."""
+    own = hits.filter("rule_id != 'ref'").selectExpr(
+        "artifact_id", "path", "split(rule_id, ':')[0] AS package", "g1 AS version", "'specific' AS how", "pos", "line", "-pos AS turn"
+    )
     known = ", ".join(quote(v[0]) for v in x.VULNERABLE)
-    pairs = explode_matches(df, x.PACKAGE_REF).selectExpr(
-        "artifact_id", "path", "lower(g1) AS package", "regexp_replace(g2, '[\\\\^~>=< ]', '') AS version", "pos"
+    pairs = hits.filter("rule_id = 'ref'").selectExpr(
+        "artifact_id", "path", "lower(g1) AS package", "regexp_replace(g2, '[\\\\^~>=< ]', '') AS version", "'pair' AS how", "pos", "line", "pos AS turn"
     ).filter(f"package IN ({known})")
-    pairs = pairs.groupBy("artifact_id", "path", "package").agg(
-        F.max(F.struct("pos", "version")).getField("version").alias("version")
-    ).filter("version != ''").withColumn("how", F.lit("pair"))
-    return specific.unionByName(pairs).groupBy("artifact_id", "path", "package").agg(
-        F.max(F.struct(F.col("how") == "specific", "version", "how")).alias("best")
-    ).select("artifact_id", "path", "package", "best.version", "best.how")
+    # the first of the own notations, else the last pair, which may have no number
+    best = F.max(F.struct(F.col("how") == "specific", "turn", "version", "how", "pos", "line")).alias("best")
+    rows = own.unionByName(pairs).groupBy("artifact_id", "path", "package").agg(best).filter("best.version != ''")
+    return rows.select("artifact_id", "path", "package", "best.version", "best.how", "best.pos", "best.line")
+
+
+def dependency_versions(df: DataFrame) -> DataFrame:
+    """Version per known package and where it stands: its own notation first, else the last quoted pair."""
+    return versions_of(explode_matches(df, DEPENDENCY_RULES, line=True))
 
 
 def vulnerable_dependencies(versions: DataFrame) -> DataFrame:
     """Versions below the first fixed one; the advisory list is a fixed ten rows and broadcast."""
     spark = versions.sparkSession
-    rows = [(p, *fixed, cve, sev) for p, _, fixed, cve, sev in x.VULNERABLE]
+    rows = [(p, *fixed, cve, sev) for p, fixed, cve, sev in x.VULNERABLE]
     listed = local_table(spark, 
         rows, "package string, fix_major int, fix_minor int, fix_patch int, cve string, severity string"
     )
@@ -205,7 +205,7 @@ def vulnerable_dependencies(versions: DataFrame) -> DataFrame:
     return older.selectExpr(
         "artifact_id", "path", "concat('dep-', package) AS rule_id", "'Vulnerable Dependency' AS category",
         "severity", "concat(package, '@', version) AS value", "cve",
-        "concat('below ', fix_major, '.', fix_minor, '.', fix_patch) AS context",
+        "concat('below ', fix_major, '.', fix_minor, '.', fix_patch) AS context", "pos", "line",
     )
 
 

@@ -23,7 +23,7 @@ from sourcesift.functions.text import (
     window,
     with_text_index,
 )
-from sourcesift.rules.model import SEVERITIES, Guard, Rule
+from sourcesift.rules.model import SEVERITIES, Guard, Linear, Rule
 
 ID_COLUMNS = ("artifact_id", "path")
 
@@ -34,33 +34,43 @@ def _gate(rule: Rule) -> str:
 
 
 def match_arrays(
-    df: DataFrame, rules: Sequence[Rule], ids: Sequence[str] = ID_COLUMNS, text: str = "src"
+    df: DataFrame, rules: Sequence[Rule], ids: Sequence[str] = ID_COLUMNS, text: str = "src", only: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per (artifact, rule with a match): match, group and offset arrays plus text index."""
+    """One row per (artifact, rule with a match): match, group and offset arrays plus text index.
+
+    ``only`` may give a condition per rule (SQL over the columns of ``df``); where it does not hold, the rule is not run.
+    """
     n_groups = max(r.groups for r in rules)
+    skips = any(isinstance(r.pattern, Linear) for r in rules)
 
     def arrays(ix: int, rule: Rule) -> str:
-        pattern = rx(rule.pattern)
+        pattern = rx(getattr(rule.pattern, "linear", rule.pattern))
         groups = "".join(
             f", regexp_extract_all(_src, {pattern}, {g}) AS g{g}"
             if g <= rule.groups
             else f", cast(array() AS array<string>) AS g{g}"
             for g in range(1, n_groups + 1)
         )
+        if isinstance(rule.pattern, Linear):  # the group after the pattern's own tells what was only skipped
+            groups += f", regexp_extract_all(_src, {pattern}, {rule.groups + 1}) AS skipped"
+        elif skips:
+            groups += ", cast(NULL AS array<string>) AS skipped"
+        when = f"({only[ix]}) AND " if only and only[ix] else ""
         return (
-            f"CASE WHEN ({_gate(rule)}) AND _src RLIKE {pattern} THEN struct({ix} AS ix, "
+            f"CASE WHEN {when}({_gate(rule)}) AND _src RLIKE {pattern} THEN struct({ix} AS ix, "
             f"regexp_extract_all(_src, {pattern}, 0) AS g0, split(_src, {pattern}, -1) AS gaps{groups}) END"
         )
 
     ids = list(ids)
-    base = with_text_index(df.select(*ids, F.col(text).alias("_src")), "_src")
+    base = with_text_index(df.select(*ids, *_named_in(df, only, ids, text), F.col(text).alias("_src")), "_src")
     if any(r.gate and r.ignore_case for r in rules):
         base = base.withColumn("_lower", F.lower("_src"))
     per_rule = ", ".join(arrays(i, r) for i, r in enumerate(rules))
     hits = base.selectExpr(
         *ids, "_blocks", "_lines", f"inline(array_compact(array({per_rule})))"
     )
-    keep = [*ids, "_blocks", "_lines", "ix", *[f"g{g}" for g in range(n_groups + 1)]]
+    columns = [f"g{g}" for g in range(n_groups + 1)]
+    keep = [*ids, "_blocks", "_lines", "ix", *columns, *["skipped"] * skips]
     # offset of match i = the gap before it plus everything before that gap
     steps = (
         "slice(zip_with(gaps, concat(array(0), transform(g0, m -> length(m))), "
@@ -68,7 +78,16 @@ def match_arrays(
     )
     hits = hits.selectExpr(*keep, f"{steps} AS _steps")
     hits = hits.selectExpr(*keep, f"{running_sum_runs('_steps')} AS _runs")
-    return hits.selectExpr(*keep, f"{join_runs('_runs')} AS pos")
+    hits = hits.selectExpr(*keep, f"{join_runs('_runs')} AS pos")
+    if skips:
+        real = "CASE WHEN skipped IS NULL THEN {0} ELSE filter({0}, (x, i) -> get(skipped, i) = '') END AS {0}"
+        hits = hits.selectExpr(*ids, "_blocks", "_lines", "ix", *[real.format(c) for c in (*columns, "pos")]).filter("size(g0) > 0")
+    return hits
+
+
+def _named_in(df: DataFrame, only: Sequence[str], ids: Sequence[str], text: str) -> list[str]:
+    """Columns besides the ids that conditions read."""
+    return [c for c in df.columns if c not in ids and c != text and any(c in (o or "") for o in only)]
 
 
 def _pick(values: Sequence[str], ix: str = "ix") -> str:

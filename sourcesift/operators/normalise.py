@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcesift.functions.text import local_table, quote, rx
+from sourcesift.functions.text import join_runs, local_table, quote, running_sum_runs, rx
 from sourcesift.operators.matching import explode_matches
 from sourcesift.rules import extraction as x
 
@@ -43,8 +43,8 @@ def unescape_entities(df: DataFrame, text: str = "src") -> DataFrame:
 
 
 def normalise(df: DataFrame, text: str = "src") -> DataFrame:
-    """The steps that rewrite text, in the order the scanners expect."""
-    out = unescape_entities(df, text).drop("n_entities")
+    """The steps that rewrite text, in the order the scanners expect: entities, literals, words, wrappers, brackets."""
+    out = decode_text(unescape_entities(df, text).drop("n_entities"), text)
     return brackets_to_dots(cleanup_bundle(normalise_literals(out, text), text), text)
 
 
@@ -59,39 +59,92 @@ def escape_stats(df: DataFrame, text: str = "src") -> DataFrame:
     )
 
 
-def decode_literals(df: DataFrame, text: str = "src") -> DataFrame:
-    """Encoded literals and their plain values: char codes, base64, hex arrays, joined strings."""
-    hits = explode_matches(df, x.LITERALS, text=text)
+def _values() -> list[str]:
+    """Per kind of literal, SQL for the plain value of its group ``g``; null where it has none."""
     codes = (
-        "filter(transform(split(g1, ','), c -> try_cast(regexp_extract(trim(c), '^[+-]?[0-9]+', 0) AS int)), "
+        "filter(transform(split(g, ','), c -> try_cast(regexp_extract(trim(c), '^[+-]?[0-9]+', 0) AS int)), "
         "c -> c IS NOT NULL)"
     )
     units = "'UTF-16BE'"
-    from_codes = f"decode(unhex(array_join(transform({codes}, c -> lpad(hex(pmod(c, 65536)), 4, '0')), '')), {units})"
-    hexes = "filter(split(g1, ','), h -> trim(h) != '')"
+    hexes = "filter(split(g, ','), h -> trim(h) != '')"
     from_hex = (
-        f"CASE WHEN size({hexes}) >= 2 AND forall({hexes}, h -> h RLIKE {rx(r'^\s*0x[0-9a-fA-F]{1,4}\s*$')}) THEN "
-        f"decode(unhex(array_join(transform({hexes}, h -> lpad(substring(regexp_replace(h, {rx(r'\s')}, ''), 3), 4, '0')), '')), {units}) END"
+        f"decode(unhex(array_join(transform({hexes}, h -> lpad(substring(regexp_replace(h, {rx(r'\s')}, ''), 3), 4, '0')), '')), {units})"
     )
-    parts = f"regexp_extract_all(g1, {rx(x.STRING_LITERAL)}, 1)"
-    rest = f"regexp_replace(regexp_replace(g1, {rx(x.STRING_LITERAL)}, ''), {rx(r'[\s,]')}, '')"
-    value = f"""CASE rule_id
-      WHEN 'char_codes' THEN CASE WHEN size({codes}) > 0 THEN {from_codes} END
-      WHEN 'base64' THEN make_valid_utf8(cast(try_to_binary(g1, 'base64') AS string))
-      WHEN 'hex_array' THEN {from_hex}
-      WHEN 'concat' THEN array_join({parts}, '')
-      WHEN 'array_join' THEN CASE WHEN size({parts}) >= 2 AND {rest} = '' THEN array_join({parts}, '') END
-    END"""
-    out = hits.selectExpr("artifact_id", "path", "rule_id AS kind", "pos", f"{value} AS value")
+    parts = f"regexp_extract_all(g, {rx(x.STRING_LITERAL)}, 1)"
     printable = rx(r"^[ -~\t\n\r]+$")
-    return out.filter(f"value IS NOT NULL AND (kind != 'hex_array' OR value RLIKE {printable})")
+    return [
+        f"CASE WHEN size({codes}) > 0 THEN decode(unhex(array_join(transform({codes}, c -> lpad(hex(pmod(c, 65536)), 4, '0')), '')), {units}) END",
+        "make_valid_utf8(cast(try_to_binary(g, 'base64') AS string))",
+        f"CASE WHEN size({hexes}) >= 2 AND forall({hexes}, h -> h RLIKE {rx(r'^\s*0x[0-9a-fA-F]{1,4}\s*$')}) "
+        f"THEN CASE WHEN {from_hex} RLIKE {printable} THEN {from_hex} END END",
+        f"array_join({parts}, '')",
+        f"CASE WHEN size({parts}) >= 2 THEN array_join({parts}, '') END",
+    ]
+
+
+def _let(bound: dict[str, str], body: str) -> str:
+    """SQL that evaluates each expression once, in order, under its name."""
+    for name, expression in reversed(bound.items()):
+        body = f"element_at(transform(array({expression}), {name} -> {body}), 1)"
+    return body
+
+
+def quoted(value: str) -> str:
+    """SQL for a text as a double-quoted literal of source code; null for null."""
+    return _let({"q": f"CASE WHEN {value} IS NOT NULL THEN to_json(named_struct('v', {value})) END"}, "substring(q, 6, length(q) - 6)")
+
+
+_FOUND = "array<struct<kind: string, round: int, pos: int, value: string>>"
+
+
+def decoded(text: str) -> str:
+    """SQL struct of a text with its encoded literals replaced by their plain values (``src``), and these (``found``).
+
+    A round reads the text once, from left to right; values are spliced back, quoted, between the gaps,
+    and what that makes whole is decoded in the next round, until nothing changes.
+    """
+    pattern = rx(x.literal("++"))
+    kinds = " ".join(f"WHEN {i} THEN {quote(k)}" for i, k in enumerate(x.LITERAL_KINDS))
+    groups = {f"a{i}": f"regexp_extract_all(t, {pattern}, {i + 1})" for i in range(len(x.LITERAL_KINDS))}
+    which = " ".join(f"WHEN get(a{i}, i) != '' THEN {i}" for i in range(len(x.LITERAL_KINDS)))
+    value = " ".join(f"WHEN {i} THEN {_let({'g': f'get(a{i}, i)'}, v)}" for i, v in enumerate(_values()))
+    bound = {
+        "t": "acc.src", "gaps": f"split(t, {pattern}, -1)", "m": f"regexp_extract_all(t, {pattern}, 0)", **groups,
+        "k": f"transform(m, (x, i) -> CASE {which} END)",
+        "v": f"transform(m, (x, i) -> CASE get(k, i) {value} END)",
+        "steps": "slice(zip_with(gaps, concat(array(0), transform(m, x -> length(x))), (gap, prior) -> length(gap) + prior), 1, size(m))",
+        "runs": running_sum_runs("steps"), "places": join_runs("runs"),
+    }
+    spliced = f"array_join(zip_with(gaps, concat(transform(m, (x, i) -> coalesce({quoted('get(v, i)')}, x)), array('')), (gap, x) -> concat(gap, x)), '')"
+    rows = f"filter(transform(m, (x, i) -> struct(CASE get(k, i) {kinds} END AS kind, round, get(places, i) AS pos, get(v, i) AS value)), f -> f.value IS NOT NULL)"
+    step = _let(bound, f"named_struct('src', {spliced}, 'found', cast(concat(acc.found, {rows}) AS {_FOUND}), 'more', exists(v, x -> x IS NOT NULL))")
+    signs = " OR ".join(f"contains(acc.src, {quote(g)})" for g in x.LITERAL_SIGNS)
+    return (
+        f"aggregate(sequence(0, {x.LITERAL_ROUNDS - 1}), named_struct('src', {text}, 'found', cast(array() AS {_FOUND}), 'more', true), "
+        f"(acc, round) -> CASE WHEN acc.more AND ({signs}) AND acc.src RLIKE {pattern} THEN {step} "
+        "ELSE named_struct('src', acc.src, 'found', acc.found, 'more', false) END)"
+    )
+
+
+def decode_literals(df: DataFrame, text: str = "src") -> DataFrame:
+    """Encoded literals and their plain values: char codes, base64, hex arrays, joined strings.
+
+    A literal inside another has a later ``round``; ``pos`` counts in the text as its round found it, which is
+    the text itself in round 0.
+    """
+    rows = df.selectExpr("artifact_id", "path", f"{decoded(text)} AS d")
+    return rows.selectExpr("artifact_id", "path", "inline(d.found)")
+
+
+def decode_text(df: DataFrame, text: str = "src") -> DataFrame:
+    """The text with its encoded literals replaced by their plain values."""
+    return _rewrite(df, f"({decoded(text)}).src", text)
 
 
 def literals_as_artifacts(literals: DataFrame) -> DataFrame:
     """Decoded values as texts of their own, so that any rule pack can scan them."""
-    return literals.selectExpr(
-        "artifact_id", "concat(path, '#', kind, '@', pos) AS path", "value AS src"
-    )
+    at = "concat(path, '#', kind, '@', CASE WHEN round > 0 THEN concat(round, ':') ELSE '' END, pos)"
+    return literals.selectExpr("artifact_id", f"{at} AS path", "value AS src")
 
 
 def module_names(spark: SparkSession) -> DataFrame:

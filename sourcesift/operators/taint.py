@@ -12,6 +12,7 @@ from sourcesift.rules import surface as s
 from sourcesift.rules import taint as t
 
 KEYS = ("artifact_id", "path")
+_SALTS = 32
 
 
 def _lookup(rules, attr: str, column: str) -> str:
@@ -111,25 +112,21 @@ def assignment_edges(assigned: DataFrame, keys=KEYS) -> DataFrame:
 def propagate_taint(seeds: DataFrame, edges: DataFrame, rounds: int = 5, keys=KEYS) -> DataFrame:
     """Variables reached within ``rounds`` assignments, with the shortest hop and its source.
 
-    Each round joins only the newest names, keyed by (artifact, name), so a large artifact spreads
-    over tasks. Rounds go through the checkpoint folder: plans stay short, a lost executor costs
-    one round, and the loop ends early when nothing new appears.
+    One plan of ``rounds`` joins by (artifact, name) and no job of its own. Every name also leads to itself at
+    no cost, so a round reads the one before it once; the state stays where its last aggregation left
+    it, and the links are shuffled once for all rounds.
     """
     keys = list(keys)
-    edges = cut_lineage(edges)
-    reached = cut_lineage(seeds.selectExpr(*keys, "var", "source_id", "0 AS hop"))
-    frontier = reached
-    for hop in range(1, rounds + 1):
-        step = edges.withColumnRenamed("var", "next").join(
-            frontier.withColumnRenamed("var", "used"), [*keys, "used"]
-        )
-        step = step.groupBy(*keys, F.col("next").alias("var")).agg(F.min("source_id").alias("source_id"))
-        fresh = step.join(reached.select(*keys, "var"), [*keys, "var"], "left_anti")
-        frontier = cut_lineage(fresh.withColumn("hop", F.lit(hop)))
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
-    return reached
+    names = seeds.select(*keys, "var").unionByName(edges.select(*keys, "var")).distinct()
+    links = edges.selectExpr(*keys, "used", "var AS next", "1 AS step").unionByName(
+        names.selectExpr(*keys, "var AS used", "var AS next", "0 AS step")
+    )
+    state = seeds.groupBy(*keys, "var").agg(F.min(F.struct(F.lit(0).alias("hop"), "source_id")).alias("best"))
+    for _ in range(rounds):
+        moved = links.join(state.withColumnRenamed("var", "used"), [*keys, "used"])
+        moved = moved.selectExpr(*keys, "next AS var", "struct(best.hop + step AS hop, best.source_id AS source_id) AS best")
+        state = moved.groupBy(*keys, "var").agg(F.min("best").alias("best"))
+    return state.select(*keys, "var", "best.source_id", "best.hop")
 
 
 _FLOW = (
@@ -165,8 +162,9 @@ def _direct(hits: DataFrame, tainted: DataFrame | None, keys) -> DataFrame:
         *keys, "rule_id AS sink_id", "pos", "line", f"substring({one_line('a')}, 1, 120) AS context",
         f"explode(array_compact(array({seen}))) AS source_id",
     )
-    if tainted is not None:
-        rows = rows.join(tainted.select(*keys).distinct(), list(keys), "left_semi")
+    if tainted is not None:  # an artifact may hold most of the sinks, so its rows are spread by offset
+        some = tainted.select(*keys).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        rows = rows.withColumn("_salt", F.pmod("pos", F.lit(_SALTS)).cast("int")).join(some, [*keys, "_salt"], "left_semi")
     return _flow(rows, keys, "taint-flow-direct", "concat(source_id, ' → ', sink_id, ' (direct)')", "''", "0")
 
 
@@ -179,21 +177,22 @@ def taint_direct(df: DataFrame, tainted: DataFrame | None = None, keys=KEYS) ->
 
 
 def _closure(hits: DataFrame, rounds: int, keys) -> DataFrame:
-    seeds = cut_lineage(_seeds(hits, keys))
-    # assignments matter only where something is tainted at all
-    assigned = _assigned(hits, keys).join(seeds.select(*keys).distinct(), list(keys), "left_semi")
-    return propagate_taint(seeds, assignment_edges(assigned, keys), rounds, keys)
+    return propagate_taint(_seeds(hits, keys), assignment_edges(_assigned(hits, keys), keys), rounds, keys)
 
 
 def taint_closure(df: DataFrame, rounds: int = 5, keys=KEYS) -> DataFrame:
     return _closure(taint_hits(df, keys), rounds, keys)
 
 
+def flows_of(hits: DataFrame, keys=KEYS) -> DataFrame:
+    """Flows from matches with their windows, as :func:`taint_hits` returns them."""
+    tainted = _closure(hits, 5, keys)
+    return _reached(hits, tainted, keys).unionByName(_direct(hits, _seeds(hits, keys), keys))
+
+
 def taint_flows(df: DataFrame, keys=KEYS) -> DataFrame:
     """Flows through variables and direct ones."""
-    hits = taint_hits(df, keys)
-    tainted = _closure(hits, 5, keys)
-    return _reached(hits, tainted, keys).unionByName(_direct(hits, tainted, keys))
+    return flows_of(taint_hits(df, keys), keys)
 
 
 def taint_by_module(modules: DataFrame) -> DataFrame:
@@ -213,27 +212,29 @@ def taint_summary(flows: DataFrame) -> DataFrame:
     )
 
 
-def scan_taint_fallback(df: DataFrame) -> DataFrame:
-    """Nearby-source heuristic: the first tainted name, source or parameter property by a sink."""
-    hits = explode_matches(df, s.FALLBACK_SOURCES, windows={"w": (120, 0)})
+def fallback_of(sources: DataFrame, sinks: DataFrame) -> DataFrame:
+    """The nearby-source heuristic over matches with the characters ``before`` and ``after`` their offset."""
     var = (
-        f"coalesce(nullif(regexp_extract(w, {rx(t.FALLBACK_DECLARED)}, 1), ''), "
-        f"nullif(regexp_extract(w, {rx(t.FALLBACK_MEMBER)}, 1), ''), "
-        f"nullif(regexp_extract(concat(w, substring(m, 1, 1)), {rx(t.FALLBACK_PARAM)}, 1), ''))"
+        f"coalesce(nullif(regexp_extract(before, {rx(t.FALLBACK_DECLARED)}, 1), ''), "
+        f"nullif(regexp_extract(before, {rx(t.FALLBACK_MEMBER)}, 1), ''), "
+        f"nullif(regexp_extract(concat(before, substring(m, 1, 1)), {rx(t.FALLBACK_PARAM)}, 1), ''))"
     )
-    seeds = hits.selectExpr("artifact_id", f"{var} AS var", f"{_rank(s.FALLBACK_SOURCES, 'rule_id')} AS turn", "pos AS s_pos")
+    seeds = sources.selectExpr("artifact_id", f"{var} AS var", f"{_rank(s.FALLBACK_SOURCES, 'rule_id')} AS turn", "pos AS s_pos")
     seeds = seeds.filter("var IS NOT NULL").groupBy("artifact_id", "var").agg(F.min(F.struct("turn", "s_pos")).alias("turn"))
-    sinks = explode_matches(df, s.FALLBACK_SINKS, windows={"w": (200, 200), "c": (150, 150)}, line=True)
     by_source = " ".join(f"WHEN w RLIKE {rx(r.pattern)} THEN {quote(r.rule_id)}" for r in s.FALLBACK_SOURCES)
     parameter = f"w RLIKE {rx(t.PARAMETERS)} AND w RLIKE {rx(t.PARAMETER_PROPERTY)}"
-    sinks = sinks.selectExpr(
-        "artifact_id", "path", "rule_id AS sink", "pos", "line", f"{one_line('c')} AS context",
+    near = sinks.selectExpr(
+        "artifact_id", "path", "rule_id AS sink", "pos", "line", "concat(before, after) AS w",
+        f"{one_line('concat(right(before, 150), left(after, 150))')} AS context",
+    )
+    sinks = near.selectExpr(
+        "artifact_id", "path", "sink", "pos", "line", "context",
         f"CASE {by_source} WHEN {parameter} THEN 'function parameter property' END AS near",
         f"array_distinct(regexp_extract_all(w, {rx('[A-Za-z_$][A-Za-z0-9_$]*')}, 0)) AS names",
     )
     named = sinks.selectExpr("artifact_id", "sink", "pos", "explode(names) AS var").join(seeds, ["artifact_id", "var"])
     named = named.groupBy("artifact_id", "sink", "pos").agg(F.min(F.struct("turn", "var")).getField("var").alias("var"))
-    found = sinks.join(named, ["artifact_id", "sink", "pos"], "left")
+    found = sinks.drop("names").join(named, ["artifact_id", "sink", "pos"], "left")
     found = found.selectExpr("*", "coalesce(var, near) AS source").filter("source IS NOT NULL")
     return found.selectExpr(
         "artifact_id", "path", "'taint-flow' AS rule_id", f"{_lookup(s.FALLBACK_SINKS, 'severity', 'sink')} AS severity",
@@ -241,11 +242,25 @@ def scan_taint_fallback(df: DataFrame) -> DataFrame:
     )
 
 
-def taint_with_fallback(df: DataFrame) -> DataFrame:
+FALLBACK_WINDOWS = {"sources": (120, 0), "sinks": (200, 200)}
+
+
+def scan_taint_fallback(df: DataFrame) -> DataFrame:
+    """Nearby-source heuristic: the first tainted name, source or parameter property by a sink."""
+
+    def around(rules, before: int, after: int) -> DataFrame:
+        return explode_matches(df, rules, windows={"before": (before, 0), "after": (0, after)}, line=True)
+
+    return fallback_of(around(s.FALLBACK_SOURCES, *FALLBACK_WINDOWS["sources"]), around(s.FALLBACK_SINKS, *FALLBACK_WINDOWS["sinks"]))
+
+
+def with_fallback(flows: DataFrame, fallback: DataFrame) -> DataFrame:
     """Main flows; artifacts without any use the nearby-source heuristic."""
-    columns = ["artifact_id", "path", "rule_id", "severity", "value", "cwe", "pos", "line"]
-    flows = cut_lineage(taint_flows(df).select(*columns))
-    rest = scan_taint_fallback(df).select(*columns).join(
-        flows.select("artifact_id").distinct(), "artifact_id", "left_anti"
-    )
-    return flows.unionByName(rest)
+    columns = ["artifact_id", "path", "rule_id", "severity", "value", "context", "cwe", "pos", "line"]
+    rest = fallback.select(*columns).join(flows.select("artifact_id").distinct(), "artifact_id", "left_anti")
+    return flows.select(*columns).unionByName(rest)
+
+
+def taint_with_fallback(df: DataFrame) -> DataFrame:
+    """Main flows of a corpus, and the nearby-source heuristic for artifacts without any."""
+    return with_fallback(taint_flows(df), scan_taint_fallback(df)).drop("context")

@@ -119,34 +119,63 @@ add(
     {cnt(x.HEX_ESCAPE)} AS hex_escapes, {cnt(x.ENTITY)} AS entities FROM corpus""",
 )
 
-_PARTS = f"regexp_extract_all(g1, {o.rx(x.STRING_LITERAL)}, 1)"
-_REST = f"regexp_replace(regexp_replace(g1, {o.rx(x.STRING_LITERAL)}, '', 'g'), {o.rx(r'[\s,]')}, '', 'g')"
+# Rounds of decoding as a recursion over texts: gaps and values in turn, values by their own expressions.
+_LIT = o.rx(x.literal())
 _CODES = (
-    "list_filter(list_transform(string_split(g1, ','), lambda c: TRY_CAST(regexp_extract(trim(c), '^[+-]?[0-9]+', 0) AS INTEGER)), "
+    "list_filter(list_transform(string_split(g, ','), lambda c: TRY_CAST(regexp_extract(trim(c), '^[+-]?[0-9]+', 0) AS INTEGER)), "
     "lambda c: c IS NOT NULL)"
 )
-_HEXES = "list_filter(string_split(g1, ','), lambda h: trim(h) <> '')"
+_HEXES = "list_filter(string_split(g, ','), lambda h: trim(h) <> '')"
 _HEX_OK = f"len({_HEXES}) >= 2 AND len(list_filter({_HEXES}, lambda h: NOT regexp_matches(h, {o.rx(r'^\s*0x[0-9a-fA-F]{1,4}\s*$')}))) = 0"
-LITERALS_CTE = (
-    o.matches_cte(x.LITERALS, "lh")
-    + f""", lv AS (SELECT artifact_id, path, rule_id AS kind, pos, CASE rule_id
-      WHEN 'char_codes' THEN CASE WHEN len({_CODES}) > 0 THEN array_to_string(list_transform({_CODES}, lambda c: chr(c)), '') END
-      WHEN 'base64' THEN TRY(decode(from_base64(g1)))
-      WHEN 'hex_array' THEN CASE WHEN {_HEX_OK} THEN array_to_string(list_transform({_HEXES}, lambda h: chr(CAST(trim(h) AS INTEGER))), '') END
-      WHEN 'concat' THEN array_to_string({_PARTS}, '')
-      WHEN 'array_join' THEN CASE WHEN len({_PARTS}) >= 2 AND {_REST} = '' THEN array_to_string({_PARTS}, '') END END AS value FROM lh),
-    literals AS (SELECT * FROM lv WHERE value IS NOT NULL AND (kind <> 'hex_array' OR regexp_matches(value, {o.rx(r'^[ -~\t\n\r]+$')})))"""
-)
-add("decode_literals", lambda spark, sf: n.decode_literals(code_corpus(spark, sf)), code(LITERALS_CTE) + " SELECT * FROM literals")
+_HEX = f"array_to_string(list_transform({_HEXES}, lambda h: chr(CAST(trim(h) AS INTEGER))), '')"
+_PARTS = f"regexp_extract_all(g, {o.rx(x.STRING_LITERAL)}, 1)"
+_PLAIN = [
+    f"CASE WHEN len({_CODES}) > 0 THEN array_to_string(list_transform({_CODES}, lambda c: chr(c)), '') END",
+    "TRY(decode(from_base64(g)))",
+    f"CASE WHEN {_HEX_OK} AND regexp_matches({_HEX}, {o.rx(r'^[ -~\t\n\r]+$')}) THEN {_HEX} END",
+    f"array_to_string({_PARTS}, '')",
+    f"CASE WHEN len({_PARTS}) >= 2 THEN array_to_string({_PARTS}, '') END",
+]
+
+
+def _choose(values) -> str:
+    return "CASE " + " ".join(f"WHEN g{i}[i] <> '' THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+def decoded_ctes(source: str = "corpus", first: str = "src", name: str = "lit") -> str:
+    """CTEs: ``{name}_texts`` (artifact_id, path, src: decoded to the end) and ``literals`` (kind, round, pos, value)."""
+    lists = ", ".join(f"regexp_extract_all(s, {_LIT}, {i}) AS g{i - 1}" for i in range(1, 6))
+    plain = _choose(f"list_transform([g{i}[i]], lambda g: {v})[1]" for i, v in enumerate(_PLAIN))
+    return f"""{name}_rounds AS (SELECT artifact_id, path, 0 AS round, {first} AS s, [] :: STRUCT(kind VARCHAR, pos INTEGER, value VARCHAR)[] AS found, true AS more FROM {source}
+      UNION ALL SELECT artifact_id, path, round + 1,
+        array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || CASE WHEN i > len(m) THEN '' ELSE coalesce(CAST(to_json(v[i]) AS VARCHAR), m[i]) END), ''),
+        list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'kind': {_choose(sql_text(k) for k in x.LITERAL_KINDS)}, 'pos':
+          CAST({o._len_sum.format('gaps[1:i]')} + {o._len_sum.format('m[1:i-1]')} AS INTEGER), 'value': v[i]}}), lambda f: f.value IS NOT NULL),
+        len(list_filter(v, lambda w: w IS NOT NULL)) > 0
+      FROM (SELECT *, list_transform(range(1, len(m) + 1), lambda i: {plain}) AS v FROM (SELECT artifact_id, path, round, regexp_split_to_array(s, {_LIT}) AS gaps,
+        regexp_extract_all(s, {_LIT}, 0) AS m, {lists} FROM {name}_rounds WHERE more AND round < {x.LITERAL_ROUNDS} AND regexp_matches(s, {_LIT}))) AS step),
+    {name}_all AS MATERIALIZED (SELECT * FROM {name}_rounds),
+    {name}_texts AS MATERIALIZED (SELECT artifact_id, path, arg_max(s, round) AS src FROM {name}_all GROUP BY 1, 2),
+    {name}erals AS MATERIALIZED (SELECT artifact_id, path, f.kind AS kind, CAST(round - 1 AS INTEGER) AS round, f.pos AS pos, f.value AS value
+      FROM (SELECT artifact_id, path, round, unnest(found) AS f FROM {name}_all))"""
+
+
+LITERALS_CTE = decoded_ctes()
+add("decode_literals", lambda spark, sf: n.decode_literals(mixed_corpus(spark, sf)), mixed(LITERALS_CTE) + " SELECT * FROM literals")
+add("decode_text", lambda spark, sf: n.decode_text(mixed_corpus(spark, sf)), mixed(LITERALS_CTE) + " SELECT * FROM lit_texts")
+REWRITTEN = replaced(replaced(replaced("src", x.NORMALISE_LITERALS), x.CLEANUP_BUNDLE), x.BRACKETS_TO_DOTS)
+#: ``rewritten``: the corpus as the whole scan reads it.
+REWRITTEN_CTE = decoded_ctes(first=_UNESCAPED) + f", rewritten AS MATERIALIZED (SELECT artifact_id, path, {REWRITTEN} AS src FROM lit_texts)"
+add("normalise", lambda spark, sf: n.normalise(mixed_corpus(spark, sf)), mixed(REWRITTEN_CTE) + " SELECT * FROM rewritten")
 _BOTH = PACKS["credentials"] + PACKS["security"]
 add(
     "decoded_literal_findings",
-    lambda spark, sf: scan_rules(n.literals_as_artifacts(n.decode_literals(code_corpus(spark, sf))), _BOTH).select(
+    lambda spark, sf: scan_rules(n.literals_as_artifacts(n.decode_literals(mixed_corpus(spark, sf))), _BOTH).select(
         "artifact_id", "path", "rule_id", "severity", "value", "pos"
     ),
-    code(
+    mixed(
         LITERALS_CTE,
-        "lit AS MATERIALIZED (SELECT artifact_id, path || '#' || kind || '@' || CAST(pos AS VARCHAR) AS path, value AS src FROM literals)",
+        "lit AS MATERIALIZED (SELECT artifact_id, path || '#' || kind || '@' || CASE WHEN round > 0 THEN round || ':' ELSE '' END || CAST(pos AS VARCHAR) AS path, value AS src FROM literals)",
         o.scan_cte(_BOTH, source="lit"),
     )
     + " SELECT artifact_id, path, rule_id, severity, value, pos FROM findings",
@@ -320,34 +349,52 @@ add(
     lambda spark, sf: e.nested_routes(mixed_corpus(spark, sf)),
     mixed(ROUTE_ROWS_CTE) + " SELECT artifact_id, path, route, pos, CAST(step AS INTEGER) AS step FROM route_rows WHERE producer = 4 AND step > 0",
 )
-add("hidden_routes", lambda spark, sf: e.hidden_routes(code_corpus(spark, sf)), code(HIDDEN_CTE) + " SELECT * FROM hidden")
+add("hidden_routes", lambda spark, sf: e.hidden_routes(mixed_corpus(spark, sf)), mixed(HIDDEN_CTE) + " SELECT * FROM hidden")
+
+# Own statement of where versions stand: the first match of one pattern per package, or the last pair.
+_QUOTED = """["']{0}["'].*?["']([0-9.]+)["']|{0}@([0-9.]+)"""
+_OWN = {p: _QUOTED.format(p) for p in ("lodash", "axios", "d3")} | {"jquery": "(?i)" + _QUOTED.format("jquery"), "angular/core": "@angular/core@([0-9.]+)"}
+_OWN |= {p: p.replace(".", "[.]") + "@([0-9.]+)" for p in ("socket.io", "moment", "marked", "node-fetch", "minimatch")}
+
+
+def _specific(source: str) -> str:
+    parts = []
+    for package, *_ in x.VULNERABLE:
+        pattern = _OWN[package]
+        value = ", ".join(f"nullif(regexp_extract(src, {o.rx(pattern)}, {g}), '')" for g in range(1, pattern.count("([0-9.]+)") + 1))
+        parts.append(
+            f"SELECT artifact_id, path, {sql_text(package)} AS package, coalesce({value}) AS version, "
+            f"CAST(length(regexp_split_to_array(src, {o.rx(pattern)})[1]) AS INTEGER) AS pos, src FROM {source} WHERE {found(pattern)}"
+        )
+    return " UNION ALL ".join(parts)
+
 
-_SPECIFIC = " UNION ALL ".join(
-    f"SELECT artifact_id, path, {sql_text(p)} AS package, coalesce("
-    + ", ".join(f"nullif(regexp_extract(src, {o.rx(pattern)}, {g}), '')" for g in range(1, pattern.count("([0-9.]+)") + 1))
-    + f") AS version FROM corpus WHERE {found(pattern)}"
-    for p, pattern, *_ in x.VULNERABLE
-)
 _KNOWN = ", ".join(sql_text(v[0]) for v in x.VULNERABLE)
-DEPS_CTE = (
-    o.matches_cte(x.PACKAGE_REF, "ph")
-    + f""", sv AS (SELECT * FROM ({_SPECIFIC}) WHERE version IS NOT NULL),
-    pv AS (SELECT artifact_id, path, lower(g1) AS package, regexp_replace(g2, '[\\^~>=< ]', '', 'g') AS version FROM ph WHERE lower(g1) IN ({_KNOWN})
+
+
+def deps_cte(source: str = "corpus") -> str:
+    return (
+        o.matches_cte(x.PACKAGE_REF, "ph", source)
+        + f""", sv AS (SELECT * FROM ({_specific(source)}) WHERE version IS NOT NULL),
+    pv AS (SELECT artifact_id, path, lower(g1) AS package, regexp_replace(g2, '[\\^~>=< ]', '', 'g') AS version, pos, src FROM ph WHERE lower(g1) IN ({_KNOWN})
       QUALIFY row_number() OVER (PARTITION BY artifact_id, lower(g1) ORDER BY pos DESC) = 1),
-    versions AS (SELECT *, 'specific' AS how FROM sv UNION ALL SELECT *, 'pair' FROM pv WHERE version <> ''
-      AND NOT EXISTS (SELECT 1 FROM sv WHERE sv.artifact_id = pv.artifact_id AND sv.package = pv.package))"""
-)
+    versions AS (SELECT artifact_id, path, package, version, how, pos, {o.line()} AS line FROM (SELECT *, 'specific' AS how FROM sv UNION ALL SELECT *, 'pair' FROM pv WHERE version <> ''
+      AND NOT EXISTS (SELECT 1 FROM sv WHERE sv.artifact_id = pv.artifact_id AND sv.package = pv.package)))"""
+    )
+
+
+DEPS_CTE = deps_cte()
 add("dependency_versions", lambda spark, sf: e.dependency_versions(mixed_corpus(spark, sf)), mixed(DEPS_CTE) + " SELECT * FROM versions")
-_FIXES = ", ".join(f"({sql_text(p)}, {a}, {b}, {d}, '{cve}', '{sev}')" for p, _, (a, b, d), cve, sev in x.VULNERABLE)
+_FIXES = ", ".join(f"({sql_text(p)}, {a}, {b}, {d}, '{cve}', '{sev}')" for p, (a, b, d), cve, sev in x.VULNERABLE)
 _V = [f"coalesce(TRY_CAST(nullif(split_part(version, '.', {i}), '') AS INTEGER), 0)" for i in (1, 2, 3)]
+OUTDATED = f"""TRY_CAST(split_part(version, '.', 1) AS INTEGER) IS NOT NULL
+      AND ({_V[0]} < ma OR ({_V[0]} = ma AND {_V[1]} < mi) OR ({_V[0]} = ma AND {_V[1]} = mi AND {_V[2]} < pa))"""
 add(
     "vulnerable_dependencies",
     lambda spark, sf: e.vulnerable_dependencies(e.dependency_versions(mixed_corpus(spark, sf))),
     mixed(DEPS_CTE, f"fixes(package, ma, mi, pa, cve, severity) AS (VALUES {_FIXES})")
     + f""" SELECT artifact_id, path, 'dep-' || package AS rule_id, 'Vulnerable Dependency' AS category, severity, package || '@' || version AS value, cve,
-    'below ' || ma || '.' || mi || '.' || pa AS context FROM versions JOIN fixes USING (package)
-    WHERE TRY_CAST(split_part(version, '.', 1) AS INTEGER) IS NOT NULL
-      AND ({_V[0]} < ma OR ({_V[0]} = ma AND {_V[1]} < mi) OR ({_V[0]} = ma AND {_V[1]} = mi AND {_V[2]} < pa))""",
+    'below ' || ma || '.' || mi || '.' || pa AS context, pos, line FROM versions JOIN fixes USING (package) WHERE {OUTDATED}""",
 )
 _BW = " ".join(f"WHEN {found(p)} THEN {sql_text(b)}" for b, p, _ in x.BUNDLERS)
 _BS = " ".join(f"WHEN {sql_text(b)} THEN 1 + " + " + ".join(f"least({cnt(m)}, 5)" for m in ms) for b, _, ms in x.BUNDLERS)

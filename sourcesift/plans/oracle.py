@@ -138,7 +138,7 @@ def scan_cte(rules: Sequence[Rule], name: str = "findings", source: str = "corpu
 
 
 def with_corpus(kind: str, *ctes: str) -> str:
-    return "WITH " + ", ".join([corpus_sql(kind), *[c for c in ctes if c]])
+    return "WITH RECURSIVE " + ", ".join([corpus_sql(kind), *[c for c in ctes if c]])
 
 
 FINDING_COLUMNS = "artifact_id, path, rule_id, category, severity, value, context, pos, line"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sourcesift.rules.model import Guard, Rule
+from sourcesift.rules.model import LINE_END, Guard, Rule, span
 
 
 def _skip(regex: str) -> tuple[Guard, ...]:
@@ -66,7 +66,7 @@ CREDENTIALS = [
           r"""cookieService\.put\s*\(\s*["']token["']""",
           ("cookieService.put",), description="Session token written to a cookie"),
     _rule("weak-random-password", "Weak Entropy — Math.random password", "high",
-          r"(?i)Math\.random\s*\(\s*\).*?password",
+          span(r"(?i)Math\.random\s*\(\s*\)", ".", "password", lazy=True, stop=r"Math\.random[\s(]*" + LINE_END),
           ("math.random",), description="Password from a weak random source"),
     _rule("private-key", "Private Key", "critical",
           r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----",

@@ -5,6 +5,9 @@ Fixed values in this file: patterns, replacements, word lists and dictionaries d
 
 from __future__ import annotations
 
+import re
+
+from sourcesift.rules.model import name_then, span
 from sourcesift.rules.surface import spec
 
 NORMALISE_LITERALS = [
@@ -25,13 +28,21 @@ ENTITY = r"&(?:amp|lt|gt|quot|apos|nbsp);"
 UNICODE_ESCAPES = (r"\\u\{[0-9a-fA-F]{1,6}\}", r"\\u[0-9a-fA-F]{4}")
 HEX_ESCAPE = r"\\x[0-9a-fA-F]{2}"
 
-LITERALS = [
-    spec("char_codes", r"String\.fromCharCode\s*\(([^)]+)\)", ("String.fromCharCode",), 1),
-    spec("base64", r"""atob\s*\(\s*["']([A-Za-z0-9+/=]+)["']\s*\)""", ("atob",), 1),
-    spec("hex_array", r"\[([0-9a-fA-FxX,\s]+)\]", ("0x",), 1),
-    spec("concat", r"""(["'][^"']*["'](?:\s*\+\s*["'][^"']*["'])+)""", ("+",), 1),
-    spec("array_join", r"""\[([^\[\]]*)\]\s*\.\s*join\s*\(\s*["']\s*["']\s*\)""", ("join",), 1),
-]
+
+def literal(once: str = "+") -> str:
+    """Every encoded literal, one group per kind in the order of ``LITERAL_KINDS``; ``once`` repeats list items."""
+    joined = rf"""(["'][^"']*["'](?:\s*\+\s*["'][^"']*["']){once})"""
+    listed = rf"""\[\s*((?:["'][^"']*["']\s*,?\s*){once})\]\s*\.\s*join\s*\(\s*["']\s*["']\s*\)"""
+    return "|".join([
+        r"String\.fromCharCode\s*\(([^)]+)\)", r"""atob\s*\(\s*["']([A-Za-z0-9+/=]+)["']\s*\)""",
+        r"\[([0-9a-fA-FxX,\s]+)\]", joined, listed,
+    ])
+
+
+LITERAL_KINDS = ("char_codes", "base64", "hex_array", "concat", "array_join")
+LITERAL_SIGNS = ("String.fromCharCode", "atob", "0x", "+", "join")
+#: A literal inside another is decoded a round later; there are at most so many rounds.
+LITERAL_ROUNDS = 10
 STRING_LITERAL = r"""["']([^"']*)["']"""
 
 ALIAS = [spec("alias", r"(?:var|const|let)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*d\((\d+)\)", ("d(",), 2)]
@@ -100,7 +111,7 @@ SYMBOL_GATES = {
     "immer": r"produce|createDraft|finishDraft|immer",
 }
 CALL_NAMES = [
-    spec("call", r"([A-Za-z0-9_$]+)\s*\(", ("(",), 1),
+    spec("call", name_then("[A-Za-z0-9_$]", "[A-Za-z0-9_$]", r"\s*\("), ("(",), 1),
     spec("member", r"\b([A-Za-z]{1,2}\.[A-Za-z]{1,2})\b", (".",), 1),
 ]
 
@@ -201,20 +212,36 @@ HIDDEN_ROUTE = r"^[a-z0-9][a-z0-9\-_/]{2,}$"
 PACKAGE_REF = [
     spec("ref", r"""(?i)["']([a-z@][a-z0-9_\-./]*)["']\s*[:=,]\s*["']([0-9^~><= .]{1,20})["']""", (), 2)
 ]
-# package, own version pattern, first fixed version, advisory, severity
+# package, first fixed version, advisory, severity
 VULNERABLE = [
-    ("lodash", r"""["']lodash["'].*?["']([0-9.]+)["']|lodash@([0-9.]+)""", (4, 17, 21), "CVE-2021-23337", "high"),
-    ("axios", r"""["']axios["'].*?["']([0-9.]+)["']|axios@([0-9.]+)""", (0, 21, 1), "CVE-2020-28168", "medium"),
-    ("jquery", r"""(?i)jquery@([0-9.]+)|["']jquery["'].*?["']([0-9.]+)["']""", (3, 5, 0), "CVE-2020-11022", "high"),
-    ("angular/core", r"@angular/core@([0-9.]+)", (12, 0, 0), "CVE-2021-4231", "high"),
-    ("socket.io", r"socket\.io@([0-9.]+)", (4, 0, 0), "CVE-2020-28467", "high"),
-    ("moment", r"moment@([0-9.]+)", (2, 29, 2), "CVE-2022-24785", "medium"),
-    ("d3", r"""["']d3["'].*?["']([0-9.]+)["']|d3@([0-9.]+)""", (7, 0, 0), "CVE-2019-1000016", "medium"),
-    ("marked", r"marked@([0-9.]+)", (4, 0, 10), "CVE-2022-21681", "high"),
-    ("node-fetch", r"node-fetch@([0-9.]+)", (2, 6, 7), "CVE-2022-0235", "high"),
-    ("minimatch", r"minimatch@([0-9.]+)", (3, 0, 5), "CVE-2022-3517", "high"),
+    ("lodash", (4, 17, 21), "CVE-2021-23337", "high"),
+    ("axios", (0, 21, 1), "CVE-2020-28168", "medium"),
+    ("jquery", (3, 5, 0), "CVE-2020-11022", "high"),
+    ("angular/core", (12, 0, 0), "CVE-2021-4231", "high"),
+    ("socket.io", (4, 0, 0), "CVE-2020-28467", "high"),
+    ("moment", (2, 29, 2), "CVE-2022-24785", "medium"),
+    ("d3", (7, 0, 0), "CVE-2019-1000016", "medium"),
+    ("marked", (4, 0, 10), "CVE-2022-21681", "high"),
+    ("node-fetch", (2, 6, 7), "CVE-2022-0235", "high"),
+    ("minimatch", (3, 0, 5), "CVE-2022-3517", "high"),
 ]
 
+
+def _version_refs() -> list:
+    """A package's own notations: ``name@1.2``, and for some its quoted name with a quoted number behind it on the line."""
+    out = []
+    for package, *_ in VULNERABLE:
+        name, flag = re.escape("@" * (package == "angular/core") + package).replace("\\-", "-"), "(?i)" * (package == "jquery")
+        gate = () if flag else (package,)
+        out.append(spec(f"{package}:at", f"{flag}{name}@([0-9.]+)", gate, 1))
+        if package in ("lodash", "axios", "jquery", "d3"):
+            quoted = span(f"{flag}[\"']{name}[\"']", ".", "[\"']([0-9.]+)[\"']", lazy=True)
+            out.append(spec(f"{package}:quoted", quoted, gate, 1))
+    return out
+
+
+VERSION_REFS = _version_refs()
+
 BUNDLERS = [
     ("Vite", r"__vitePreload|import\.meta\.hot|__vite__mapDeps|@vite/client",
      (r"__vitePreload", r"import\.meta\.hot", r"__vite__mapDeps")),

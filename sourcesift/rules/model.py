@@ -19,6 +19,48 @@ SEVERITIES = {
 }
 
 
+#: What ``.`` does not match.
+LINE_END = r"[\n\r\x{2028}\x{2029}]"
+#: Group of a linear pattern that holds a character where the match only skips what can't match.
+_SKIPPED = r"(?<=([\s\S]))"
+
+
+class Linear(str):
+    """A pattern (the text) and a spelling of it, ``linear``, that reads no stretch of text twice.
+
+    Plain patterns such as ``exec\\([^)]*\\+`` try anew from every head and run to the same end each time when
+    the tail is missing: quadratic on one long line. The linear spelling has a second branch that matches
+    the stretch in which no later head can succeed either, and marks it: its last group, one after those of the
+    pattern, is not empty there. A scan drops marked matches, so what is left are the matches of the pattern.
+    """
+
+    linear: str
+
+    def __new__(cls, plain: str, linear: str) -> Linear:
+        made = super().__new__(cls, plain)
+        made.linear = linear
+        return made
+
+
+def span(head: str, char: str, tail: str, least: int = 0, lazy: bool = False, group: bool = False, stop: str = "") -> Linear:
+    """``head``, any number of ``char``, ``tail``. Where a head finds no tail before the characters end, none of the
+    heads among them does. ``stop`` matches where skipping must end: at a head that runs past them, or at
+    another branch of the pattern; ``head`` may start with such branches, each followed by ``|``."""
+    gap = char + ("+" if least else "*") + ("?" if lazy else "")
+    gap = f"({gap})" if group else gap
+    rest = f"(?:(?!{stop}){char})*+" if stop else f"{char}*+"
+    return Linear(head + gap + tail, f"{head}(?:{gap}{tail}|{rest}{_SKIPPED})")
+
+
+def name_then(first: str, more: str, then: str, skip: str = "") -> Linear:
+    """A name (one ``first`` character, then ``more``) as group 1, then ``then``, which can't begin with such a character.
+
+    Names end at the same place wherever they are entered, so a name that fails is skipped whole, with
+    ``skip`` behind it if that matches."""
+    rest = f"(?:{skip})?+" if skip else ""
+    return Linear(f"({first}{more}*){then}", f"({first}{more}*+)(?:{then}|{rest}{_SKIPPED})")
+
+
 @dataclass(frozen=True)
 class Guard:
     """Keep or drop a match by a regex on its value, a group, the match or a window around it."""

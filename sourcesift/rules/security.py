@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sourcesift.rules.model import Guard, Rule, drop, keep
+from sourcesift.rules.model import LINE_END, Guard, Rule, drop, keep, span
 
 _XSS, _INJ, _CRYPTO = "XSS", "Injection", "Broken Crypto"
 _NG, _PROTO, _LEAK = "Angular Security", "Prototype Pollution", "Info Leakage"
@@ -44,10 +44,11 @@ SECURITY = [
     _rule("xss-new-func", _XSS, "critical", r"new\s+Function\s*\(", ("Function",)),
     _rule("sqli-concat", _INJ, "high", r"""(?i)(?:query|sql|exec)\s*=\s*["'][^"']*["']\s*\+""",
           ("query", "sql", "exec"), _drop(r"placeholder|label|aria")),
-    _rule("cmd-injection", _INJ, "critical", r"child_process|exec\s*\(\s*[^)]*\+",
+    _rule("cmd-injection", _INJ, "critical",
+          span(r"child_process|exec\s*\(\s*", "[^)]", r"\+", stop="child_process"),
           ("child_process", "exec")),
     _rule("crypto-broken-entropy", _CRYPTO, "critical",
-          r"""btoa\s*\([^)]*\.split\s*\(\s*["']["']\s*\)\.reverse""", ("btoa",)),
+          span(r"btoa\s*\(", "[^)]", r"""\.split\s*\(\s*["']["']\s*\)\.reverse"""), ("btoa",)),
     _rule("crypto-weak-hash", _CRYPTO, "high", r"(?i)(?:MD5|sha1|SHA1)\s*\(", ("md5", "sha1"),
           _drop(r"(?i)comment|hmac")),
     _rule("crypto-math-random", _CRYPTO, "medium", r"Math\.random\s*\(\s*\)", ("Math.random",),
@@ -63,8 +64,8 @@ SECURITY = [
     _rule("storage-cookie", "Storage", "low", r"document\.cookie", ("document.cookie",)),
     _rule("pii-email-field", "PII", "low", r"\.email\s*=|email\s*:", ("email",),
           _drop(r"placeholder|label|aria")),
-    _rule("angular-guard", "Auth Surface", "info", r"canActivate\s*:\s*\[([^\]]+)\]",
-          ("canActivate",), groups=1),
+    _rule("angular-guard", "Auth Surface", "info",
+          span(r"canActivate\s*:\s*\[", r"[^\]]", r"\]", least=1, group=True), ("canActivate",), groups=1),
     _rule("angular-bypass", _NG, "high",
           r"bypassSecurityTrust(?:Html|Url|ResourceUrl|Script|Style)", ("bypassSecurityTrust",)),
     _rule("xss-outerhtml", _XSS, "critical", r"\.outerHTML\s*=", (".outerHTML",)),
@@ -73,9 +74,9 @@ SECURITY = [
     _rule("xss-createfrag", _XSS, "high", r"createContextualFragment\s*\(",
           ("createContextualFragment",)),
     _rule("xss-jquery-html", _XSS, "critical",
-          r"(?:jQuery|\$)\s*\([^)]*\)\.html\s*\([^)]+\)", (".html",)),
+          span(r"(?:jQuery|\$)\s*\(", "[^)]", r"\)\.html\s*\([^)]+\)"), (".html",)),
     _rule("xss-jquery-dom", _XSS, "high",
-          r"(?:jQuery|\$)\([^)]*\)\.(?:append|prepend|after|before|wrap)\s*\([^)]+\)",
+          span(r"(?:jQuery|\$)\(", "[^)]", r"\)\.(?:append|prepend|after|before|wrap)\s*\([^)]+\)"),
           ("jQuery(", "$(")),
     _rule("xss-set-attr-on", _XSS, "critical", r"""\.setAttribute\s*\(\s*['"]on\w+['"]\s*,""",
           (".setAttribute",)),
@@ -85,7 +86,7 @@ SECURITY = [
           ("location.replace", "location.assign")),
     _rule("xss-window-open", _XSS, "medium", r"window\.open\s*\(", ("window.open",)),
     _rule("ng-tmpl-inject", _NG, "high",
-          r"""DomSanitizer.*bypassSecurityTrustHtml\s*\(\s*[`'"]""", ("DomSanitizer",)),
+          span("DomSanitizer", ".", r"""bypassSecurityTrustHtml\s*\(\s*[`'"]"""), ("DomSanitizer",)),
     _rule("ng-compile", _NG, "critical", r"\$compile\s*\(\s*", ("$compile",),
           (drop(r"""^\$compile\s*\(['"]""", 0, 40),)),
     _rule("proto-assign", _PROTO, "critical", r"(?:__proto__|prototype)\s*(?:\[|\.)",
@@ -95,10 +96,10 @@ SECURITY = [
           ("object.assign",), _keep(r"(?i)user|request|input|body|data|param")),
     _rule("proto-setproto", _PROTO, "high", r"Object\.setPrototypeOf\s*\(",
           ("Object.setPrototypeOf",)),
-    _rule("proto-jsonparse", _PROTO, "medium", r"JSON\.parse\s*\([^)]+\)", ("JSON.parse",),
+    _rule("proto-jsonparse", _PROTO, "medium", span(r"JSON\.parse\s*\(", "[^)]", r"\)", least=1), ("JSON.parse",),
           _keep(r"(?i)user|request|input|body|data|param|__proto__|constructor")),
     _rule("postmsg-wildcard", "PostMessage", "high",
-          r"""\.postMessage\s*\([^)]+,\s*['"][*]['"]""", (".postMessage",)),
+          span(r"\.postMessage\s*\(", "[^)]", r""",\s*['"][*]['"]""", least=1), (".postMessage",)),
     _rule("postmsg-nocheck", "PostMessage", "medium",
           r"""addEventListener\s*\(\s*['"]message['"]""", ("addEventListener",),
           _drop(r"event\.origin|e\.origin")),
@@ -118,7 +119,8 @@ SECURITY = [
     _rule("err-alert", _LEAK, "medium",
           r"alert\s*\(\s*(?:error|err|e|ex)(?:\.message|\.stack)?\s*\)", ("alert",)),
     _rule("err-tostring", _LEAK, "low",
-          r"\.toString\s*\(\s*\).*(?:innerHTML|textContent|innerText)\s*=", (".toString",)),
+          span(r"\.toString\s*\(\s*\)", ".", r"(?:innerHTML|textContent|innerText)\s*=", stop=r"\.toString[\s(]*" + LINE_END),
+          (".toString",)),
     _rule("err-stacktrace", _LEAK, "high", r"(?:error|err|e)\.stack\b", (".stack",)),
     _rule("sourcemap-ref", _LEAK, "low", r"//[#@]\s*sourceMappingURL\s*=", ("sourceMappingURL",)),
     _rule("sourcemap-file", _LEAK, "low", r"""(?i)\.map["']\s*\)|\bsource-maps?\b""",
@@ -132,7 +134,7 @@ SECURITY = [
           r"""(?i)\.type\.(?:includes?|startsWith|indexOf|match)\s*\(\s*['"](?:image|video|text|application)""",
           (".type.",)),
     _rule("upload-ext-client", _UPLOAD, "medium",
-          r"(?i)\.name\.(?:endsWith|split|match)\s*\([^)]*(?:jpg|png|pdf|zip|exe|svg)",
+          span(r"(?i)\.name\.(?:endsWith|split|match)\s*\(", "[^)]", r"(?:jpg|png|pdf|zip|exe|svg)"),
           (".name.",)),
     _rule("upload-size-client", _UPLOAD, "low",
           r"\.size\s*(?:>|<|>=|<=|===)\s*\d+(?:\s*\*\s*1024)?", (".size",),

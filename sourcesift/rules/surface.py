@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sourcesift.rules.model import Rule
+from sourcesift.rules.model import Rule, span
 
 
 def spec(rule_id: str, pattern: str, gate: tuple[str, ...] = (), groups: int = 0, **more) -> Rule:
@@ -53,8 +53,8 @@ FALLBACK_SOURCES = [
     spec("URL parameter", r"location\.(?:hash|search|href|pathname)", ("location.",)),
     spec("Document property", r"document\.(?:URL|referrer|cookie)", ("document.",)),
     spec("Event data (postMessage/WebSocket)", r"(?:event|e)\.data\b", (".data",)),
-    spec("localStorage", r"localStorage\.getItem\s*\([^)]+\)", ("localStorage.",)),
-    spec("sessionStorage", r"sessionStorage\.getItem\s*\([^)]+\)", ("sessionStorage.",)),
+    spec("localStorage", span(r"localStorage\.getItem\s*\(", "[^)]", r"\)", least=1), ("localStorage.",)),
+    spec("sessionStorage", span(r"sessionStorage\.getItem\s*\(", "[^)]", r"\)", least=1), ("sessionStorage.",)),
     spec("window.name", r"window\.name\b", ("window.name",)),
     spec("URLSearchParams", r"URLSearchParams[^;]{0,100}\.get\s*\(", ("URLSearchParams",)),
     spec("Angular route params", r"activatedRoute\.(?:queryParams|params|snapshot\.params)\b", ("activatedRoute.",)),
@@ -80,7 +80,7 @@ FALLBACK_SINKS = [
     spec("iframe srcdoc", r"srcdoc\s*=", ("srcdoc",), severity="critical", cwe="CWE-79"),
     spec("jQuery DOM manip", r"(?:\.html\(|\.append\(|\.prepend\(|\.after\(|\.before\(|\.replaceWith\()",
          (".html(", ".append(", ".prepend(", ".after(", ".before(", ".replaceWith("), severity="high", cwe="CWE-79"),
-    spec("jQuery .html()", r"\$\s*\([^)]*\)\s*\.html\s*\(", (".html",), severity="critical", cwe="CWE-79"),
+    spec("jQuery .html()", span(r"\$\s*\(", "[^)]", r"\)\s*\.html\s*\("), (".html",), severity="critical", cwe="CWE-79"),
     spec("Range.createContextualFragment", r"createContextualFragment", ("createContextualFragment",), severity="critical", cwe="CWE-79"),
     spec("DOMParser", r"DOMParser\(\)\.parseFromString", ("DOMParser",), severity="medium", cwe="CWE-79"),
 ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sourcesift.rules.model import name_then, span
 from sourcesift.rules.surface import spec
 
 SOURCES = [
@@ -32,8 +33,8 @@ SINKS = [
     spec("function-ctor", r"new\s+Function\s*\(", ("Function",), severity="critical", cwe="CWE-95"),
     spec("location-href-assign", r"location\.(?:href|replace|assign)\s*[=(]", ("location.",), severity="high", cwe="CWE-601"),
     spec("setattribute-on", r"""\.setAttribute\s*\(\s*['"]on\w+['"]\s*,""", (".setAttribute",), severity="critical", cwe="CWE-79"),
-    spec("jquery-html", r"\.html\s*\([^)]+\)", (".html",), severity="critical", cwe="CWE-79"),
-    spec("jquery-append", r"\.(?:append|prepend|after|before)\s*\([^)]+\)",
+    spec("jquery-html", span(r"\.html\s*\(", "[^)]", r"\)", least=1), (".html",), severity="critical", cwe="CWE-79"),
+    spec("jquery-append", span(r"\.(?:append|prepend|after|before)\s*\(", "[^)]", r"\)", least=1),
          (".append", ".prepend", ".after", ".before"), severity="high", cwe="CWE-79"),
 ]
 STATEMENT = r"[^;{]*$"
@@ -42,7 +43,7 @@ REASSIGNED = r"(\w+)\s*=\s*[^;]*$"
 NOT_A_NAME = r"^(?:this|return|if|else|for|while|case|new.*)$"
 ASSIGNMENTS = [
     spec("declaration", r"(?:const|let|var)\s+([a-zA-Z_$][a-zA-Z0-9_$]*)\s*=\s*([^;]+)", ("=",), 2),
-    spec("reassignment", r"([a-zA-Z_$][a-zA-Z0-9_$]*)\s*=\s*([^;{]+)", ("=",), 2),
+    spec("reassignment", name_then("[a-zA-Z_$]", "[a-zA-Z0-9_$]", r"\s*=\s*([^;{]+)"), ("=",), 2),
     spec("member", r"([A-Za-z_$][A-Za-z0-9_$]*\.[A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*([^;]+)", ("=",), 2),
 ]
 KEYWORD = r"^(?:this|true|false|null|undefined|if|else|for|while|return)$"
@@ -59,6 +60,6 @@ PARAMETER_PROPERTY = r"\.(?:data|body|message|value|text|response|result|input|p
 FUNCTION_STARTS = [
     spec("function", r"\b(?:async\s+)?function\s*\*?\s*(\w*)\s*\(", ("function",), 1),
     spec("arrow", r"(?:const|let|var)\s+(\w+)\s*=\s*(?:\([^)]*\)|[^=>\s]+)\s*=>\s*(?:\{|\b)", ("=>",), 1),
-    spec("method", r"(\w+)\s*\([^)]*\)\s*\{", ("{",), 1),
+    spec("method", name_then(r"\w", r"\w", r"\s*\([^)]*\)\s*\{", skip=r"\s*\([^)]*+"), ("{",), 1),
 ]
 CALLER = r"([a-zA-Z_$][a-zA-Z0-9_$.]*)\s*\(\s*$"
