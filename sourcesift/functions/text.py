@@ -33,6 +33,13 @@ def rx(pattern: str) -> str:
     return quote(java_regex(pattern))
 
 
+def let(bound: dict[str, str], body: str) -> str:
+    """``body`` with each expression evaluated once, in order, under its name."""
+    for name, expression in reversed(bound.items()):
+        body = f"element_at(transform(array({expression}), {name} -> {body}), 1)"
+    return body
+
+
 def _running_sum(array: str) -> str:
     """Inclusive running sum of a short integer array."""
     return (

@@ -60,27 +60,35 @@ def guarded_routes(df: DataFrame) -> DataFrame:
     return hits.selectExpr("artifact_id", "path", "concat('/', g1) AS route", f"{guards} AS guards", "pos")
 
 
-def unguarded_sensitive_routes(df: DataFrame) -> DataFrame:
-    """Declared routes with a sensitive name and no guard anywhere in the artifact."""
-    routes = explode_matches(df, x.ANY_ROUTE).selectExpr("artifact_id", "path", "g1 AS name")
-    routes = routes.filter(f"name RLIKE {rx(x.SENSITIVE_ROUTE)}").distinct()
-    guarded = explode_matches(df, x.GUARDED_ROUTE).selectExpr("artifact_id", "g1 AS name").distinct()
-    return routes.join(guarded, ["artifact_id", "name"], "left_anti").selectExpr(
+def unguarded_of(routes: DataFrame, guarded: DataFrame) -> DataFrame:
+    """Sensitive routes among the matches of declared routes that no guarded one of the artifact names."""
+    named = routes.selectExpr("artifact_id", "path", "g1 AS name").filter(f"name RLIKE {rx(x.SENSITIVE_ROUTE)}").distinct()
+    return named.join(guarded.selectExpr("artifact_id", "g1 AS name").distinct(), ["artifact_id", "name"], "left_anti").selectExpr(
         "artifact_id", "path", "concat('/', name) AS route"
     )
 
 
-def endpoint_protection(df: DataFrame) -> DataFrame:
-    """Typed HTTP calls, with signs of authentication or a guard around them."""
-    hits = explode_matches(df, x.ENDPOINT, windows={"w": (300, 50)})
+def unguarded_sensitive_routes(df: DataFrame) -> DataFrame:
+    """Declared routes with a sensitive name and no guard anywhere in the artifact."""
+    return unguarded_of(explode_matches(df, x.ANY_ROUTE), explode_matches(df, x.GUARDED_ROUTE))
+
+
+def endpoints_of(hits: DataFrame) -> DataFrame:
+    """Endpoints from matches with 300 characters ``before`` and 50 ``after`` their offset."""
+    w = "concat(before, after)"
     out = hits.selectExpr(
         "artifact_id", "path", "g1 AS endpoint", "pos",
-        f"w RLIKE {rx(x.AUTH_WORDS)} AS has_auth_header", f"w RLIKE {rx(x.GUARD_WORDS)} AS has_guard_context",
+        f"{w} RLIKE {rx(x.AUTH_WORDS)} AS has_auth_header", f"{w} RLIKE {rx(x.GUARD_WORDS)} AS has_guard_context",
     )
     risk = "CASE WHEN has_auth_header OR has_guard_context THEN 'appears-protected' ELSE 'potential-unprotected' END"
     return out.withColumn("risk", F.expr(risk))
 
 
+def endpoint_protection(df: DataFrame) -> DataFrame:
+    """Typed HTTP calls, with signs of authentication or a guard around them."""
+    return endpoints_of(explode_matches(df, x.ENDPOINT, windows={"before": (300, 0), "after": (0, 50)}))
+
+
 def reversible_encoding(df: DataFrame) -> DataFrame:
     """Reversed or split text passed to base64: each expression once per artifact."""
     hits = explode_matches(df, x.REVERSIBLE, windows={"w": (40, 100)})
@@ -155,14 +163,19 @@ def nested_routes(df: DataFrame) -> DataFrame:
     return rows.select("artifact_id", "path", "route", "pos", "step")
 
 
-def hidden_routes(df: DataFrame) -> DataFrame:
-    """Decoded literals that look like paths, each once per artifact."""
-    found = decode_literals(df).filter(f"value RLIKE {rx(x.HIDDEN_ROUTE)}")
+def hidden_of(literals: DataFrame) -> DataFrame:
+    """Routes among decoded literals: see :func:`hidden_routes`."""
+    found = literals.filter(f"value RLIKE {rx(x.HIDDEN_ROUTE)}")
     return found.groupBy("artifact_id", "path", F.concat(F.lit("/"), "value").alias("route")).agg(
         F.min("pos").alias("pos")
     )
 
 
+def hidden_routes(df: DataFrame) -> DataFrame:
+    """Decoded literals that look like paths, each once per artifact."""
+    return hidden_of(decode_literals(df))
+
+
 DEPENDENCY_RULES = [*x.VERSION_REFS, *x.PACKAGE_REF]
 
 

@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sourcesift.functions.lineage import cut_lineage
 from sourcesift.functions.text import local_table, quote, rx
-from sourcesift.operators import graph, surface
-from sourcesift.operators.extract import dependency_versions, vulnerable_dependencies
-from sourcesift.operators.matching import explode_matches, scan_rules, severity_rank, severity_weight
-from sourcesift.operators.taint import taint_with_fallback
+from sourcesift.operators import graph
+from sourcesift.operators.extract import DEPENDENCY_RULES, endpoints_of, hidden_of, unguarded_of, versions_of, vulnerable_dependencies
+from sourcesift.operators.matching import Raw, explode_matches, findings_of, match_table, raw_of, scan_rules, severity_rank, severity_weight
+from sourcesift.operators.normalise import normalise, normalise_with_literals
+from sourcesift.operators.taint import FALLBACK_WINDOWS, fallback_of, flows_of, with_fallback
+from sourcesift.rules import extended
+from sourcesift.rules import extraction as x
+from sourcesift.rules import surface as s
+from sourcesift.rules import taint as t
 from sourcesift.rules.levels import DEFAULT_LEVELS
 from sourcesift.rules.model import SEVERITIES
 from sourcesift.rules.packs import FAST_PACKS, PACKS
@@ -31,28 +38,110 @@ def scan_packs(df: DataFrame, names: list[str]) -> DataFrame:
     return scan_rules(df, [r for n in names for r in PACKS[n]]).select(*FINDING)
 
 
+_LEADS = " OR ".join(f"(({' OR '.join(f'contains(src, {quote(g)})' for g in r.gate)}) AND src RLIKE {rx(r.pattern)})" for r in t.SOURCES)
+
+_SIGNS = " OR ".join(f"contains(src, {quote(sign.replace(chr(92), ''))})" for sign in extended.SERVICE_WORKER_SIGNS.split("|"))
+
+
+def scan_table(df: DataFrame, marker: str = "scan-ignore") -> DataFrame:
+    """Everything a whole scan reads off the texts, as narrow rows written once.
+
+    The texts are normalised, their literals decoded, and then read in one pass for the rule packs and for
+    the matches that taint flows, dependencies, routes and suppressions are worked out from. Assignments and
+    sinks are looked for only where a taint source occurs. The corpus itself is never written.
+    """
+    packs = {**{n: PACKS[n] for n in WIRED}, "race": extended.RACE, "service_worker": extended.SERVICE_WORKER}
+    raws = [
+        Raw("taint", tuple(t.SOURCES), before=300), Raw("assignments", tuple(t.ASSIGNMENTS), before=20, only="_leads"),
+        Raw("sinks", tuple(t.SINKS), before=100, after=250, only="_leads"),
+        Raw("near_sources", tuple(s.FALLBACK_SOURCES), before=FALLBACK_WINDOWS["sources"][0]),
+        Raw("near_sinks", tuple(s.FALLBACK_SINKS), *FALLBACK_WINDOWS["sinks"]),
+        Raw("dependencies", tuple(DEPENDENCY_RULES)), Raw("suppressions", tuple(suppression_rules(marker))),
+        Raw("any_route", tuple(x.ANY_ROUTE)), Raw("guarded_route", tuple(x.GUARDED_ROUTE)), Raw("endpoints", tuple(x.ENDPOINT), before=300, after=50),
+    ]
+    texts = normalise_with_literals(df).selectExpr("*", f"{_LEADS} AS _leads", f"{_SIGNS} AS _signs")
+    return cut_lineage(match_table(texts, packs, raws, only={"service_worker": "_signs"}, literals="literals"))
+
+
+class WholeScan:
+    """A scan of a corpus from its findings to its report, all read from one match table and one table of modules.
+
+    ``findings`` are those of every scanner, ``kept`` and ``suppressed`` what comments leave of them, ``breakdown`` and
+    ``scores`` the attack surface, ``report`` one row per artifact. Two jobs read the texts, when the object
+    is made: one for the matches, one for the modules of bundles, which are taken from the texts as they are.
+    """
+
+    def __init__(self, df: DataFrame, marker: str = "scan-ignore") -> None:
+        self.artifacts, self.marker = df, marker
+        self.table = scan_table(df, marker)
+        self.modules = cut_lineage(graph.module_facts(graph.placed_modules(df)))
+
+    def raw(self, name: str) -> DataFrame:
+        return raw_of(self.table, name)
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        def shaped(rows: DataFrame, **fixed: str) -> DataFrame:
+            for name, expression in fixed.items():
+                rows = rows.withColumn(name, F.expr(expression))
+            return rows.select(*FINDING)
+
+        hits = self.table.filter(F.col("grp").isin("taint", "assignments", "sinks")).selectExpr("*", "before AS w", "before AS near", "before AS b", "after AS a")
+        flows = with_fallback(flows_of(hits), fallback_of(self.raw("near_sources"), self.raw("near_sinks")))
+        parts = [
+            findings_of(self.table.filter("category IS NOT NULL")).select(*FINDING),
+            shaped(vulnerable_dependencies(versions_of(self.raw("dependencies")))),
+            shaped(flows, category="'Taint Flow'"),
+            shaped(graph.findings_of_facts(self.modules), category="'Module Graph'"),
+        ]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    @cached_property
+    def _written(self) -> DataFrame:
+        """The findings, written for the parts of a report that each read them."""
+        return cut_lineage(self.findings)
+
+    @property
+    def suppressions(self) -> DataFrame:
+        return suppressions_of(self.raw("suppressions"))
+
+    @property
+    def kept(self) -> DataFrame:
+        return suppress_findings(self._written, self.suppressions)
+
+    @property
+    def suppressed(self) -> DataFrame:
+        return suppressed_findings(self._written, self.suppressions, self.marker)
+
+    @property
+    def breakdown(self) -> DataFrame:
+        return surface_breakdown(
+            self._written, unguarded_of(self.raw("any_route"), self.raw("guarded_route")), endpoints_of(self.raw("endpoints")),
+            hidden_of(self.raw("literals").selectExpr("artifact_id", "path", "m AS value", "pos")),
+        )
+
+    @property
+    def scores(self) -> DataFrame:
+        return attack_surface_score(self.breakdown)
+
+    @property
+    def report(self) -> DataFrame:
+        """Per artifact: size, findings kept and suppressed, score and risk; zeros included."""
+        head = self.artifacts.selectExpr("artifact_id", "path AS filename", "cast(octet_length(src) AS bigint) AS size")
+        counts = [self.kept.groupBy("artifact_id").agg(F.count("*").alias("total")), self.suppressed.groupBy("artifact_id").agg(F.count("*").alias("suppressed")), self.scores]
+        for more in counts:
+            head = head.join(more, "artifact_id", "left")
+        return head.selectExpr("artifact_id", "filename", "size", "coalesce(total, 0L) AS total", "coalesce(suppressed, 0L) AS suppressed", "coalesce(score, 0L) AS score", "coalesce(risk, 'LOW') AS risk")
+
+
 def full_scan(df: DataFrame, fast: bool = False) -> DataFrame:
-    """Every scanner that a whole scan runs; ``fast`` keeps the two main packs."""
+    """Every scanner that a whole scan runs, over normalised texts; ``fast`` keeps the two main packs."""
     if fast:
-        return scan_packs(df, list(FAST_PACKS))
-
-    def shaped(rows: DataFrame, **fixed: str) -> DataFrame:
-        for name, expression in fixed.items():
-            rows = rows.withColumn(name, F.expr(expression))
-        return rows.select(*FINDING)
-
-    parts = [
-        scan_packs(df, WIRED),
-        surface.scan_race(df).select(*FINDING),
-        surface.scan_service_worker(df).select(*FINDING),
-        shaped(vulnerable_dependencies(dependency_versions(df)), pos="0", line="1"),
-        shaped(taint_with_fallback(df), category="'Taint Flow'", context="''"),
-        shaped(graph.chunk_findings(graph.extract_modules(df)).join(df.select("artifact_id", "path"), "artifact_id"), category="'Module Graph'", pos="0", line="1"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        return scan_packs(normalise(df), list(FAST_PACKS))
+    return WholeScan(df).findings
 
 
 def suppression_rules(marker: str = "scan-ignore"):
@@ -66,7 +155,11 @@ def suppression_rules(marker: str = "scan-ignore"):
 
 def suppression_rows(df: DataFrame, marker: str = "scan-ignore") -> DataFrame:
     """(line, rule, reason) of suppression comments: lists, ``all``, block and next-line forms."""
-    hits = explode_matches(df, suppression_rules(marker), line=True)
+    return suppressions_of(explode_matches(df, suppression_rules(marker), line=True))
+
+
+def suppressions_of(hits: DataFrame) -> DataFrame:
+    """Suppressions from the matches of :func:`suppression_rules`."""
     target = "line + CASE WHEN rule_id = 'next' OR (rule_id = 'line' AND contains(lower(g1), 'next-line')) THEN 1 ELSE 0 END"
     rows = hits.selectExpr("artifact_id", f"{target} AS line", "pos", "posexplode(split(g1, ',')) AS (i, entry)")
     rows = rows.selectExpr(

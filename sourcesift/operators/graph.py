@@ -6,15 +6,27 @@ slicing needs no offsets, no window and no shuffle of source text. Only edges ar
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sourcesift.functions.text import quote, rx, trim_all
+from sourcesift.functions.text import join_runs, line_of, quote, running_sum_runs, rx, trim_all, with_text_index
 from sourcesift.rules import extraction as x
 from sourcesift.rules import graph as g
 
 
+def _starts(text: str, pattern: str) -> str:
+    """Offsets of the boundaries, in order."""
+    steps = (
+        f"slice(zip_with(split({text}, {rx(pattern)}, -1), concat(array(0), transform(regexp_extract_all({text}, {rx(pattern)}, 0), m -> length(m))), "
+        f"(gap, prior) -> length(gap) + prior), 1, regexp_count({text}, {rx(pattern)}))"
+    )
+    runs = f"element_at(transform(array({steps}), steps -> {running_sum_runs('steps')}), 1)"
+    return f"element_at(transform(array({runs}), runs -> {join_runs('runs')}), 1)"
+
+
 def _slices(text: str, pattern: str, with_head: bool) -> str:
     """array<struct<id, body>>: one element per boundary, up to the next boundary."""
     body = "concat(m, rest)" if with_head else "rest"
@@ -73,36 +85,45 @@ def module_name(text: str = "module_src", module_id: str = "module_id") -> str:
     )
 
 
-def extract_modules(df: DataFrame) -> DataFrame:
-    """Module functions with chunk, format and name; the last definition of an id wins."""
+def placed_modules(df: DataFrame) -> DataFrame:
+    """:func:`extract_modules` with the offset and line at which each module begins in its artifact."""
+    pushed, listed = rx(g.PUSHED_CHUNK), rx(g.LISTED_CHUNK)
+
+    def chunked(pattern: str, literal: str) -> str:
+        begins = f"zip_with({_starts('src', pattern)}, regexp_extract_all(src, {literal}, 0), (p, m) -> p + length(m))"
+        return f"zip_with({_slices('src', pattern, False)}, {begins}, (c, at) -> struct(c.id AS id, c.body AS body, at AS at))"
+
     chunks = (
-        f"CASE WHEN src RLIKE {rx(g.PUSHED_CHUNK)} THEN {_slices('src', g.PUSHED_CHUNK, False)} "
-        f"WHEN src RLIKE {rx(g.LISTED_CHUNK)} THEN {_slices('src', g.LISTED_CHUNK, False)} "
-        "ELSE array(struct('main' AS id, src AS body)) END"
+        f"CASE WHEN src RLIKE {pushed} THEN {chunked(g.PUSHED_CHUNK, pushed)} "
+        f"WHEN src RLIKE {listed} THEN {chunked(g.LISTED_CHUNK, listed)} "
+        "ELSE array(struct('main' AS id, src AS body, 0 AS at)) END"
     )
-    fmt = (
-        f"CASE WHEN src RLIKE {rx(g.PUSHED_CHUNK)} THEN 'webpack5' "
-        f"WHEN src RLIKE {rx(g.LISTED_CHUNK)} THEN 'webpack4' ELSE 'webpack-iife' END"
-    )
-    bundles = df.filter(F.expr(f"src RLIKE {rx(g.MODULE_FUNCTION)}"))
-    rows = bundles.selectExpr("artifact_id", "path", f"{fmt} AS format", f"{chunks} AS chunks")
+    fmt = f"CASE WHEN src RLIKE {pushed} THEN 'webpack5' WHEN src RLIKE {listed} THEN 'webpack4' ELSE 'webpack-iife' END"
+    bundles = with_text_index(df.filter(F.expr(f"src RLIKE {rx(g.MODULE_FUNCTION)}")).select("artifact_id", "path", "src"), "src")
+    rows = bundles.selectExpr("artifact_id", "path", "_blocks", "_lines", f"{fmt} AS format", f"{chunks} AS chunks")
     modules = (
-        f"flatten(transform(chunks, c -> transform({_slices('c.body', g.MODULE_FUNCTION, False)}, "
-        "m -> struct(m.id AS id, CASE WHEN format = 'webpack5' THEN c.id ELSE 'main' END AS chunk, m.body AS body))))"
+        f"flatten(transform(chunks, c -> zip_with({_slices('c.body', g.MODULE_FUNCTION, False)}, {_starts('c.body', g.MODULE_FUNCTION)}, "
+        "(m, p) -> struct(m.id AS id, CASE WHEN format = 'webpack5' THEN c.id ELSE 'main' END AS chunk, m.body AS body, c.at + p AS pos))))"
     )
-    rows = rows.selectExpr("artifact_id", "path", "format", f"{modules} AS mods")
+    keep = ["artifact_id", "path", "_blocks", "_lines", "format"]
+    rows = rows.selectExpr(*keep, f"{modules} AS mods")
     rows = rows.selectExpr(
-        "artifact_id", "path", "format",
-        "array_sort(transform(mods, (m, i) -> struct(m.id AS id, -i AS back, m.chunk AS chunk, m.body AS body))) AS mods",
+        *keep, "array_sort(transform(mods, (m, i) -> struct(m.id AS id, -i AS back, m.chunk AS chunk, m.body AS body, m.pos AS pos))) AS mods"
     )
     last = "filter(mods, (m, i) -> i = 0 OR get(mods, i - 1).id != m.id)"
-    rows = rows.selectExpr("artifact_id", "path", "format", f"inline({last})")
+    rows = rows.selectExpr(*keep, f"transform({last}, m -> struct(m.id, m.back, m.chunk, m.body, m.pos, {line_of('m.pos')} AS line)) AS mods")
+    rows = rows.selectExpr("artifact_id", "path", "format", "inline(mods)")
     return rows.selectExpr(
         "artifact_id", "path", "format", "chunk", "id AS module_id", "-back AS module_no", "body AS module_src",
-        f"{module_name('body', 'id')} AS name",
+        f"{module_name('body', 'id')} AS name", "pos", "line",
     )
 
 
+def extract_modules(df: DataFrame) -> DataFrame:
+    """Module functions with chunk, format and name; the last definition of an id wins."""
+    return placed_modules(df).drop("pos", "line")
+
+
 def dependency_uses(df: DataFrame, names: DataFrame) -> DataFrame:
     """Uses of each module id in an artifact, named by ``names`` (module_id, name)."""
     ids = df.selectExpr("artifact_id", f"explode(regexp_extract_all(src, {rx(g.USES)}, 1)) AS module_id")
@@ -134,20 +155,21 @@ def module_target_names(edges: DataFrame, modules: DataFrame) -> DataFrame:
     )
 
 
-def hot_modules(edges: DataFrame, modules: DataFrame, top: int = 20) -> DataFrame:
-    """The most referenced modules of each artifact."""
+def hot_modules(edges: DataFrame, modules: DataFrame, top: int = 20, more: Sequence[str] = ()) -> DataFrame:
+    """The most referenced modules of each artifact; ``more`` names columns of ``modules`` to pass on."""
     incoming = edges.groupBy("artifact_id", F.col("dst_id").alias("module_id")).agg(F.sum("weight").alias("refs"))
     order = W.partitionBy("artifact_id").orderBy(F.desc("refs"), "module_id")
     ranked = incoming.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    names = modules.select("artifact_id", "module_id", "name")
+    names = modules.select("artifact_id", "module_id", "name", *more)
     return ranked.join(names, ["artifact_id", "module_id"], "left").selectExpr(
-        "artifact_id", "module_id", "coalesce(name, concat('module-', module_id)) AS name", "refs", "rank"
+        "artifact_id", "module_id", "coalesce(name, concat('module-', module_id)) AS name", "refs", "rank", *more
     )
 
 
 def _named(modules: DataFrame, patterns: list[tuple[str, str]], value: str) -> DataFrame:
+    # what a linear pattern only skips has an empty group
     parts = ", ".join(
-        f"transform(regexp_extract_all(module_src, {rx(p)}, 1), v -> struct('{kind}' AS kind, v AS {value}))"
+        f"transform(filter(regexp_extract_all(module_src, {rx(getattr(p, 'linear', p))}, 1), v -> {'v IS NOT NULL' if type(p) is str else chr(34) + chr(34) + ' != v'}), v -> struct('{kind}' AS kind, v AS {value}))"
         for kind, p in patterns
     )
     return modules.selectExpr("artifact_id", "module_id", f"inline(concat({parts}))")
@@ -179,29 +201,41 @@ def typed_edges(modules: DataFrame) -> DataFrame:
     return rows.groupBy("artifact_id", "src_id", "dst_id", "edge_type").agg(F.count("*").alias("weight"))
 
 
-def chunk_findings(modules: DataFrame) -> DataFrame:
-    """Hub, administration, hot and format findings of a bundle's module graph."""
-    degrees = out_degree(modules)
+def module_facts(modules: DataFrame) -> DataFrame:
+    """What the graph findings read of each module, without its text."""
+    kept = ["artifact_id", "path", "format", "chunk", "module_id", "name", "pos", "line"]
+    return modules.selectExpr(*[c for c in kept if c in modules.columns], f"{_TARGETS} AS targets")
+
+
+def findings_of_facts(facts: DataFrame, top: int = 10) -> DataFrame:
+    """Hub, administration, hot and format findings; each at its module, a format's at the first of them."""
+    place = [c for c in ("pos", "line", "path") if c in facts.columns]
     unnamed = f"name RLIKE {rx(g.UNNAMED)}"
-    hubs = degrees.filter(f"total_calls > 20 AND NOT {unnamed}").selectExpr(
-        "artifact_id", "'chunk-hub' AS rule_id", "'low' AS severity",
-        "concat('Hub module: ', name, ' (', total_calls, ' deps)') AS value",
-        "concat('Module ', module_id, ' in chunk ', chunk) AS context",
+    single = facts.selectExpr("*", "size(array_distinct(targets)) AS total_calls").selectExpr(
+        "artifact_id", *place,
+        f"""inline(array_compact(array(
+          CASE WHEN total_calls > 20 AND NOT {unnamed} THEN struct('chunk-hub' AS rule_id, 'low' AS severity,
+            concat('Hub module: ', name, ' (', total_calls, ' deps)') AS value, concat('Module ', module_id, ' in chunk ', chunk) AS context) END,
+          CASE WHEN name RLIKE {rx(g.ADMIN_NAME)} THEN struct('chunk-admin-module' AS rule_id, 'medium' AS severity,
+            concat('Admin logic in chunk ', chunk, ': ', name) AS value, concat('Module ', module_id, ' — ', name) AS context) END)))""",
     )
-    admin = degrees.filter(f"name RLIKE {rx(g.ADMIN_NAME)}").selectExpr(
-        "artifact_id", "'chunk-admin-module' AS rule_id", "'medium' AS severity",
-        "concat('Admin logic in chunk ', chunk, ': ', name) AS value",
-        "concat('Module ', module_id, ' — ', name) AS context",
-    )
-    hot = hot_modules(module_edges(modules), modules, 10).filter(f"refs > 50 AND NOT {unnamed}").selectExpr(
-        "artifact_id", "'chunk-hot-module' AS rule_id", "'info' AS severity",
+    edges = facts.selectExpr("artifact_id", "module_id AS src_id", "explode(targets) AS dst_id")
+    hot = hot_modules(edges.groupBy("artifact_id", "src_id", "dst_id").agg(F.count("*").alias("weight")), facts, top, place)
+    hot = hot.filter(f"refs > 50 AND NOT {unnamed}").selectExpr(
+        "artifact_id", *place, "'chunk-hot-module' AS rule_id", "'info' AS severity",
         "concat('Hot module: ', name, ' (', refs, ' refs)') AS value", "concat('Module ', module_id) AS context",
     )
-    formats = modules.filter("format IN ('webpack5', 'webpack4')").groupBy("artifact_id", "format").count().selectExpr(
-        "artifact_id", "'chunk-format' AS rule_id", "'info' AS severity",
-        "concat('Webpack ', format, ': ', count, ' modules') AS value", "'' AS context",
+    first = [F.min(F.struct(*place)).alias("first")] if "pos" in place else []
+    formats = facts.filter("format IN ('webpack5', 'webpack4')").groupBy("artifact_id", "format").agg(F.count("*").alias("n"), *first).selectExpr(
+        "artifact_id", *[f"first.{c} AS {c}" for c in place if first], "'chunk-format' AS rule_id", "'info' AS severity",
+        "concat('Webpack ', format, ': ', n, ' modules') AS value", "'' AS context",
     )
-    return hubs.unionByName(admin).unionByName(hot).unionByName(formats)
+    return single.unionByName(hot).unionByName(formats)
+
+
+def chunk_findings(modules: DataFrame) -> DataFrame:
+    """Hub, administration, hot and format findings of a bundle's module graph."""
+    return findings_of_facts(module_facts(modules).drop("path", "pos", "line"))
 
 
 def module_frameworks(modules: DataFrame) -> DataFrame:

@@ -8,12 +8,14 @@ row, so no exchange is planned and only narrow result rows leave the scan.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourcesift.functions.text import (
     join_runs,
+    let,
     line_of,
     one_line,
     quote,
@@ -35,12 +37,16 @@ def _gate(rule: Rule) -> str:
 
 def match_arrays(
     df: DataFrame, rules: Sequence[Rule], ids: Sequence[str] = ID_COLUMNS, text: str = "src", only: Sequence[str] = (),
+    literals: str | None = None,
 ) -> DataFrame:
     """One row per (artifact, rule with a match): match, group and offset arrays plus text index.
 
     ``only`` may give a condition per rule (SQL over the columns of ``df``); where it does not hold, the rule is not run.
+    ``literals`` may name an array of decoded literals, which take the place of matches of one more rule.
     """
-    n_groups = max(r.groups for r in rules)
+    n_groups = max((r.groups for r in rules), default=0)
+    if literals:
+        n_groups = max(n_groups, 2)
     skips = any(isinstance(r.pattern, Linear) for r in rules)
 
     def arrays(ix: int, rule: Rule) -> str:
@@ -62,23 +68,30 @@ def match_arrays(
         )
 
     ids = list(ids)
-    base = with_text_index(df.select(*ids, *_named_in(df, only, ids, text), F.col(text).alias("_src")), "_src")
+    more = [*_named_in(df, only, ids, text), *[literals] * bool(literals)]
+    base = with_text_index(df.select(*ids, *more, F.col(text).alias("_src")), "_src")
     if any(r.gate and r.ignore_case for r in rules):
         base = base.withColumn("_lower", F.lower("_src"))
     per_rule = ", ".join(arrays(i, r) for i, r in enumerate(rules))
+    if literals:
+        blank = "".join(f", cast(array() AS array<string>) AS g{g}" for g in range(3, n_groups + 1)) + ", cast(NULL AS array<string>) AS skipped" * skips
+        per_rule += (
+            f", CASE WHEN size({literals}) > 0 THEN struct({len(rules)} AS ix, transform({literals}, f -> f.value) AS g0, "
+            f"cast(array() AS array<string>) AS gaps, transform({literals}, f -> concat(f.round, ':', f.pos)) AS g1, transform({literals}, f -> f.kind) AS g2{blank}) END"
+        )
     hits = base.selectExpr(
         *ids, "_blocks", "_lines", f"inline(array_compact(array({per_rule})))"
     )
     columns = [f"g{g}" for g in range(n_groups + 1)]
     keep = [*ids, "_blocks", "_lines", "ix", *columns, *["skipped"] * skips]
-    # offset of match i = the gap before it plus everything before that gap
+    # offset of match i = the gap before it plus everything before that gap; most rows have one match
     steps = (
         "slice(zip_with(gaps, concat(array(0), transform(g0, m -> length(m))), "
         "(gap, prior) -> length(gap) + prior), 1, size(g0))"
     )
-    hits = hits.selectExpr(*keep, f"{steps} AS _steps")
-    hits = hits.selectExpr(*keep, f"{running_sum_runs('_steps')} AS _runs")
-    hits = hits.selectExpr(*keep, f"{join_runs('_runs')} AS pos")
+    summed = let({"steps": steps, "runs": running_sum_runs("steps")}, join_runs("runs"))
+    pos = f"CASE WHEN size(g0) = 1 THEN array(cast(length(get(gaps, 0)) AS int)) ELSE {summed} END AS pos"
+    hits = hits.selectExpr(*keep, pos)
     if skips:
         real = "CASE WHEN skipped IS NULL THEN {0} ELSE filter({0}, (x, i) -> get(skipped, i) = '') END AS {0}"
         hits = hits.selectExpr(*ids, "_blocks", "_lines", "ix", *[real.format(c) for c in (*columns, "pos")]).filter("size(g0) > 0")
@@ -156,13 +169,48 @@ def _passes(guard: Guard) -> str:
     return found if guard.keep else f"(NOT {found})"
 
 
-def scan_rules(
-    df: DataFrame, rules: Sequence[Rule], ids: Sequence[str] = ID_COLUMNS, text: str = "src"
+@dataclass(frozen=True)
+class Raw:
+    """Rules whose matches a table keeps as they are, with the characters ``before`` and ``after`` their offset.
+
+    ``only`` is a condition on the artifact (SQL over its columns), without which none of them is run.
+    """
+
+    name: str
+    rules: tuple[Rule, ...]
+    before: int = 0
+    after: int = 0
+    only: str = ""
+
+
+RAW = ("m", "g1", "g2", "before", "after")
+FOUND = ("category", "severity", "value", "context", "description", "cwe")
+
+
+def match_table(
+    df: DataFrame, packs: dict[str, Sequence[Rule]], raws: Sequence[Raw] = (), ids: Sequence[str] = ID_COLUMNS, text: str = "src",
+    only: dict[str, str] | None = None, literals: str | None = None,
 ) -> DataFrame:
-    """Findings of a rule pack: guards, first occurrence, context, line and truncation."""
-    n_groups = max(r.groups for r in rules)
-    hits = match_arrays(df, rules, ids, text)
-    names = ["g0", *[f"g{g}" for g in (1, 2) if g <= n_groups], "pos"]
+    """Findings of rule packs and plain matches of other rules, all read off the text in one pass.
+
+    A row has the ids, ``grp`` (name of the pack or of the raw group), ``rule_id``, ``pos``, ``line``, and either the
+    columns ``FOUND`` or the columns ``RAW``; the others are null. ``only`` gives a condition per pack, as Raw has it.
+    ``literals`` names a column of decoded literals (:func:`normalise.decoded`), which become rows of the group
+    ``literals`` with their kind as rule, their value as ``m`` and their round as ``g1``.
+    """
+    rules = [r for pack in packs.values() for r in pack]
+    n_found = len(rules)
+    whole = {}
+    conditions = [(only or {}).get(name, "") for name, pack in packs.items() for _ in pack]
+    names = [name for name, pack in packs.items() for _ in pack]
+    for raw in raws:
+        whole[raw.name] = (len(rules), len(rules) + len(raw.rules), raw)
+        rules += raw.rules
+        conditions += [raw.only] * len(raw.rules)
+        names += [raw.name] * len(raw.rules)
+    n_groups = max((r.groups for r in rules), default=0)
+    hits = match_arrays(df, rules, ids, text, conditions if any(conditions) else (), literals)
+    fields = ["g0", *[f"g{g}" for g in (1, 2) if g <= n_groups], "pos"]
 
     def value(r: Rule) -> str | None:
         if r.extract:
@@ -193,53 +241,105 @@ def scan_rules(
             "none": None,
         }[r.dedupe]
 
-    g2 = "coalesce(h.g2, '')" if n_groups >= 2 else "''"
-    clean = _by_rule(rules, lambda r: trim_all("h.v") if r.dedupe == "full" else None, "h.v")
-    record = f"struct(coalesce({_by_rule(rules, value, 'h.g0')}, '') AS v, h.pos AS pos, h.g0 AS m, {g2} AS g2)"
+    pack_rules = rules[:n_found]
+    g1, g2 = ("coalesce(h.g1, '')" if n_groups >= 1 else "''"), ("coalesce(h.g2, '')" if n_groups >= 2 else "''")
+    clean = _by_rule(pack_rules, lambda r: trim_all("h.v") if r.dedupe == "full" else None, "h.v")
+    record = f"struct(coalesce({_by_rule(pack_rules, value, 'h.g0')}, '') AS v, h.pos AS pos, h.g0 AS m, {g2} AS g2)"
     shaped = (
-        f"struct(h.pos AS pos, {clean} AS v, h.g2 AS g2, {_by_rule(rules, context, chr(39) * 2)} AS context, "
+        f"struct(h.pos AS pos, {clean} AS v, h.g2 AS g2, {_by_rule(pack_rules, context, chr(39) * 2)} AS context, "
         f"{line_of('h.pos')} AS line)"
     )
     # the first-occurrence key leads the struct, so sorting brings equal keys together by offset
     keyed = (
-        f"struct({_by_rule(rules, key, 'cast(h.pos AS string)')} AS key, h.pos AS pos, h.v AS v, "
+        f"struct({_by_rule(pack_rules, key, 'cast(h.pos AS string)')} AS key, h.pos AS pos, h.v AS v, "
         "h.g2 AS g2, h.context AS context, h.line AS line)"
     )
-    found = f"transform(arrays_zip({', '.join(names)}), h -> {record})"
-    found = f"filter({found}, h -> {_by_rule(rules, passes, 'true')})"
+    found = f"transform(arrays_zip({', '.join(fields)}), h -> {record})"
+    found = f"filter({found}, h -> {_by_rule(pack_rules, passes, 'true')})"
     found = f"array_sort(transform(transform({found}, h -> {shaped}), h -> {keyed}))"
-    rows = hits.selectExpr(*ids, "ix", "size(g0) AS n", f"{found} AS found")
     first = "filter(found, (x, i) -> i = 0 OR get(found, i - 1).key != x.key)"
-    rows = rows.selectExpr(*ids, "ix", "n", f"inline({first})")
+    columns = [*ids, "ix", "size(g0) AS n"]
+    if whole or literals:
+        if not pack_rules:
+            found = "cast(NULL AS array<struct<key: string, pos: int, v: string, g2: string, context: string, line: int>>)"
+
+        def around(name: str, cut) -> str:
+            whens = " ".join(f"WHEN ix BETWEEN {a} AND {b - 1} THEN {cut(raw)}" for a, b, raw in whole.values() if getattr(raw, name))
+            return f"CASE {whens} ELSE '' END" if whens else "''"
+
+        raw = (
+            f"transform(arrays_zip({', '.join(fields)}), h -> struct(h.pos AS pos, h.g0 AS m, {g1} AS g1, {g2} AS g2, {line_of('h.pos')} AS line, "
+            f"{around('before', lambda r: window('h.pos', r.before, 0))} AS before, {around('after', lambda r: window('h.pos', 0, r.after))} AS after))"
+        )
+        rows = hits.selectExpr(*columns, f"CASE WHEN ix < {n_found} THEN {found} END AS found", f"CASE WHEN ix >= {n_found} THEN {raw} END AS raw")
+        as_raw = f"transform({first}, f -> struct(f.pos AS pos, f.v AS m, f.context AS g1, f.g2 AS g2, f.line AS line, '' AS before, '' AS after))"
+        rows = rows.selectExpr(*ids, "ix", "n", f"inline(coalesce({as_raw}, raw))")
+        # a finding travels as value and context in the columns of a match
+        shape = {"v": "m", "context": "g1", "g2": "g2"}
+    else:
+        rows = hits.selectExpr(*columns, f"{found} AS found")
+        rows = rows.selectExpr(*ids, "ix", "n", f"inline({first})")
+        shape = {"v": "v", "context": "context", "g2": "g2"}
 
     def per_rule(attr) -> str:
-        return _pick([quote(attr(r)) for r in rules])
+        return _pick([quote(attr(r)) for r in pack_rules]) if pack_rules else "''"
 
-    length = _pick([str(r.value_len) for r in rules])
-    shown = f"replace({per_rule(lambda r: r.fmt)}, '{{v}}', substring(v, 1, {length}))"
-    shown = f"replace({shown}, '{{g2}}', substring(g2, 1, 60))"
+    length = _pick([str(r.value_len) for r in pack_rules]) if pack_rules else "0"
+    shown = f"replace({per_rule(lambda r: r.fmt)}, '{{v}}', substring({shape['v']}, 1, {length}))"
+    shown = f"replace({shown}, '{{g2}}', substring({shape['g2']}, 1, 60))"
     shown = f"replace({shown}, '{{n}}', cast(n AS string))"
     severity = _by_rule(
-        rules,
-        lambda r: f"CASE WHEN context RLIKE {rx(r.downgrade[0])} THEN {quote(r.downgrade[1])} "
+        pack_rules,
+        lambda r: f"CASE WHEN {shape['context']} RLIKE {rx(r.downgrade[0])} THEN {quote(r.downgrade[1])} "
         f"ELSE {quote(r.severity)} END"
         if r.downgrade
         else None,
         per_rule(lambda r: r.severity),
     )
-    return rows.selectExpr(
-        *ids,
-        f"{per_rule(lambda r: r.rule_id)} AS rule_id",
-        f"{per_rule(lambda r: r.category)} AS category",
-        f"{severity} AS severity",
-        f"{shown} AS value",
-        "context",
-        f"{per_rule(lambda r: r.description)} AS description",
-        f"{per_rule(lambda r: r.cwe)} AS cwe",
-        "pos",
-        "line",
-        "cast(NULL AS int) AS hop",
-    )
+    made = {
+        "category": per_rule(lambda r: r.category), "severity": severity, "value": shown, "context": shape["context"],
+        "description": per_rule(lambda r: r.description), "cwe": per_rule(lambda r: r.cwe),
+    }
+    kept = {c: c for c in RAW}
+    if not (whole or literals):
+        kept = {c: "cast(NULL AS string)" for c in RAW}
+    elif pack_rules:
+        made = {c: f"CASE WHEN ix < {n_found} THEN {e} END" for c, e in made.items()}
+        kept = {c: f"CASE WHEN ix >= {n_found} THEN {e} END" for c, e in kept.items()}
+    else:
+        made = {c: "cast(NULL AS string)" for c in made}
+    rule_ids, groups = [quote(r.rule_id) for r in rules], [quote(n) for n in names]
+    if literals:  # the pseudo rule behind the others: its second group is the kind
+        rule_id = f"CASE WHEN ix = {len(rules)} THEN g2 ELSE {_pick(rule_ids)} END"
+        group = f"CASE WHEN ix = {len(rules)} THEN 'literals' ELSE {_pick(groups)} END"
+    else:
+        rule_id, group = _pick(rule_ids), _pick(groups)
+    pos = "pos"
+    if literals:  # places in the text of their round come with the literals
+        mine = f"ix = {len(rules)}"
+        pos = f"CASE WHEN {mine} THEN cast(split(g1, ':')[1] AS int) ELSE pos END"
+        kept["g1"], kept["g2"] = f"CASE WHEN {mine} THEN split(g1, ':')[0] ELSE {kept['g1']} END", f"CASE WHEN {mine} THEN '' ELSE {kept['g2']} END"
+    columns = {"grp": group, "rule_id": rule_id, "pos": pos, "line": "line", **made, **kept}
+    return rows.selectExpr(*ids, *[f"{e} AS {c}" for c, e in columns.items()])
+
+
+def findings_of(table: DataFrame, ids: Sequence[str] = ID_COLUMNS, packs: Sequence[str] = ()) -> DataFrame:
+    """The findings in a match table, of all its packs or of those named."""
+    rows = table.filter(F.col("grp").isin(*packs)) if packs else table
+    found = ["rule_id", *FOUND, "pos", "line"]
+    return rows.selectExpr(*ids, *found, "cast(NULL AS int) AS hop")
+
+
+def raw_of(table: DataFrame, name: str, ids: Sequence[str] = ID_COLUMNS) -> DataFrame:
+    """The plain matches of one raw group in a match table."""
+    return table.filter(F.col("grp") == name).select(*ids, "rule_id", "pos", "line", *RAW)
+
+
+def scan_rules(
+    df: DataFrame, rules: Sequence[Rule], ids: Sequence[str] = ID_COLUMNS, text: str = "src"
+) -> DataFrame:
+    """Findings of a rule pack: guards, first occurrence, context, line and truncation."""
+    return findings_of(match_table(df, {"pack": rules}, ids=ids, text=text), ids)
 
 
 def severity_rank(column: str = "severity") -> str:

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcesift.functions.text import join_runs, local_table, quote, running_sum_runs, rx
+from sourcesift.functions.text import join_runs, let, local_table, quote, running_sum_runs, rx
 from sourcesift.operators.matching import explode_matches
 from sourcesift.rules import extraction as x
 
 
-def replace_all(column: str, pairs: list[tuple[str, str]]) -> str:
-    """Regex replacements in order; ``{1}`` in a replacement is group 1."""
-    for pattern, replacement in pairs:
+def replace_all(df: DataFrame, text: str, pairs: Sequence[tuple]) -> DataFrame:
+    """Regex replacements in order; ``{1}`` in a replacement is group 1.
+
+    The third element of a pair is a literal that every match contains: most texts are left after a test for it.
+    """
+    for pattern, replacement, *literal in pairs:
         to = replacement.replace("\\", "\\\\").replace("$", "\\$").replace("{1}", "$1")
-        column = f"regexp_replace({column}, {rx(pattern)}, {quote(to)})"
-    return column
+        changed = f"regexp_replace({text}, {rx(pattern)}, {quote(to)})"
+        gate = f"CASE WHEN contains({text}, {quote(literal[0])}) THEN {changed} ELSE {text} END" if literal else changed
+        df = df.withColumn(text, F.expr(gate))
+    return df
 
 
 def _rewrite(df: DataFrame, expression: str, text: str) -> DataFrame:
@@ -23,15 +30,15 @@ def _rewrite(df: DataFrame, expression: str, text: str) -> DataFrame:
 
 
 def normalise_literals(df: DataFrame, text: str = "src") -> DataFrame:
-    return _rewrite(df, replace_all(text, x.NORMALISE_LITERALS), text)
+    return replace_all(df, text, x.NORMALISE_LITERALS)
 
 
 def cleanup_bundle(df: DataFrame, text: str = "src") -> DataFrame:
-    return _rewrite(df, replace_all(text, x.CLEANUP_BUNDLE), text)
+    return replace_all(df, text, x.CLEANUP_BUNDLE)
 
 
 def brackets_to_dots(df: DataFrame, text: str = "src") -> DataFrame:
-    return _rewrite(df, replace_all(text, x.BRACKETS_TO_DOTS), text)
+    return replace_all(df, text, x.BRACKETS_TO_DOTS)
 
 
 def unescape_entities(df: DataFrame, text: str = "src") -> DataFrame:
@@ -48,6 +55,13 @@ def normalise(df: DataFrame, text: str = "src") -> DataFrame:
     return brackets_to_dots(cleanup_bundle(normalise_literals(out, text), text), text)
 
 
+def normalise_with_literals(df: DataFrame, text: str = "src") -> DataFrame:
+    """:func:`normalise`, with what was decoded on the way in the column ``literals``."""
+    out = unescape_entities(df, text).drop("n_entities").withColumn("_d", F.expr(decoded(text)))
+    out = out.withColumn(text, F.col("_d.src")).withColumn("literals", F.col("_d.found")).drop("_d")
+    return brackets_to_dots(cleanup_bundle(normalise_literals(out, text), text), text)
+
+
 def escape_stats(df: DataFrame, text: str = "src") -> DataFrame:
     unicode = " + ".join(f"regexp_count({text}, {rx(p)})" for p in x.UNICODE_ESCAPES)
     return df.selectExpr(
@@ -82,16 +96,9 @@ def _values() -> list[str]:
     ]
 
 
-def _let(bound: dict[str, str], body: str) -> str:
-    """SQL that evaluates each expression once, in order, under its name."""
-    for name, expression in reversed(bound.items()):
-        body = f"element_at(transform(array({expression}), {name} -> {body}), 1)"
-    return body
-
-
 def quoted(value: str) -> str:
     """SQL for a text as a double-quoted literal of source code; null for null."""
-    return _let({"q": f"CASE WHEN {value} IS NOT NULL THEN to_json(named_struct('v', {value})) END"}, "substring(q, 6, length(q) - 6)")
+    return let({"q": f"CASE WHEN {value} IS NOT NULL THEN to_json(named_struct('v', {value})) END"}, "substring(q, 6, length(q) - 6)")
 
 
 _FOUND = "array<struct<kind: string, round: int, pos: int, value: string>>"
@@ -107,7 +114,7 @@ def decoded(text: str) -> str:
     kinds = " ".join(f"WHEN {i} THEN {quote(k)}" for i, k in enumerate(x.LITERAL_KINDS))
     groups = {f"a{i}": f"regexp_extract_all(t, {pattern}, {i + 1})" for i in range(len(x.LITERAL_KINDS))}
     which = " ".join(f"WHEN get(a{i}, i) != '' THEN {i}" for i in range(len(x.LITERAL_KINDS)))
-    value = " ".join(f"WHEN {i} THEN {_let({'g': f'get(a{i}, i)'}, v)}" for i, v in enumerate(_values()))
+    value = " ".join(f"WHEN {i} THEN {let({'g': f'get(a{i}, i)'}, v)}" for i, v in enumerate(_values()))
     bound = {
         "t": "acc.src", "gaps": f"split(t, {pattern}, -1)", "m": f"regexp_extract_all(t, {pattern}, 0)", **groups,
         "k": f"transform(m, (x, i) -> CASE {which} END)",
@@ -117,8 +124,8 @@ def decoded(text: str) -> str:
     }
     spliced = f"array_join(zip_with(gaps, concat(transform(m, (x, i) -> coalesce({quoted('get(v, i)')}, x)), array('')), (gap, x) -> concat(gap, x)), '')"
     rows = f"filter(transform(m, (x, i) -> struct(CASE get(k, i) {kinds} END AS kind, round, get(places, i) AS pos, get(v, i) AS value)), f -> f.value IS NOT NULL)"
-    step = _let(bound, f"named_struct('src', {spliced}, 'found', cast(concat(acc.found, {rows}) AS {_FOUND}), 'more', exists(v, x -> x IS NOT NULL))")
-    signs = " OR ".join(f"contains(acc.src, {quote(g)})" for g in x.LITERAL_SIGNS)
+    step = let(bound, f"named_struct('src', {spliced}, 'found', cast(concat(acc.found, {rows}) AS {_FOUND}), 'more', exists(v, x -> x IS NOT NULL))")
+    signs = " OR ".join([*(f"contains(acc.src, {quote(g)})" for g in x.LITERAL_SIGNS), f"acc.src RLIKE {rx(x.JOINED_SIGN)}"])
     return (
         f"aggregate(sequence(0, {x.LITERAL_ROUNDS - 1}), named_struct('src', {text}, 'found', cast(array() AS {_FOUND}), 'more', true), "
         f"(acc, round) -> CASE WHEN acc.more AND ({signs}) AND acc.src RLIKE {pattern} THEN {step} "
@@ -201,4 +208,4 @@ def strip_suppressions(df: DataFrame, marker: str = "scan-ignore", text: str = "
         (rf"(?i)//\s*{marker}:\s*[\w\-, ]+(?:\s+next-line)?.*\n?", ""),
         (rf"(?i)/\*\s*{marker}:\s*[\w\-, ]+\s*\*/", ""),
     ]
-    return _rewrite(df, replace_all(text, pairs), text)
+    return replace_all(df, text, pairs)

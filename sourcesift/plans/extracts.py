@@ -27,7 +27,7 @@ def found(pattern: str, text: str = "src") -> str:
 
 
 def replaced(text: str, pairs) -> str:
-    for pattern, to in pairs:
+    for pattern, to, *_ in pairs:
         to = to.replace("\\", "\\\\").replace("{1}", "\\1")
         text = f"regexp_replace({text}, {o.rx(pattern)}, {sql_text(to)}, 'g')"
     return text
@@ -77,8 +77,8 @@ add(
 )
 add(
     "recover_sources",
-    lambda spark, sf: recover_sources(code_corpus(spark, sf)),
-    code()
+    lambda spark, sf: recover_sources(mixed_corpus(spark, sf)),
+    mixed()
     + f""", last AS (SELECT artifact_id, path, regexp_extract(src, '([^\\n]*)$', 1) AS l FROM corpus),
     maps AS (SELECT *, TRY(decode(from_base64(regexp_extract(l, {o.rx(r'//[#@]\s*sourceMappingURL\s*=\s*data:application/json;base64,([A-Za-z0-9+/=]+)\s*$')}, 1)))) AS j FROM last),
     items AS (SELECT artifact_id, path, CAST(j AS JSON) AS j, unnest(range(0, CAST(json_array_length(CAST(j AS JSON), '$.sources') AS BIGINT))) AS i
@@ -183,8 +183,8 @@ add(
 NAMES_CTE = "names(module_id, name) AS (VALUES " + ", ".join(f"('{k}', {sql_text(v)})" for k, v in x.MODULE_NAMES.items()) + ")"
 add(
     "resolve_module_aliases",
-    lambda spark, sf: n.resolve_module_aliases(code_corpus(spark, sf), n.module_names(spark)),
-    code(NAMES_CTE, o.matches_cte(x.ALIAS))
+    lambda spark, sf: n.resolve_module_aliases(mixed_corpus(spark, sf), n.module_names(spark)),
+    mixed(NAMES_CTE, o.matches_cte(x.ALIAS))
     + """, l AS (SELECT artifact_id, path, g1 AS alias, g2 AS module_id FROM hits
       QUALIFY row_number() OVER (PARTITION BY artifact_id, g1 ORDER BY pos DESC) = 1)
     SELECT artifact_id, path, alias, module_id, name FROM l JOIN names USING (module_id)""",
@@ -193,8 +193,8 @@ _SYMBOLS = ", ".join(f"('{f}', '{s}', '{full}')" for f, m in x.SYMBOLS.items() f
 _GATES = " UNION ALL ".join(f"SELECT artifact_id, '{f}' AS framework FROM corpus WHERE {found(p)}" for f, p in x.SYMBOL_GATES.items())
 add(
     "symbol_usage",
-    lambda spark, sf: n.symbol_usage(code_corpus(spark, sf), n.symbols(spark)),
-    code(
+    lambda spark, sf: n.symbol_usage(mixed_corpus(spark, sf), n.symbols(spark)),
+    mixed(
         f"symbols(framework, short, full_name) AS (VALUES {_SYMBOLS})",
         o.matches_cte(x.CALL_NAMES),
         f"gates AS ({_GATES} UNION ALL SELECT artifact_id, 'angular' FROM corpus UNION ALL SELECT artifact_id, 'rxjs' FROM corpus)",
@@ -309,10 +309,8 @@ add(
     FROM f WHERE name <> 'Vue' OR NOT EXISTS (SELECT 1 FROM f a WHERE a.artifact_id = f.artifact_id AND a.name = 'Angular')""",
 )
 
-HIDDEN_CTE = (
-    LITERALS_CTE
-    + f", hidden AS (SELECT artifact_id, path, '/' || value AS route, min(pos) AS pos FROM literals WHERE {found(x.HIDDEN_ROUTE, 'value')} GROUP BY ALL)"
-)
+HIDDEN_ROWS = f"hidden AS (SELECT artifact_id, path, '/' || value AS route, min(pos) AS pos FROM literals WHERE {found(x.HIDDEN_ROUTE, 'value')} GROUP BY ALL)"
+HIDDEN_CTE = f"{LITERALS_CTE}, {HIDDEN_ROWS}"
 _RANK = " ".join(f"WHEN {sql_text(r.rule_id)} THEN {i}" for i, r in enumerate(x.ROUTES))
 ROUTE_ROWS_CTE = (
     o.matches_cte(x.ROUTES, "rh")

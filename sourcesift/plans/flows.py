@@ -8,8 +8,8 @@ from sourcesift.operators import extract as e
 from sourcesift.operators import taint as op
 from sourcesift.operators.matching import scan_rules
 from sourcesift.plans import oracle as o
-from sourcesift.plans.corpora import code_corpus, mixed_corpus
-from sourcesift.plans.extracts import code, found, mixed
+from sourcesift.plans.corpora import mixed_corpus
+from sourcesift.plans.extracts import found, mixed
 from sourcesift.plans.graphs import MODULES_CTE, modules_of
 from sourcesift.plans.registry import add
 from sourcesift.rules import extraction as x
@@ -58,13 +58,13 @@ def taint_ctes(keys: str = "artifact_id, path", source: str = "corpus", text: st
     kw AS (SELECT *, {o.win(100, 0, text=text)} AS b, {o.win(0, 250, text=text)} AS a, {o.line(text=text)} AS line FROM kh),
     kc AS (SELECT *, substring({o.one_line('a')}, 1, 120) AS context FROM kw),
     kn AS (SELECT DISTINCT {on}, rule_id AS sink_id, pos, line, context, unnest(list_concat({names_in('a')}, {names_in('b')})) AS var FROM kc),
-    reached AS (SELECT {', '.join('kn.' + c for c in k)}, 'taint-flow' AS rule_id, {lookup(t.SINKS, 'severity', 'sink_id')} AS severity,
+    reached AS MATERIALIZED (SELECT {', '.join('kn.' + c for c in k)}, 'taint-flow' AS rule_id, {lookup(t.SINKS, 'severity', 'sink_id')} AS severity,
       sink_id || ' ← "' || kn.var || '" (src:' || source_id || ')' AS value, source_id, sink_id, kn.var, hop, context,
       {lookup(t.SINKS, 'cwe', 'sink_id')} AS cwe, kn.pos, line FROM kn JOIN tainted ON {same('kn', 'tainted')} AND kn.var = tainted.var),
     direct_all AS ({' UNION ALL '.join(f"SELECT {on}, {sql_text(r.rule_id)} AS source_id, rule_id AS sink_id, context, pos, line FROM kc WHERE {found(r.pattern, 'a')} OR {found(r.pattern, 'b')}" for r in t.SOURCES)}),
     direct AS (SELECT {on}, 'taint-flow-direct' AS rule_id, {lookup(t.SINKS, 'severity', 'sink_id')} AS severity, source_id || ' → ' || sink_id || ' (direct)' AS value,
       source_id, sink_id, '' AS var, 0 AS hop, context, {lookup(t.SINKS, 'cwe', 'sink_id')} AS cwe, pos, line FROM direct_all),
-    flows AS (SELECT * FROM reached UNION ALL SELECT * FROM direct WHERE EXISTS (SELECT 1 FROM tainted WHERE {same('tainted', 'direct')}))"""
+    flows AS MATERIALIZED (SELECT * FROM reached UNION ALL SELECT * FROM direct WHERE EXISTS (SELECT 1 FROM tainted WHERE {same('tainted', 'direct')}))"""
 
 
 TAINT = taint_ctes()
@@ -85,7 +85,7 @@ add("taint_direct", lambda spark, sf: op.taint_direct(mixed_corpus(spark, sf)),
 add(
     "taint_by_module",
     lambda spark, sf: op.taint_by_module(modules_of(spark, sf)),
-    code(MODULES_CTE, taint_ctes("artifact_id, module_id", "modules", "module_src")) + " SELECT * FROM flows",
+    mixed(MODULES_CTE, taint_ctes("artifact_id, module_id", "modules", "module_src")) + " SELECT * FROM flows",
 )
 add(
     "taint_summary",
@@ -101,13 +101,13 @@ _VAR = (
 _NEAR = " ".join(f"WHEN {found(r.pattern, 'w')} THEN {sql_text(r.rule_id)}" for r in s.FALLBACK_SOURCES)
 FALLBACK = f"""{o.matches_cte(s.FALLBACK_SOURCES, 'fh')},
     fs AS (SELECT artifact_id, {_VAR} AS var, {rank(s.FALLBACK_SOURCES, 'rule_id')} AS turn, pos AS s_pos FROM fh),
-    fseeds AS (SELECT * FROM fs WHERE var IS NOT NULL QUALIFY row_number() OVER (PARTITION BY artifact_id, var ORDER BY turn, s_pos) = 1),
+    fseeds AS MATERIALIZED (SELECT * FROM fs WHERE var IS NOT NULL QUALIFY row_number() OVER (PARTITION BY artifact_id, var ORDER BY turn, s_pos) = 1),
     {o.matches_cte(s.FALLBACK_SINKS, 'fk')},
     fw AS (SELECT *, {o.win(200, 200)} AS w, {o.line()} AS line FROM fk),
-    fn AS (SELECT *, CASE {_NEAR} WHEN {found(t.PARAMETERS, 'w')} AND {found(t.PARAMETER_PROPERTY, 'w')} THEN 'function parameter property' END AS near FROM fw),
+    fn AS MATERIALIZED (SELECT *, CASE {_NEAR} WHEN {found(t.PARAMETERS, 'w')} AND {found(t.PARAMETER_PROPERTY, 'w')} THEN 'function parameter property' END AS near FROM fw),
     fv AS (SELECT f.artifact_id, f.sink, f.pos, f.var FROM (SELECT artifact_id, rule_id AS sink, pos, unnest(regexp_extract_all(w, '[A-Za-z_$][A-Za-z0-9_$]*', 0)) AS var FROM fw) f
       JOIN fseeds USING (artifact_id, var) QUALIFY row_number() OVER (PARTITION BY f.artifact_id, f.sink, f.pos ORDER BY turn, s_pos, f.var) = 1),
-    fallback AS (SELECT fn.artifact_id, fn.path, 'taint-flow' AS rule_id, {lookup(s.FALLBACK_SINKS, 'severity', 'fn.rule_id')} AS severity,
+    fallback AS MATERIALIZED (SELECT fn.artifact_id, fn.path, 'taint-flow' AS rule_id, {lookup(s.FALLBACK_SINKS, 'severity', 'fn.rule_id')} AS severity,
       fn.rule_id || ' (src: ' || coalesce(fv.var, near) || ')' AS value, {o.one_line(o.win(150, 150, 'fn.pos'))} AS context,
       {lookup(s.FALLBACK_SINKS, 'cwe', 'fn.rule_id')} AS cwe, fn.pos, line
       FROM fn LEFT JOIN fv ON fv.artifact_id = fn.artifact_id AND fv.sink = fn.rule_id AND fv.pos = fn.pos WHERE coalesce(fv.var, near) IS NOT NULL)"""

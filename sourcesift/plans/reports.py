@@ -11,10 +11,12 @@ from sourcesift.operators import findings as op
 from sourcesift.operators import surface
 from sourcesift.operators.matching import order_findings, scan_rules, severity_rank
 from sourcesift.plans import oracle as o
-from sourcesift.plans.corpora import mixed_corpus, stream_corpus, table
-from sourcesift.plans.extracts import DEPS_CTE, ENDPOINT_CTE, HIDDEN_CTE, UNGUARDED_CTE, _FIXES, _V, mixed
+from sourcesift.plans.corpora import corpus_sql, mixed_corpus, stream_corpus, table
+from sourcesift.plans.extracts import (
+    _FIXES, _UNESCAPED, DEPS_CTE, ENDPOINT_CTE, HIDDEN_CTE, HIDDEN_ROWS, OUTDATED, REWRITTEN, UNGUARDED_CTE, decoded_ctes, mixed,
+)
 from sourcesift.plans.flows import FALLBACK, TAINT
-from sourcesift.plans.graphs import CHUNK_CTE, DEGREE_CTE, EDGES_CTE, MODULES_CTE, hot_cte
+from sourcesift.plans.graphs import CHUNK_CTE, DEGREE_CTE, EDGES_CTE, hot_cte, modules_cte
 from sourcesift.plans.registry import add
 from sourcesift.plans.scans import NETWORK_CTE, RACE_CTE, _SIGNED
 from sourcesift.rules import extended
@@ -114,10 +116,11 @@ add(
     lambda spark, sf: op.category_breakdown(main_findings(spark, sf)),
     mixed(MAIN_CTE, BREAKDOWN) + " SELECT * FROM breakdown",
 )
-SURFACE = f"""{BREAKDOWN}, {UNGUARDED_CTE}, {ENDPOINT_CTE}, {HIDDEN_CTE}, surface AS (SELECT * FROM breakdown
+SURFACE_ROWS = """surface AS (SELECT * FROM breakdown
     UNION ALL SELECT artifact_id, 'Unguarded Routes', CAST(count(*) * 8 AS BIGINT) FROM unguarded GROUP BY 1
     UNION ALL SELECT artifact_id, 'Unprotected Endpoints', CAST(count(*) * 6 AS BIGINT) FROM endpoints WHERE NOT has_auth_header AND NOT has_guard_context GROUP BY 1
     UNION ALL SELECT artifact_id, 'Hidden Routes', CAST(count(*) * 4 AS BIGINT) FROM hidden GROUP BY 1)"""
+SURFACE = f"{BREAKDOWN}, {UNGUARDED_CTE}, {ENDPOINT_CTE}, {HIDDEN_CTE}, {SURFACE_ROWS}"
 
 
 def surface_of(spark, sf):
@@ -217,21 +220,37 @@ add(
 
 # --- whole, incremental and streamed scans ---------------------------------------------------
 _WIRED = [r for name in op.WIRED for r in PACKS[name]]
+# The whole scan: ``raw_corpus`` is the texts, ``corpus`` what normalising and decoding make of them.
+_LINE = "CAST(1 + length(substring(src, 1, pos)) - length(replace(substring(src, 1, pos), chr(10), '')) AS INTEGER)"
+_WHOLE = ", ".join([
+    corpus_sql("mixed").replace("corpus AS MATERIALIZED", "raw_corpus AS MATERIALIZED", 1), decoded_ctes("raw_corpus", _UNESCAPED),
+    f"corpus AS MATERIALIZED (SELECT artifact_id, path, {REWRITTEN} AS src FROM lit_texts)",
+    o.scan_cte(_WIRED, "wired"), RACE_CTE, o.scan_cte(extended.SERVICE_WORKER, "sw", _SIGNED),
+    DEPS_CTE, f"fixes(package, ma, mi, pa, cve, severity) AS (VALUES {_FIXES})", TAINT, FALLBACK, modules_cte("raw_corpus"), EDGES_CTE, DEGREE_CTE, hot_cte(10), CHUNK_CTE,
+    f"""graphs AS (SELECT c.artifact_id, rc.path, c.rule_id, c.severity, c.value, c.context, rc.src,
+      (SELECT min(pos) FROM places p WHERE p.artifact_id = c.artifact_id AND (p.module_id = c.module_id OR p.format = c.format)) AS pos
+      FROM chunk_findings c JOIN raw_corpus rc USING (artifact_id)),
+    findings AS MATERIALIZED (SELECT {o.FINDING_COLUMNS} FROM wired
+    UNION ALL SELECT {o.FINDING_COLUMNS} FROM race
+    UNION ALL SELECT {o.FINDING_COLUMNS} FROM sw
+    UNION ALL SELECT artifact_id, path, 'dep-' || package, 'Vulnerable Dependency', severity, package || '@' || version, 'below ' || ma || '.' || mi || '.' || pa, pos, line
+      FROM versions JOIN fixes USING (package) WHERE {OUTDATED}
+    UNION ALL SELECT artifact_id, path, rule_id, 'Taint Flow', severity, value, context, pos, line FROM flows
+    UNION ALL SELECT artifact_id, path, rule_id, 'Taint Flow', severity, value, context, pos, line FROM fallback WHERE artifact_id NOT IN (SELECT artifact_id FROM flows)
+    UNION ALL SELECT artifact_id, path, rule_id, 'Module Graph', severity, value, context, pos, {_LINE} FROM graphs)""",
+])
+add("full_scan", lambda spark, sf: op.full_scan(mixed_corpus(spark, sf)), f"WITH RECURSIVE {_WHOLE} SELECT * FROM findings")
+_SUP_JOIN = "s.artifact_id = f.artifact_id AND s.line = f.line AND s.rule_id IN ('all', lower(f.rule_id))"
 add(
-    "full_scan",
-    lambda spark, sf: op.full_scan(mixed_corpus(spark, sf)).drop("context"),
-    mixed(
-        o.scan_cte(_WIRED, "wired"), RACE_CTE, o.scan_cte(extended.SERVICE_WORKER, "sw", _SIGNED),
-        DEPS_CTE, f"fixes(package, ma, mi, pa, cve, severity) AS (VALUES {_FIXES})", TAINT, FALLBACK, MODULES_CTE, EDGES_CTE, DEGREE_CTE, hot_cte(10), CHUNK_CTE,
-    )
-    + f""" SELECT artifact_id, path, rule_id, category, severity, value, pos, line FROM wired
-    UNION ALL SELECT artifact_id, path, rule_id, category, severity, value, pos, line FROM race
-    UNION ALL SELECT artifact_id, path, rule_id, category, severity, value, pos, line FROM sw
-    UNION ALL SELECT artifact_id, path, 'dep-' || package, 'Vulnerable Dependency', severity, package || '@' || version, 0, 1 FROM versions JOIN fixes USING (package)
-      WHERE TRY_CAST(split_part(version, '.', 1) AS INTEGER) IS NOT NULL AND ({_V[0]} < ma OR ({_V[0]} = ma AND {_V[1]} < mi) OR ({_V[0]} = ma AND {_V[1]} = mi AND {_V[2]} < pa))
-    UNION ALL SELECT artifact_id, path, rule_id, 'Taint Flow', severity, value, pos, line FROM flows
-    UNION ALL SELECT artifact_id, path, rule_id, 'Taint Flow', severity, value, pos, line FROM fallback WHERE artifact_id NOT IN (SELECT artifact_id FROM flows)
-    UNION ALL SELECT c.artifact_id, corpus.path, c.rule_id, 'Module Graph', c.severity, c.value, 0, 1 FROM chunk_findings c JOIN corpus USING (artifact_id)""",
+    "scan_report",
+    lambda spark, sf: op.WholeScan(mixed_corpus(spark, sf)).report,
+    f"""WITH RECURSIVE {_WHOLE}, {SUPPRESSION_CTE}, {BREAKDOWN}, {UNGUARDED_CTE}, {ENDPOINT_CTE}, {HIDDEN_ROWS}, {SURFACE_ROWS},
+    hit AS (SELECT f.artifact_id, EXISTS (SELECT 1 FROM suppressions s WHERE {_SUP_JOIN}) AS hidden FROM findings f),
+    counts AS (SELECT artifact_id, count(*) FILTER (NOT hidden) AS total, count(*) FILTER (hidden) AS suppressed FROM hit GROUP BY 1),
+    sums AS (SELECT artifact_id, CAST(sum(points) AS BIGINT) AS score FROM surface GROUP BY 1),
+    whole AS (SELECT artifact_id, path AS filename, CAST(strlen(src) AS BIGINT) AS size, coalesce(total, 0) AS total, coalesce(suppressed, 0) AS suppressed,
+      coalesce(score, 0) AS score FROM raw_corpus LEFT JOIN counts USING (artifact_id) LEFT JOIN sums USING (artifact_id))
+    SELECT *, {RISK} AS risk FROM whole""",
 )
 
 

@@ -6,7 +6,7 @@ from sourcesift.functions.dialect import sql_text
 from sourcesift.operators import surface
 from sourcesift.operators.matching import scan_rules
 from sourcesift.plans import oracle as o
-from sourcesift.plans.corpora import code_corpus, mixed_corpus
+from sourcesift.plans.corpora import mixed_corpus
 from sourcesift.plans.registry import Query, add
 from sourcesift.rules import extended
 from sourcesift.rules import surface as rs
@@ -148,6 +148,6 @@ _WASM_CTE = (
 )
 add(
     "scan_wasm",
-    lambda spark, sf: surface.scan_wasm(code_corpus(spark, sf)),
-    o.with_corpus("code", _WASM_CTE) + " SELECT *, 'WebAssembly' AS category FROM wasm",
+    lambda spark, sf: surface.scan_wasm(mixed_corpus(spark, sf)),
+    o.with_corpus("mixed", _WASM_CTE) + " SELECT *, 'WebAssembly' AS category FROM wasm",
 )

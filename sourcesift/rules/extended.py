@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sourcesift.rules.model import Guard, Rule, drop, keep
+from sourcesift.rules.model import Guard, Rule, drop, keep, skip_names
 
 
 def _r(rule_id, category, severity, pattern, gate, text, **more):
@@ -139,8 +139,11 @@ RACE = [
        fmt="localStorage read→Promise→write"),
     # fixed pattern: read from storage, at most three statements on, the same name plus one
     _r("race-counter", "Race Condition", "high",
-       r"(\w+)\s*=\s*(?:parseInt\s*\()?\s*localStorage\.getItem[^;]{0,100};\s*"
-       r"(?:[^;]{0,100};\s*){0,3}\1\s*(?:\+\+|\+=\s*1|\+\s*1)",
+       skip_names(
+           r"(\w+)\s*=\s*(?:parseInt\s*\()?\s*localStorage\.getItem[^;]{0,100};\s*"
+           r"(?:[^;]{0,100};\s*){0,3}\1\s*(?:\+\+|\+=\s*1|\+\s*1)",
+           r"\w\w", unless=r"\s*=\s*(?:parseInt\s*\()?\s*localStorage",
+       ),
        ("localStorage.getItem",), "Counter in storage without a lock", groups=1, value="g1",
        fmt="Non-atomic counter: {v}", context=(125, 125)),
 ]

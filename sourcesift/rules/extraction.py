@@ -10,18 +10,19 @@ import re
 from sourcesift.rules.model import name_then, span
 from sourcesift.rules.surface import spec
 
+# pattern, replacement, a literal that every match contains
 NORMALISE_LITERALS = [
-    (r"\b!0\b", "true"), (r"\b!1\b", "false"), (r"\bvoid\s+0\b", "undefined"),
-    (r"\bvoid\(0\)", "undefined"), (r"\b!!\[\]", "true"), (r"\b!\[\]", "false"), (r"\+\[\]", "0"),
+    (r"\b!0\b", "true", "!0"), (r"\b!1\b", "false", "!1"), (r"\bvoid\s+0\b", "undefined", "void"),
+    (r"\bvoid\(0\)", "undefined", "void(0)"), (r"\b!!\[\]", "true", "!![]"), (r"\b!\[\]", "false", "![]"), (r"\+\[\]", "0", "+[]"),
 ]
 CLEANUP_BUNDLE = [
-    (r"\(0\s*,\s*([A-Za-z_$][A-Za-z0-9_$.]*)\)\s*\(", "{1}("),
-    (r"__webpack_require__", "require"),
-    (r"""Object\.defineProperty\s*\(\s*\w+\s*,\s*["']__esModule["']\s*,\s*\{[^}]*\}\s*\)\s*;?""", "/* ESModule */"),
-    (r"/\*\*\*/\s*\(function\s*\(", "/* webpack-module */ (function("),
-    (r"/\*\s*!eval\s*\*/", "/* eval */"),
+    (r"\(0\s*,\s*([A-Za-z_$][A-Za-z0-9_$.]*)\)\s*\(", "{1}(", "(0"),
+    (r"__webpack_require__", "require", "__webpack_require__"),
+    (r"""Object\.defineProperty\s*\(\s*\w+\s*,\s*["']__esModule["']\s*,\s*\{[^}]*\}\s*\)\s*;?""", "/* ESModule */", "__esModule"),
+    (r"/\*\*\*/\s*\(function\s*\(", "/* webpack-module */ (function(", "/***/"),
+    (r"/\*\s*!eval\s*\*/", "/* eval */", "!eval"),
 ]
-BRACKETS_TO_DOTS = [(r"""\[\s*["'](\w+)["']\s*\]""", ".{1}")]
+BRACKETS_TO_DOTS = [(r"""\[\s*["'](\w+)["']\s*\]""", ".{1}", "[")]
 # &amp; comes last so that a decoded ampersand never starts a second decoding
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
 ENTITY = r"&(?:amp|lt|gt|quot|apos|nbsp);"
@@ -40,7 +41,8 @@ def literal(once: str = "+") -> str:
 
 
 LITERAL_KINDS = ("char_codes", "base64", "hex_array", "concat", "array_join")
-LITERAL_SIGNS = ("String.fromCharCode", "atob", "0x", "+", "join")
+LITERAL_SIGNS = ("String.fromCharCode", "atob", "0x", "join")
+JOINED_SIGN = r"""["']\s*\+\s*["']"""
 #: A literal inside another is decoded a round later; there are at most so many rounds.
 LITERAL_ROUNDS = 10
 STRING_LITERAL = r"""["']([^"']*)["']"""
@@ -232,7 +234,7 @@ def _version_refs() -> list:
     out = []
     for package, *_ in VULNERABLE:
         name, flag = re.escape("@" * (package == "angular/core") + package).replace("\\-", "-"), "(?i)" * (package == "jquery")
-        gate = () if flag else (package,)
+        gate = (package,)
         out.append(spec(f"{package}:at", f"{flag}{name}@([0-9.]+)", gate, 1))
         if package in ("lodash", "axios", "jquery", "d3"):
             quoted = span(f"{flag}[\"']{name}[\"']", ".", "[\"']([0-9.]+)[\"']", lazy=True)

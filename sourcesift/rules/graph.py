@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sourcesift.rules.model import span
+
 CHUNK_HEAD = r"\[\[(\d+)\]\s*,\s*\{"
 MODULE_LINE = r"(?m)^(\d+):\s*\((?:Q|module),\s*(?:H|exports),\s*(?:d|require)\)"
 PUSHED_CHUNK = r"""self\[\s*["']webpackChunk["']\s*\]\.push\s*\(\s*\[\[\s*(\d+)\s*\]\s*,\s*\{"""
@@ -36,7 +38,7 @@ CALLS = [
     ("router-navigate", r"(router\.navigate)\s*\("),
     ("module-dep", D_CALL),
     ("http-fetch", r"\b(fetch|axios\.\w+|http\.\w+)\s*\("),
-    ("router-link", r"""["']routerLink["'].*?["']([^"']+)["']"""),
+    ("router-link", span(r"""["']routerLink["']""", ".", r"""["']([^"']+)["']""", lazy=True)),
 ]
 ROUTE_PATH = r"""path\s*:\s*["']([^"']+)["']"""
 HAS_GUARD = r"canActivate|AuthGuard"

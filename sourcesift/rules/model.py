@@ -61,6 +61,13 @@ def name_then(first: str, more: str, then: str, skip: str = "") -> Linear:
     return Linear(f"({first}{more}*){then}", f"({first}{more}*+)(?:{then}|{rest}{_SKIPPED})")
 
 
+def skip_names(pattern: str, name: str, unless: str = "") -> Linear:
+    """A pattern that begins with a name (``name`` matches it whole, without its last ``*``); a name at which it fails
+    is skipped whole, ``unless`` that follows, so that shorter ends of the name get their turn."""
+    follows = f"(?!{unless})" if unless else ""
+    return Linear(pattern, f"{pattern}|{name}*+{follows}{_SKIPPED}")
+
+
 @dataclass(frozen=True)
 class Guard:
     """Keep or drop a match by a regex on its value, a group, the match or a window around it."""
