@@ -33,3 +33,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write the rows as Parquet to a new folder in the shared folder and read them from there.
+
+    Unlike a checkpoint, later steps read only the columns they need. The folder stays until whoever owns the
+    shared folder removes it.
+    """
+    path = shared_folder(df.sparkSession) + "/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sourcesift.functions.lineage import cut_lineage
+from sourcesift.functions.lineage import written
 from sourcesift.functions.text import local_table, quote, rx
 from sourcesift.operators import graph
 from sourcesift.operators.extract import DEPENDENCY_RULES, endpoints_of, hidden_of, unguarded_of, versions_of, vulnerable_dependencies
@@ -60,7 +60,7 @@ def scan_table(df: DataFrame, marker: str = "scan-ignore") -> DataFrame:
         Raw("any_route", tuple(x.ANY_ROUTE)), Raw("guarded_route", tuple(x.GUARDED_ROUTE)), Raw("endpoints", tuple(x.ENDPOINT), before=300, after=50),
     ]
     texts = normalise_with_literals(df).selectExpr("*", f"{_LEADS} AS _leads", f"{_SIGNS} AS _signs")
-    return cut_lineage(match_table(texts, packs, raws, only={"service_worker": "_signs"}, literals="literals"))
+    return written(match_table(texts, packs, raws, only={"service_worker": "_signs"}, literals="literals"))
 
 
 class WholeScan:
@@ -74,7 +74,7 @@ class WholeScan:
     def __init__(self, df: DataFrame, marker: str = "scan-ignore") -> None:
         self.artifacts, self.marker = df, marker
         self.table = scan_table(df, marker)
-        self.modules = cut_lineage(graph.module_facts(graph.placed_modules(df)))
+        self.modules = written(graph.module_facts(graph.placed_modules(df)))
 
     def raw(self, name: str) -> DataFrame:
         return raw_of(self.table, name)
@@ -102,7 +102,7 @@ class WholeScan:
     @cached_property
     def _written(self) -> DataFrame:
         """The findings, written for the parts of a report that each read them."""
-        return cut_lineage(self.findings)
+        return written(self.findings)
 
     @property
     def suppressions(self) -> DataFrame:

@@ -44,58 +44,52 @@ def match_arrays(
     ``only`` may give a condition per rule (SQL over the columns of ``df``); where it does not hold, the rule is not run.
     ``literals`` may name an array of decoded literals, which take the place of matches of one more rule.
     """
-    n_groups = max((r.groups for r in rules), default=0)
-    if literals:
-        n_groups = max(n_groups, 2)
-    skips = any(isinstance(r.pattern, Linear) for r in rules)
-
-    def arrays(ix: int, rule: Rule) -> str:
+    n_groups = max([r.groups for r in rules] + [2] * bool(literals))
+    # a rule's regex runs over a text once: it sets each match and its groups between marks that the text cannot hold
+    # (its own MD5), and a split at the marks gives gap, match, group 1, ... in turn. What a linear pattern has
+    # skipped shows in one more group.
+    widths = [r.groups + isinstance(r.pattern, Linear) for r in rules] + [2] * bool(literals)
+    strides = [str(w + 2) for w in widths]
+
+    def parts(ix: int, rule: Rule) -> str:
         pattern = rx(getattr(rule.pattern, "linear", rule.pattern))
-        groups = "".join(
-            f", regexp_extract_all(_src, {pattern}, {g}) AS g{g}"
-            if g <= rule.groups
-            else f", cast(array() AS array<string>) AS g{g}"
-            for g in range(1, n_groups + 1)
-        )
-        if isinstance(rule.pattern, Linear):  # the group after the pattern's own tells what was only skipped
-            groups += f", regexp_extract_all(_src, {pattern}, {rule.groups + 1}) AS skipped"
-        elif skips:
-            groups += ", cast(NULL AS array<string>) AS skipped"
         when = f"({only[ix]}) AND " if only and only[ix] else ""
-        return (
-            f"CASE WHEN {when}({_gate(rule)}) AND _src RLIKE {pattern} THEN struct({ix} AS ix, "
-            f"regexp_extract_all(_src, {pattern}, 0) AS g0, split(_src, {pattern}, -1) AS gaps{groups}) END"
-        )
+        return f"CASE WHEN {when}({_gate(rule)}) THEN struct({ix} AS ix, split(regexp_replace(_src, {pattern}, _put{widths[ix]}), _mark, -1) AS parts) END"
 
     ids = list(ids)
     more = [*_named_in(df, only, ids, text), *[literals] * bool(literals)]
     base = with_text_index(df.select(*ids, *more, F.col(text).alias("_src")), "_src")
+    base = base.withColumn("_mark", F.concat(F.lit("m"), F.md5("_src")))  # a digit would be read into the group's number
+    for width in sorted(set(widths)):
+        put = "".join(f", '$', '{g}', _mark" for g in range(width + 1))
+        base = base.withColumn(f"_put{width}", F.expr(f"concat(_mark{put})"))
     if any(r.gate and r.ignore_case for r in rules):
         base = base.withColumn("_lower", F.lower("_src"))
-    per_rule = ", ".join(arrays(i, r) for i, r in enumerate(rules))
+    per_rule = [parts(i, r) for i, r in enumerate(rules)]
     if literals:
-        blank = "".join(f", cast(array() AS array<string>) AS g{g}" for g in range(3, n_groups + 1)) + ", cast(NULL AS array<string>) AS skipped" * skips
-        per_rule += (
-            f", CASE WHEN size({literals}) > 0 THEN struct({len(rules)} AS ix, transform({literals}, f -> f.value) AS g0, "
-            f"cast(array() AS array<string>) AS gaps, transform({literals}, f -> concat(f.round, ':', f.pos)) AS g1, transform({literals}, f -> f.kind) AS g2{blank}) END"
-        )
-    hits = base.selectExpr(
-        *ids, "_blocks", "_lines", f"inline(array_compact(array({per_rule})))"
-    )
-    columns = [f"g{g}" for g in range(n_groups + 1)]
-    keep = [*ids, "_blocks", "_lines", "ix", *columns, *["skipped"] * skips]
+        listed = f"flatten(transform({literals}, f -> array('', f.value, concat(f.round, ':', f.pos), f.kind)))"
+        per_rule.append(f"CASE WHEN size({literals}) > 0 THEN struct({len(rules)} AS ix, concat({listed}, array('')) AS parts) END")
+    hits = base.selectExpr(*ids, "_blocks", "_lines", f"inline(filter(array({', '.join(per_rule)}), h -> size(h.parts) > 1))")
+    stride = _pick(strides)
+    hits = hits.selectExpr(*ids, "_blocks", "_lines", "ix", "parts", f"{stride} AS w", f"(size(parts) - 1) div {stride} AS n")
     # offset of match i = the gap before it plus everything before that gap; most rows have one match
-    steps = (
-        "slice(zip_with(gaps, concat(array(0), transform(g0, m -> length(m))), "
-        "(gap, prior) -> length(gap) + prior), 1, size(g0))"
-    )
+    steps = "transform(sequence(0, n - 1), j -> length(get(parts, j * w)) + CASE WHEN j > 0 THEN length(get(parts, (j - 1) * w + 1)) ELSE 0 END)"
     summed = let({"steps": steps, "runs": running_sum_runs("steps")}, join_runs("runs"))
-    pos = f"CASE WHEN size(g0) = 1 THEN array(cast(length(get(gaps, 0)) AS int)) ELSE {summed} END AS pos"
-    hits = hits.selectExpr(*keep, pos)
-    if skips:
-        real = "CASE WHEN skipped IS NULL THEN {0} ELSE filter({0}, (x, i) -> get(skipped, i) = '') END AS {0}"
-        hits = hits.selectExpr(*ids, "_blocks", "_lines", "ix", *[real.format(c) for c in (*columns, "pos")]).filter("size(g0) > 0")
-    return hits
+    places = f"CASE WHEN n = 1 THEN array(cast(length(get(parts, 0)) AS int)) ELSE {summed} END AS places"
+    linear = [str(i) for i, r in enumerate(rules) if isinstance(r.pattern, Linear)]
+    real = "sequence(0, n - 1)"
+    if linear:
+        real = f"CASE WHEN ix IN ({', '.join(linear)}) THEN filter({real}, j -> get(parts, j * w + w - 1) = '') ELSE {real} END"
+    keep = [*ids, "_blocks", "_lines", "ix"]
+    hits = hits.selectExpr(*keep, "cast(w AS int) AS w", "parts", places, f"transform({real}, j -> cast(j AS int)) AS at").filter("size(at) > 0")
+    groups = ["transform(at, j -> get(parts, j * w + 1)) AS g0"]
+    for g in range(1, n_groups + 1):
+        having = [str(i) for i, r in enumerate(rules) if r.groups >= g] + [str(len(rules))] * (bool(literals) and g <= 2)
+        taken = f"transform(at, j -> get(parts, j * w + {g + 1}))"
+        if len(having) < len(widths):
+            taken = f"CASE WHEN ix IN ({', '.join(having)}) THEN {taken} ELSE cast(array() AS array<string>) END"
+        groups.append(f"{taken} AS g{g}")
+    return hits.selectExpr(*keep, *groups, "transform(at, j -> get(places, j)) AS pos")
 
 
 def _named_in(df: DataFrame, only: Sequence[str], ids: Sequence[str], text: str) -> list[str]:
