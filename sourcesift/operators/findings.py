@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -71,8 +72,8 @@ class WholeScan:
     is made: one for the matches, one for the modules of bundles, which are taken from the texts as they are.
     """
 
-    def __init__(self, df: DataFrame, marker: str = "scan-ignore") -> None:
-        self.artifacts, self.marker = df, marker
+    def __init__(self, df: DataFrame, marker: str = "scan-ignore", steps: Sequence[str] | None = None) -> None:
+        self.artifacts, self.marker, self.steps = df, marker, list(STEPS if steps is None else steps)
         self.table = scan_table(df, marker)
         self.modules = written(graph.module_facts(graph.placed_modules(df)))
 
@@ -81,19 +82,8 @@ class WholeScan:
 
     @cached_property
     def findings(self) -> DataFrame:
-        def shaped(rows: DataFrame, **fixed: str) -> DataFrame:
-            for name, expression in fixed.items():
-                rows = rows.withColumn(name, F.expr(expression))
-            return rows.select(*FINDING)
-
-        hits = self.table.filter(F.col("grp").isin("taint", "assignments", "sinks")).selectExpr("*", "before AS w", "before AS near", "before AS b", "after AS a")
-        flows = with_fallback(flows_of(hits), fallback_of(self.raw("near_sources"), self.raw("near_sinks")))
-        parts = [
-            findings_of(self.table.filter("category IS NOT NULL")).select(*FINDING),
-            shaped(vulnerable_dependencies(versions_of(self.raw("dependencies")))),
-            shaped(flows, category="'Taint Flow'"),
-            shaped(graph.findings_of_facts(self.modules), category="'Module Graph'"),
-        ]
+        """What the registered steps find; those named when the scan was made, or all."""
+        parts = [STEPS[name](self).select(*FINDING) for name in self.steps]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
@@ -137,6 +127,34 @@ class WholeScan:
         return head.selectExpr("artifact_id", "filename", "size", "coalesce(total, 0L) AS total", "coalesce(suppressed, 0L) AS suppressed", "coalesce(score, 0L) AS score", "coalesce(risk, 'LOW') AS risk")
 
 
+#: What a whole scan is made of: name -> step from the scan (its texts, match table and modules) to findings.
+STEPS: dict[str, Callable[[WholeScan], DataFrame]] = {}
+
+
+def register_step(name: str, step: Callable[[WholeScan], DataFrame]) -> None:
+    """Add a step to every whole scan made from now on. It returns rows with the columns ``FINDING``."""
+    STEPS[name] = step
+
+
+def _pack_step(*packs: str) -> Callable[[WholeScan], DataFrame]:
+    return lambda scan: findings_of(scan.table, packs=packs)
+
+
+def _taint_step(scan: WholeScan) -> DataFrame:
+    hits = scan.table.filter(F.col("grp").isin("taint", "assignments", "sinks"))
+    hits = hits.selectExpr("*", "before AS w", "before AS near", "before AS b", "after AS a")
+    fallback = fallback_of(scan.raw("near_sources"), scan.raw("near_sinks"))
+    return with_fallback(flows_of(hits), fallback).withColumn("category", F.lit("Taint Flow"))
+
+
+register_step("packs", _pack_step(*WIRED))
+register_step("race", _pack_step("race"))
+register_step("service_worker", _pack_step("service_worker"))
+register_step("dependencies", lambda scan: vulnerable_dependencies(versions_of(scan.raw("dependencies"))))
+register_step("taint", _taint_step)
+register_step("modules", lambda scan: graph.findings_of_facts(scan.modules).withColumn("category", F.lit("Module Graph")))
+
+
 def full_scan(df: DataFrame, fast: bool = False) -> DataFrame:
     """Every scanner that a whole scan runs, over normalised texts; ``fast`` keeps the two main packs."""
     if fast:

@@ -64,7 +64,7 @@ def taint_hits(df: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def _seeds(hits: DataFrame, keys) -> DataFrame:
-    statement = f"regexp_extract(w, {rx(t.STATEMENT)}, 0)"
+    statement = "substring_index(substring_index(w, ';', -1), '{', -1)"  # what follows the last of the two
     rows = hits.filter(_one_of(_SOURCE_IDS)).selectExpr(
         *keys, "rule_id AS source_id", f"{_rank(t.SOURCES, 'rule_id')} AS turn", "pos", f"{statement} AS statement"
     )

@@ -206,7 +206,33 @@ add(
 _LEVEL = sinks.SARIF_LEVEL
 _RULES = f"""srules AS (SELECT CAST(dense_rank() OVER (ORDER BY rule_id) - 1 AS INTEGER) AS rule_index, rule_id, category, {_LEVEL} AS level
     FROM (SELECT rule_id, min(category) AS category, arg_min(severity, {RANK}) AS severity FROM findings GROUP BY 1))"""
-add("sarif_rules", lambda spark, sf: sinks.sarif_rules(main_findings(spark, sf)), mixed(MAIN_CTE, _RULES) + " SELECT * FROM srules")
+_TEXTS = "rule_texts(rule_id, text, cwe) AS (VALUES " + ", ".join(f"({sql_text(r.rule_id)}, {sql_text(r.description or r.category)}, {sql_text(r.cwe)})" for r in MAIN) + ")"
+_TEXT_RULES = mixed(MAIN_CTE, _RULES, _TEXTS) + " SELECT rule_index, rule_id, category, level, text, nullif(cwe, '') AS cwe FROM srules JOIN rule_texts USING (rule_id)"
+
+
+def described_findings(spark, sf):
+    return scan_rules(mixed_corpus(spark, sf), MAIN)
+
+
+add("sarif_rules", lambda spark, sf: sinks.sarif_rules(described_findings(spark, sf)), _TEXT_RULES)
+add(
+    "sarif_rule_json",
+    lambda spark, sf: sinks.sarif_rule_json(sinks.sarif_rules(described_findings(spark, sf))),
+    f"""SELECT rule_index, '{{"id":"' || rule_id || '","shortDescription":{{"text":' || to_json(text) || '}},"defaultConfiguration":{{"level":"' || level || '"}}' ||
+    CASE WHEN cwe IS NULL THEN '' ELSE ',"relationships":[{{"target":{{"id":"' || cwe || '","toolComponent":{{"name":"CWE"}}}},"kinds":["superset"]}}]' END || '}}' AS json FROM ({_TEXT_RULES})""",
+)
+add(
+    "report_lines",
+    lambda spark, sf: sinks.report_lines(mixed_corpus(spark, sf), described_findings(spark, sf)),
+    mixed(MAIN_CTE)
+    + f""", plain(rule_id, description, cwe) AS (VALUES {", ".join(f"({sql_text(r.rule_id)}, {sql_text(r.description)}, {sql_text(r.cwe)})" for r in MAIN)}),
+    totals AS (SELECT artifact_id, c.path AS filename, CAST(strlen(src) AS BIGINT) AS size, count(f.rule_id) AS total FROM corpus c LEFT JOIN findings f USING (artifact_id) GROUP BY ALL),
+    numbered AS (SELECT f.*, description, cwe, CAST(row_number() OVER (PARTITION BY artifact_id ORDER BY {RANK}, pos, f.rule_id, value) AS INTEGER) AS no FROM findings f JOIN plain USING (rule_id))
+    SELECT artifact_id, 0 AS section, 0 AS no, '{{"metadata":' || CAST(to_json({{'filename': filename, 'size': size, 'total': total}}) AS VARCHAR) || ',"findings":[' AS line FROM totals
+    UNION ALL SELECT artifact_id, 1, no, CASE WHEN no > 1 THEN ',' ELSE '' END || CAST(to_json({{'rule': rule_id, 'category': category, 'severity': severity, 'value': value, 'context': context,
+      'description': description, 'cwe': cwe, 'pos': pos, 'line': line}}) AS VARCHAR) FROM numbered
+    UNION ALL SELECT artifact_id, 2, 0, '],"total":' || total || '}}' FROM totals""",
+)
 _RESULTS = f"""sresults AS (SELECT artifact_id, path AS uri, rule_id, rule_index, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level,
     f.category || ': ' || substring(value, 1, 200) AS message, line AS start_line, substring(context, 1, 100) AS snippet, pos FROM findings f JOIN srules USING (rule_id))"""
 add("sarif_results", lambda spark, sf: sinks.sarif_results(main_findings(spark, sf)), mixed(MAIN_CTE, _RULES, _RESULTS) + " SELECT * FROM sresults")
@@ -325,7 +351,7 @@ add("stream_scan", _stream_scan, _EVENTS + " SELECT artifact_id, path, rule_id,
 def _stream_dedupe(spark, sf):
     # the path is the event type, so the same text in one type is a duplicate within the horizon
     arts = _events_stream(spark, sf).selectExpr("artifact_id", "kind AS path", "ts", "src", "content_md5")
-    kept = streaming.stream_dedupe(arts, "3650 days").select("path", "content_md5")
+    kept = streaming.stream_dedupe(arts, "1 day").select("path", "content_md5")
     return _drain(spark, kept, kept.schema).groupBy("path", "content_md5").agg(F.count("*").alias("kept"))
 
 

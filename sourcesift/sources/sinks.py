@@ -26,14 +26,59 @@ def scan_metadata(artifacts: DataFrame, findings: DataFrame) -> DataFrame:
     return head.join(totals, "artifact_id", "left").selectExpr("artifact_id", "filename", "size", "coalesce(total, 0L) AS total")
 
 
+def report_lines(artifacts: DataFrame, findings: DataFrame) -> DataFrame:
+    """The lines of one JSON document per artifact: head, findings (most severe first), total.
+
+    ``section`` and ``no`` order the lines. No list of findings is ever built: lines are numbered as they stream by.
+    """
+    heads = scan_metadata(artifacts, findings)
+    order = W.partitionBy("artifact_id").orderBy(F.expr(_RANK), "pos", "rule_id", "value")
+    rows = findings.withColumn("no", F.row_number().over(order)).selectExpr(
+        "artifact_id", "1 AS section", "no",
+        "concat(CASE WHEN no > 1 THEN ',' ELSE '' END, to_json(struct(rule_id AS rule, category, severity, value, context, description, cwe, pos, line))) AS line",
+    )
+    head = heads.selectExpr("artifact_id", "0 AS section", "0 AS no", "concat('{\"metadata\":', to_json(struct(filename, size, total)), ',\"findings\":[') AS line")
+    tail = heads.selectExpr("artifact_id", "2 AS section", "0 AS no", "concat('],\"total\":', total, '}') AS line")
+    return head.unionByName(rows).unionByName(tail)
+
+
+def write_reports(artifacts: DataFrame, findings: DataFrame, target: str) -> None:
+    """One document per artifact, in a folder ``artifact_id=...`` of its own.
+
+    A document is one file, so one task writes it, line by line from an external sort.
+    """
+    lines = report_lines(artifacts, findings).repartition("artifact_id").sortWithinPartitions("artifact_id", "section", "no")
+    lines.select("artifact_id", F.col("line").alias("value")).write.partitionBy("artifact_id").text(target)
+
+
+_RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
+
+
 def sarif_rules(findings: DataFrame) -> DataFrame:
-    """Each rule once, with its index. There are as many rows as rules, whatever the findings."""
+    """Each rule once, with its index, text and weakness. There are as many rows as rules, whatever the findings."""
     rules = findings.groupBy("rule_id").agg(
         F.min("category").alias("category"),
-        F.min(F.struct(F.expr("CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END").alias("r"), "severity")).getField("severity").alias("severity"),
+        F.min(F.struct(F.expr(_RANK).alias("r"), "severity")).getField("severity").alias("severity"),
+        *(F.min(c).alias(c) for c in ("description", "cwe") if c in findings.columns),
     )
+    for c in ("description", "cwe"):
+        if c not in rules.columns:
+            rules = rules.withColumn(c, F.lit(""))
     index = (F.dense_rank().over(W.orderBy("rule_id")) - 1).alias("rule_index")
-    return rules.select(index, "rule_id", "category", F.expr(SARIF_LEVEL).alias("level"))
+    text = F.coalesce(F.nullif("description", F.lit("")), "category").alias("text")
+    return rules.select(index, "rule_id", "category", F.expr(SARIF_LEVEL).alias("level"), text, F.nullif("cwe", F.lit("")).alias("cwe"))
+
+
+def sarif_rule_json(rules: DataFrame) -> DataFrame:
+    """SARIF rule objects as JSON text; a rule with a weakness has a relation to it."""
+    weakness = (
+        "CASE WHEN cwe IS NOT NULL THEN array(struct(struct(cwe AS id, struct('CWE' AS name) AS toolComponent) AS target, "
+        "array('superset') AS kinds)) END"
+    )
+    return rules.selectExpr(
+        "rule_index",
+        f"to_json(struct(rule_id AS id, struct(text) AS shortDescription, struct(level) AS defaultConfiguration, {weakness} AS relationships)) AS json",
+    )
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
