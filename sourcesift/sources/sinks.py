@@ -47,7 +47,8 @@ def write_reports(artifacts: DataFrame, findings: DataFrame, target: str) -> Non
 
     A document is one file, so one task writes it, line by line from an external sort.
     """
-    lines = report_lines(artifacts, findings).repartition("artifact_id").sortWithinPartitions("artifact_id", "section", "no")
+    # by a hash: the parts of the union are each spread by artifact_id already, and a repartition by it is left out
+    lines = report_lines(artifacts, findings).repartition(F.xxhash64("artifact_id")).sortWithinPartitions("artifact_id", "section", "no")
     lines.select("artifact_id", F.col("line").alias("value")).write.partitionBy("artifact_id").text(target)
 
 
