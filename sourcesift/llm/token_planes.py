@@ -38,7 +38,7 @@ PLANES = {"bit": 32, "byte": 4}
 #: Blocks of ids, and ids after which a file is closed (a document is never cut between files).
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 24
 #: A worker keeps the ids of at least so many words met last and at most twice as many. Results do not depend on it.
-KEPT_WORDS = 1 << 19
+KEPT_WORDS = 3 << 17
 
 #: Pre-token patterns, as tokenizer files state them, that match no white space (fixed values).
 SPACELESS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
