@@ -166,6 +166,16 @@ def symbols(spark: SparkSession) -> DataFrame:
     return local_table(spark, rows, "framework string, short string, full_name string")
 
 
+def read_symbols(spark: SparkSession, path: str) -> DataFrame:
+    """A short-name table of ones own (JSON lines or Parquet: framework, short, full_name), beside the default one.
+
+    Its rows come before the defaults of the same framework and short name. Any store that Spark reads will do.
+    """
+    own = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.json(path, "framework string, short string, full_name string")
+    own = own.select("framework", "short", "full_name").dropDuplicates(["framework", "short"])
+    return own.unionByName(symbols(spark).join(own, ["framework", "short"], "left_anti").select("framework", "short", "full_name"))
+
+
 def resolve_module_aliases(df: DataFrame, names: DataFrame, text: str = "src") -> DataFrame:
     """Variables bound to a module id, with the package name; the last binding of a name wins."""
     hits = explode_matches(df, x.ALIAS, text=text)

@@ -263,3 +263,12 @@ def test_empty_configuration_leaves_findings_alone(spark):
     one = spark.sql("SELECT 1L AS artifact_id, 'a' AS path, 'r' AS rule_id, 'c' AS category, 'high' AS severity, 'v' AS value, '' AS context, 0 AS pos, 1 AS line")
     assert apply_rule_config(one.select(*FINDING), {}).count() == 1
     assert apply_rule_config(one, {"suppressions": [{"rule": "r", "file": "*"}]}).count() == 0
+
+
+def test_symbols_of_ones_own(spark, artifacts, tmp_path):
+    (tmp_path / "own.json").write_text('{"framework": "angular", "short": "zz9", "full_name": "own"}\n{"framework": "angular", "short": "Hgh", "full_name": "other"}\n')
+    df = artifacts(a="ncO(1); i.Hgh(2); zz9(x); zz9 (y)")
+    default = {r.full_name: r.uses for r in normalise.symbol_usage(df, normalise.symbols(spark)).collect()}
+    assert default == {"ɵɵprojectionDef": 1, "ɵɵelementContainer": 1}
+    own = {r.full_name: r.uses for r in normalise.symbol_usage(df, normalise.read_symbols(spark, f"{tmp_path}/own.json")).collect()}
+    assert own == {"ɵɵprojectionDef": 1, "other": 1, "own": 2}
