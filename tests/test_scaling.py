@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sourcesift.functions.text import has
 from sourcesift.operators import correlate
 from sourcesift.plans import corpora
+from sourcesift.sources import sinks
 
 
 def test_orders_are_dealt_evenly_whatever_their_files(spark, tmp_path):
@@ -49,3 +50,26 @@ def test_has_is_contains(spark, literal):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.selectExpr(has("t", literal)).collect()]
     assert got == [None if t is None else literal in t for t in texts]
+
+
+def test_report_lines_work_out_findings_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        runs.add(1)
+        return v
+
+    artifacts = spark.createDataFrame([(1, "a.js", "abc"), (2, "b.js", "é"), (None, "c.js", "")], "artifact_id bigint, path string, src string")
+    rows = [(1, "r", "C", "low", "v", "x", "d", "", 3, 1), (1, "q", "C", "critical", "w", "x", "d", None, 9, 2), (None, "r", "C", "low", "v", "x", "d", "", 0, 1)]
+    findings = spark.createDataFrame(
+        rows, "artifact_id bigint, rule_id string, category string, severity string, value string, context string, description string, cwe string, pos int, line int"
+    ).withColumn("value", F.udf(counted)("value"))
+    got = [tuple(r) for r in sinks.report_lines(artifacts, findings).collect()]
+    assert runs.value == len(rows)
+    critical = '{"rule":"q","category":"C","severity":"critical","value":"w","context":"x","description":"d","pos":9,"line":2}'
+    low = ',{"rule":"r","category":"C","severity":"low","value":"v","context":"x","description":"d","cwe":"","pos":3,"line":1}'
+    assert [r for r in sorted(got, key=str) if r[0] == 1] == [
+        (1, 0, 0, '{"metadata":{"filename":"a.js","size":3,"total":2},"findings":['), (1, 1, 1, critical), (1, 1, 2, low), (1, 2, 0, '],"total":2}'),
+    ]
+    assert [r[3] for r in sorted(got, key=str) if r[0] == 2] == ['{"metadata":{"filename":"b.js","size":2,"total":0},"findings":[', '],"total":0}']
+    assert (None, 2, 0, '],"total":0}') in got
