@@ -7,14 +7,18 @@ rows of its grams and adds up overlaps of the pairs in them. Pairs below the bou
 sizes fall away; the rest is verified on whole sets.
 
 The order puts rare grams first: the most frequent ones, counted over all documents, come last. It
-decides how much work is done, never which pairs are found. Equal sets are one row of the matrix. In
-large groups of near copies a first product over neighbours in each column finds enough links to make the
-group one component; the full product then only takes pairs from different components.
+decides how much work is done, never which pairs are found. Equal sets are one row of the matrix.
+
+Each row also has an odd sketch: ``BITS`` bits, each the parity of how many grams of the set fall on it. Two
+sketches differ in no more bits than the sets differ in grams, so a pair whose sketches differ in more than the
+similarity allows is left out before it becomes a row, and none that reaches it is lost. In large groups of near
+copies, rounds in which every set tries its nearest neighbour of another component make the group one component;
+the full product then only takes pairs from different components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +32,12 @@ from sourcesift.llm.storage import connected_components, row_key, stored
 LAST = 1 << 16
 #: A batch reports the grams that it has in at least so many documents.
 LOCAL = 4
-#: Products over neighbours before the full one.
-ROUNDS = 2
+#: Products over neighbours before the full one, and how many rows a row is compared with in each column.
+ROUNDS, BESIDE = 2, 16
+#: Bits of a sketch. It decides how many pairs are verified, never which are found.
+BITS = 512
+#: Columns of at most so many rows are multiplied all at once, longer ones row by row.
+SHORT = 32
 HOT = np.uint64(1 << 62)
 
 
@@ -84,8 +92,19 @@ def _order_keys(grams: np.ndarray, last: np.ndarray, ranks: np.ndarray) -> np.nd
     return key
 
 
+def odd_sketches(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The odd sketch of each row's grams as a row of bytes."""
+    out, bits = np.zeros((len(at) - 1, BITS // 8), np.uint8), (tw.splitmix(grams ^ np.uint64(3)) & np.uint64(BITS - 1)).astype(np.int64)
+    for i in range(0, len(out), 1 << 11):
+        ends = at[i : i + (1 << 11) + 1]
+        place = bits[ends[0] : ends[-1]] + tw.row_of(ends - ends[0]) * BITS
+        odd = np.bincount(place, minlength=(len(ends) - 1) * BITS) & 1
+        out[i : i + (1 << 11)] = np.packbits(odd.astype(bool).reshape(-1, BITS), axis=1)
+    return out
+
+
 def _incidence(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, k1, k2, last_key, first array) per row: set size, set key and the grams of the prefix in order."""
+    """(doc_id, n, k1, k2, last_key, sketch, first array) per row: set size, set key, odd sketch and the grams of the prefix in order."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,13 +123,14 @@ def _incidence(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 pick = order[(np.arange(len(grams)) - np.repeat(at[:-1], n)) < np.repeat(size, n)]
                 ends = np.cumsum(size)
                 end_key = np.where(n > 0, key[pick][np.maximum(ends - 1, 0)] if len(pick) else 0, 0)
-                parts.append((n, k1, k2, end_key, size, grams[pick]))
-            n, k1, k2, end_key, size, first = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in range(6))
+                parts.append((n, k1, k2, end_key, size, grams[pick], odd_sketches(grams, at).ravel()))
+            n, k1, k2, end_key, size, first, bits = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in range(7))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size.astype(np.int64))]), pa.int32()), pa.array(first.astype(np.uint64).view(np.int64)))
             longs = [pa.array(x.astype(np.uint64).view(np.int64)) for x in (k1, k2, end_key)]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), pa.array(n.astype(np.int64)), *longs, lists], names=["doc_id", "th", "n", "k1", "k2", "last_key", "first"])
+            sketch = pa.Array.from_buffers(pa.binary(BITS // 8), len(n), [None, pa.py_buffer(bits.astype(np.uint8))]).cast(pa.binary())
+            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), pa.array(n.astype(np.int64)), *longs, sketch, lists], names=["doc_id", "th", "n", "k1", "k2", "last_key", "sketch", "first"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, n long, k1 long, k2 long, last_key long, first array<long>")
+    return docs.mapInArrow(run, "doc_id long, th long, n long, k1 long, k2 long, last_key long, sketch binary, first array<long>")
 
 
 def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
@@ -124,6 +144,25 @@ def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.nda
     return [x[order] for x in out]
 
 
+def _with_sketches(batches: Iterator[pa.RecordBatch], names: list[str], shuffle: int | None = None) -> list[np.ndarray]:
+    """As ``_columns``, with the sketches as rows of 64-bit numbers at the end; ``shuffle`` orders columns at random instead of by size."""
+    whole = [b for b in batches if b.num_rows]
+    if not whole:
+        return [np.zeros(0, np.int64) for _ in names] + [np.zeros((0, BITS // 64), np.uint64)]
+    table = pa.Table.from_batches(whole)
+    out = [table.column(n).to_numpy() for n in names]
+    bits = np.concatenate([np.frombuffer(c.buffers()[2], np.uint64, len(c) * BITS // 64, np.frombuffer(c.buffers()[1], np.int32)[c.offset].item()) for c in table.column("sketch").cast(pa.binary()).chunks])
+    with np.errstate(over="ignore"):
+        by = out[2] if shuffle is None else tw.splitmix(out[1].view(np.uint64) ^ (out[0].view(np.uint64) * np.uint64(2 * shuffle + 3)))
+    order = np.lexsort((out[1], by, out[0]))
+    return [x[order] for x in out] + [bits.reshape(-1, BITS // 64)[order]]
+
+
+def _room(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """At least 0 where the sketches allow the similarity: what the sizes allow less what the sketches differ in."""
+    return (n + m) * (100 - percent) - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (100 + percent)
+
+
 def _close(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
 
@@ -171,7 +210,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The columns of ``near_duplicate_groups``, th, the hash of the text, and component, a key of the group (null without shingles)."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     rows = stored(_incidence(docs, k, percent))
-    classes = rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th", "last_key", "first")).alias("r"))
+    classes = rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th", "last_key", "sketch", "first")).alias("r"))
     matrix = classes.select(F.explode("r.first").alias("gram"), F.col("k1").alias("rep"), "n", F.col("r.last_key").alias("last_key"), F.size("r.first").cast("long").alias("p"))
 
     def shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,13 +222,30 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     shape = "gram long, rep long, n long, last_key long, p long"
     matrix = stored(matrix.repartition("gram").mapInArrow(shared_columns, shape))
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, rep, n, component = _columns(batches, ["gram", "rep", "n", "component"])
-        if len(gram) > 1:
-            ok = (gram[1:] == gram[:-1]) & (component[1:] != component[:-1]) & _close(n[1:], n[:-1], percent)
-            yield _pair_batch(rep[:-1][ok], rep[1:][ok])
+    def nearest(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Of the rows beside it in a column, the one that each row is most likely to be similar to."""
+            gram, rep, n, component, bits = _with_sketches(batches, ["gram", "rep", "n", "component"], seed)
+            best, other = np.full(len(gram), -1.0), np.zeros(len(gram), np.int64)
+            for step in range(1, min(BESIDE, len(gram) - 1) + 1):
+                i = np.flatnonzero((gram[step:] == gram[:-step]) & (component[step:] != component[:-step]))
+                if not len(i):
+                    continue
+                j = i + step
+                i, j = (x[_close(n[i], n[j], percent)] for x in (i, j))
+                room = _room(n[i], n[j], bits[i], bits[j], percent) / (n[i] + n[j])
+                for x, y in ((i, j), (j, i)):
+                    better = room > best[x]
+                    best[x[better]], other[x[better]] = room[better], rep[y[better]]
+            ok = best >= 0
+            yield pa.record_batch([pa.array(rep[ok]), pa.array(other[ok]), pa.array(best[ok])], names=["a", "b", "room"])
+
+        return run
 
     facts = stored(matrix.groupBy("rep").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.first("last_key").alias("last_key")))
+    sketches = classes.groupBy(F.col("k1").alias("rep")).agg(F.first("r.sketch").alias("sketch"))
+    matrix = stored(matrix.select("gram", "rep", "n").join(sketches, "rep"), matrix)
+
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows of equal doc_id and text, which fall to one task, are one set
         seen: set[int] = set()
@@ -217,40 +273,60 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
         groups = connected_components(links)
         return matrix.join(groups, matrix["rep"] == groups["node"], "left").select(*matrix.columns, F.coalesce("component", "rep").alias("component"))
 
-    # neighbours in few columns are left to the full product below, whatever their similarity
+    # pairs that no round tries are left to the full product below
     current, links, tried = matrix.withColumn("component", F.col("rep")), None, None
-    for _ in range(ROUNDS):
-        first = current.repartition("gram").mapInArrow(neighbours, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-        first = first if tried is None else first.join(tried, ["a", "b"], "left_anti")
-        ends = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
-        best = ends.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", "m.b", "m.c")
-        best = best.join(facts.select(F.col("rep").alias("a"), "p"), "a").filter("c * 4 >= p")
-        best = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    for seed in range(ROUNDS):
+        first = current.repartition("gram").mapInArrow(nearest(seed), "a long, b long, room double").groupBy("a", "b").agg(F.max("room").alias("room"))
+        first = first if tried is None else first.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(tried.select(F.col("a").alias("lo"), F.col("b").alias("hi")), ["lo", "hi"], "left_anti")
+        best = first.groupBy("a").agg(F.max(F.struct("room", "b")).alias("m"))
+        best = stored(best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct())
         new = verified(best)
         links, tried = (new, best) if links is None else (links.unionByName(new), tried.unionByName(best))
         current = coloured(links)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, rep, n, component = _columns(batches, ["gram", "rep", "n", "component"])
+        gram, rep, n, component, bits = _with_sketches(batches, ["gram", "rep", "n", "component"])
         cuts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
+        ends = np.append(cuts[1:], len(gram))
         held, size = [], 0
-        for i, j in zip(cuts, np.append(cuts[1:], len(gram)), strict=True):
-            r, m, c = rep[i:j], n[i:j], component[i:j]
-            if (c == c[0]).all():
-                continue
-            # sizes ascend within a column: row x meets the rows y > x of at most n / t grams
-            upto = np.searchsorted(m * percent, m * 100, "right")
-            for x in range(len(r) - 1):
-                y = np.arange(x + 1, upto[x])
-                y = y[c[y] != c[x]]
-                if len(y):
-                    held.append((np.full(len(y), r[x]), r[y]))
-                    size += len(y)
-                    if size > 1 << 18:
-                        yield _pair_batch(*(np.concatenate(z) for z in zip(*held, strict=True)))
-                        held, size = [], 0
+
+        def hold(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            x, y = (z[component[x] != component[y]] for z in (x, y))
+            x, y = (z[_room(n[x], n[y], bits[x], bits[y], percent) >= 0] for z in (x, y))
+            held.append((rep[x], rep[y]))
+            size += len(x)
+            if size > 1 << 18:
+                yield rest()
+
+        def rest() -> pa.RecordBatch:
+            nonlocal held, size
+            out, held, size = _pair_batch(*(np.concatenate(z) for z in zip(*held, strict=True))), [], 0
+            return out
+
+        long = ends - cuts > SHORT
+        end_of = np.repeat(np.where(long, 0, ends), ends - cuts)
+        for step in range(1, min(SHORT, len(gram))):
+            x = np.flatnonzero(end_of > np.arange(len(gram)) + step)
+            if not len(x):
+                break
+            x = x[_close(n[x], n[x + step], percent)]
+            for i in range(0, len(x), 1 << 18):
+                yield from hold(x[i : i + (1 << 18)], x[i : i + (1 << 18)] + step)
+        for i, j in zip(cuts[long].tolist(), ends[long].tolist(), strict=True):
+            m, c = n[i:j], component[i:j]
+            names, count = np.unique(c, return_counts=True)
+            few = c != names[count.argmax()]  # rows outside the column's largest component meet all, those inside only them
+            # sizes ascend within a column: row x meets rows of at least n t and at most n / t grams
+            low, high = np.searchsorted(m * 100, m * percent), np.searchsorted(m * percent, m * 100, "right")
+            for x in np.flatnonzero(few).tolist():
+                y = np.arange(low[x], high[x])
+                y = y[~few[y] | (y > x)] + i
+                for at in range(0, len(y), 1 << 18):
+                    part = y[at : at + (1 << 18)]
+                    yield from hold(np.full(len(part), x + i), part)
         if held:
-            yield _pair_batch(*(np.concatenate(z) for z in zip(*held, strict=True)))
+            yield rest()
 
     overlaps = current.repartition("gram").mapInArrow(products, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
     for side in "ab":

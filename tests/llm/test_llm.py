@@ -124,6 +124,41 @@ def test_ngram_jaccard(docs):
     assert ngram_jaccard.near_duplicate_groups(docs(*rows).limit(0)).count() == 0
 
 
+def test_ngram_jaccard_leaves_out_pairs_below_the_threshold(docs, monkeypatch):
+    # copies with one word changed, in one of 16 places: in different ones 69 of 85 shingles are common, just too few
+    words = [f"n{j}" for j in range(80)]
+    rows = [(i, " ".join(words[:j] + [f"other{i}"] + words[j + 1 :])) for i, j in enumerate([*range(8, 72, 4)] * 4)]
+    pairs, stored = [], ngram_jaccard.stored
+
+    def counted(df, *done):
+        out = stored(df, *done)
+        pairs.extend([out.count()] if out.columns == ["a", "b"] else [])
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "stored", counted)
+    got = ngram_jaccard.near_duplicate_groups(docs(*rows), 4, 85).collect()
+    assert Counter(r.component_id for r in got) == {i: 4 for i in range(16)}
+    assert sum(pairs) < 6 * len(rows)  # of 2,016
+
+
+def test_odd_sketches_differ_no_more_than_their_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 3000, n).astype(np.uint64)) for n in (0, 1, 40, 400, 2500, 2500)] * 700
+    at = np.cumsum([0] + [len(x) for x in sets])
+    bits = ngram_jaccard.odd_sketches(np.concatenate(sets), at)
+    for i, j in itertools.combinations(list(range(6)) + [4198, 4199], 2):
+        differ = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+        assert differ <= len(np.setxor1d(sets[i], sets[j]))
+    assert (bits[:6] == bits[4194:]).all() and (bits[2] != bits[3]).any()
+
+
+def test_ngram_jaccard_of_long_columns(docs, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "SHORT", 2)
+    monkeypatch.setattr(ngram_jaccard, "ROUNDS", 1)
+    monkeypatch.setattr(ngram_jaccard, "BESIDE", 1)
+    test_ngram_jaccard(docs)
+
+
 def test_ngram_jaccard_keeps_null_ids(docs):
     near = [" ".join(f"n{j}" if j != i else "other" for j in range(60)) for i in (0, 59)]
     lone = " ".join(f"l{j}" for j in range(30))
