@@ -17,9 +17,9 @@ import json
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -157,17 +157,24 @@ class _Pool:
 
     def __init__(self) -> None:
         self.slot: dict[str, int] = {}
-        self.ids, self.ends = array("I"), array("Q", [0])
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def put(self, word: str, ids: list[int] | array) -> int:
-        self.slot[word] = at = len(self.ends) - 1
-        self.ids.extend(ids)
-        self.ends.append(len(self.ids))
-        return at
+    def find(self, words: list[str]) -> np.ndarray:
+        """The slot of each word, -1 where it is not here."""
+        return np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
 
-    def get(self, word: str) -> array:
-        at = self.slot[word]
-        return self.ids[self.ends[at] : self.ends[at + 1]]
+    def put(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """New slots of words that are not here, from their ids end to end."""
+        slots = np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(words))
+        self.slot.update(zip(words, slots.tolist(), strict=True))
+        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        return slots
+
+    def get(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the slots end to end, and how many each has."""
+        first, sizes = self.ends[slots], self.ends[slots + 1] - self.ends[slots]
+        done = np.cumsum(sizes)
+        return self.ids[np.arange(int(sizes.sum())) + np.repeat(first - done + sizes, sizes)], sizes
 
 
 @lru_cache(maxsize=2)
@@ -220,19 +227,17 @@ def _encoder(path: str) -> Callable[[pa.Array], Iterator[np.ndarray]]:
             distinct = coded.dictionary.to_pylist()
             if len(young.slot) > KEPT_WORDS:
                 young, old = _Pool(), young
-            slots = [young.slot.get(w, -1) for w in distinct]
-            new = [i for i, at_slot in enumerate(slots) if at_slot < 0]
-            again = [i for i in new if distinct[i] in old.slot]
-            for i in again:
-                slots[i] = young.put(distinct[i], old.get(distinct[i]))
-            fresh = [i for i in new if slots[i] < 0]
-            for i, ids in zip(fresh, encode([distinct[i] for i in fresh]), strict=True):
-                slots[i] = young.put(distinct[i], ids)
-            slot = np.array(slots, np.int64)[coded.indices.to_numpy()]
-            pool, stop = np.array(young.ids, np.uint32), np.array(young.ends, np.int64)
-            first, size = stop[slot], stop[slot + 1] - stop[slot]
+            slots = young.find(distinct)
+            new = np.flatnonzero(slots < 0)
+            before = old.find([distinct[i] for i in new.tolist()])
+            again, fresh = new[before >= 0], new[before < 0]
+            slots[again] = young.put([distinct[i] for i in again.tolist()], *old.get(before[before >= 0]))
+            missing = [distinct[i] for i in fresh.tolist()]
+            found = list(encode(missing))
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            slots[fresh] = young.put(missing, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+            flat, size = young.get(slots[coded.indices.to_numpy()])
             done = np.concatenate([[0], np.cumsum(size)])
-            flat = pool[np.arange(done[-1]) + np.repeat(first - done[:-1], size)]
             for a, z in zip(done[words_at[:-1]], done[words_at[1:]], strict=True):
                 yield flat[a:z]
 

@@ -251,3 +251,13 @@ def test_pieces_are_encoded_as_whole_texts_are():
         texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000)] + [None]
         for text, ids in zip(texts, encode(pa.array(texts)), strict=True):
             assert ids.tolist() == whole.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_words_go_to_the_pool_in_bulk():
+    pool = token_planes._Pool()
+    assert pool.put([], np.zeros(0, np.uint32), np.zeros(0, np.int64)).tolist() == []
+    assert pool.put(["a", "", "b"], np.array([5, 6, 7], np.uint32), np.array([2, 0, 1])).tolist() == [0, 1, 2]
+    assert pool.put(["c"], np.array([8, 9], np.uint32), np.array([2])).tolist() == [3]
+    assert pool.find(["b", "x", "c", ""]).tolist() == [2, -1, 3, 1]
+    ids, sizes = pool.get(np.array([3, 1, 0, 3]))
+    assert ids.tolist() == [8, 9, 5, 6, 8, 9] and sizes.tolist() == [2, 0, 2, 2]
