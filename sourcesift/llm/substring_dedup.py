@@ -20,6 +20,8 @@ from sourcesift.llm import textwords as tw
 from sourcesift.llm.anchors import Units, candidate_windows, keyed, repeated_windows, window_rows
 from sourcesift.llm.storage import stored
 
+#: Windows are counted in so many parts of their hashes, one after the other, so that not all are shuffled to disk at once.
+PARTS = 6
 FACTORS = "array<struct<start:int,length:int,ref_doc:long>>"
 
 
@@ -48,8 +50,12 @@ def factor_documents(docs: DataFrame, window: int = 35) -> DataFrame:
     """(id, th, factors) of each text with factors of at least ``window`` words; th hashes the text."""
     docs, kind = keyed(docs), Units(True, window, min(6, window))
     known, left = candidate_windows(docs, kind)
-    found = repeated_windows(stored(window_rows(left, docs, kind)))
-    runs = known.unionByName(found).groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi", "ref_doc")).alias("at"))
+    windows = stored(window_rows(left, docs, kind))
+    runs = known
+    for part in range(PARTS):  # equal windows are in one part; a part's shuffle files go before the next begins
+        some = windows.filter(F.pmod("w1", F.lit(PARTS)) == part)
+        runs = runs.unionByName(stored(repeated_windows(some), *[windows] * (part == PARTS - 1)))
+    runs = runs.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi", "ref_doc")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

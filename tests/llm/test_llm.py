@@ -79,6 +79,21 @@ def test_substring_dedup(docs):
     assert substring_dedup.dedup_words(docs(*rows).limit(0)).count() == 0
 
 
+def test_windows_are_counted_in_parts(docs, monkeypatch):
+    copies = [" ".join(f"w{j}" for j in range(i, i + 90)) for i in range(0, 40, 5)]  # windows shared in part
+    parts, stored = [], substring_dedup.stored
+
+    def counted(df, *done):
+        out = stored(df, *done)
+        parts.extend([out.count()] if "lo" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(substring_dedup, "stored", counted)
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup_words(docs(*enumerate(copies))).collect()}
+    assert got == {0: 85, 7: 85} | dict.fromkeys(range(1, 7), 90)
+    assert len(parts) == substring_dedup.PARTS and max(parts) < sum(parts)
+
+
 def test_suffix_dedup(docs, monkeypatch):
     rows = corpus(5)
     seqs = [(t or "").encode() for _, t in rows]
