@@ -20,6 +20,8 @@ from sourcesift.llm import textwords as tw
 from sourcesift.llm.storage import stored
 
 _CONTEXT = tw.Powers(0xC2B2AE3D27D4EB4F)
+#: Powers of the inverse base: they take a context's place in its chunk out of its hash.
+_BACK = tw.Powers(pow(int(_CONTEXT.base), -1, 1 << 64))
 
 
 @dataclass(frozen=True)
@@ -73,14 +75,17 @@ def find_anchors(units: np.ndarray, at: np.ndarray, kind: Units) -> tuple[np.nda
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
     lo, hi, a = start[first], start[last], place[first]
-    with np.errstate(over="ignore"):
-        power = _CONTEXT.upto(len(units) + 1)
-        sums = np.append(np.uint64(0), np.cumsum(units * power[:-1], dtype=np.uint64))
-        context = (sums[hi + width] - sums[lo]) * power[len(units) - lo]
-        context = tw.splitmix(context + ((hi - lo).astype(np.uint64) << np.uint64(32)) + (a - lo).astype(np.uint64))
     row = rows[lo]
     base = at[row]
-    return row, a - base, lo - base, hi - base, grams[a], context
+    return row, a - base, lo - base, hi - base, grams[a], context_hashes(units, a, lo, hi, width)
+
+
+def context_hashes(units: np.ndarray, a: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of contexts: their units and where in them the anchor is, wherever in whichever chunk they are."""
+    with np.errstate(over="ignore"):
+        sums = np.append(np.uint64(0), np.cumsum(units * _CONTEXT.upto(len(units)), dtype=np.uint64))
+        context = (sums[hi + width] - sums[lo]) * _BACK.upto(len(units) + 1)[lo]
+        return tw.splitmix(context + ((hi - lo).astype(np.uint64) << np.uint64(32)) + (a - lo).astype(np.uint64))
 
 
 def candidate_windows(docs: DataFrame, kind: Units) -> tuple[DataFrame, DataFrame]:
@@ -102,17 +107,26 @@ def candidate_windows(docs: DataFrame, kind: Units) -> tuple[DataFrame, DataFram
 
     every = stored(docs.select("id", "th", "text").mapInArrow(run, "id long, th long, key long, context long, a int, lo int, hi int"))
     again = every.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
-    every = stored(every.join(again, "key"), every)
-    contexts = every.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "lo")).alias("one"))
+    every = stored(every.join(again, "key").withColumn("weight", F.lit(1)), every)
+    return judged(every, every)
+
+
+def judged(every: DataFrame, *done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(known, open) of contexts (id, th, key, context, a, lo, hi, weight, and any others, which open keeps).
+
+    A context of weight 2 is known already and stands for its equals. The stored tables ``done`` are removed.
+    """
+    more = [c for c in every.columns if c not in ("id", "th", "key", "context", "a", "lo", "hi", "weight")]
+    contexts = every.groupBy("key", "context").agg(F.sum("weight").alias("n"), F.min(F.struct("id", "th", "lo")).alias("one"))
     contexts = stored(contexts)
     kinds = contexts.groupBy("key").agg(F.count("*").alias("others"))
     marked = every.join(contexts.join(kinds, "key"), ["key", "context"])
     mine = F.struct("id", "th", "lo").eqNullSafe(F.col("one"))
-    marked = marked.select("id", "th", "key", "a", "lo", "hi", "n", "others", mine.alias("mine"), F.col("one.id").alias("ref_doc"))
-    marked = stored(marked, every, contexts)
-    known = marked.filter("n > 1").select("id", "th", "lo", "hi", "ref_doc")
-    left = marked.filter("others > 1 AND (n = 1 OR mine)").select("id", "th", "key", "a", "lo", "hi", F.least("n", F.lit(2)).cast("int").alias("weight"), "others")
-    return known, left
+    marked = marked.select("id", "th", "key", "a", "lo", "hi", "weight", *more, "n", "others", mine.alias("mine"), F.col("one.id").alias("ref_doc"))
+    marked = stored(marked, *done, contexts)
+    known = marked.filter("n > 1 AND weight = 1").select("id", "th", "lo", "hi", "ref_doc")
+    left = marked.filter("others > 1 AND (n = 1 OR mine)")
+    return known, left.select("id", "th", "key", "a", "lo", "hi", F.least("n", F.lit(2)).cast("int").alias("weight"), "others", *more)
 
 
 def with_texts(places: DataFrame, docs: DataFrame, fields: list[str]) -> DataFrame:

@@ -3,7 +3,8 @@
 Suffixes are sorted by a mergesort whose comparisons find the common extension of two suffixes by binary
 search over prefix polynomial hashes. The common prefixes of neighbours are then verified byte by byte. Only
 suffixes at anchors (see ``anchors``) that occur again in another context are sorted, forwards and, for what
-stands before the anchor, backwards; the two orders together tell which windows around it are equal.
+stands before the anchor, backwards; the two orders together tell which windows around it are equal. An anchor
+with too many contexts for one task is first told apart by longer grams around it (see ``halved``).
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourcesift.llm import textwords as tw
-from sourcesift.llm.anchors import Units, candidate_windows, keyed, repeated_windows, window_rows, with_texts
+from sourcesift.llm.anchors import Units, candidate_windows, context_hashes, judged, keyed, with_texts
 from sourcesift.llm.storage import stored
 
-#: Anchors with more different contexts are not sorted in one task; their windows are counted by hash, split over all tasks.
+#: Anchors with more different contexts are not sorted in one task, but given longer grams, which splits them over all tasks.
 SORTED = 1024
 _POWER = tw.Powers(0x9FB21C651E98DF25)
 
@@ -132,12 +133,8 @@ def repeated_starts(key: np.ndarray, data: np.ndarray, at: np.ndarray, left: np.
     return out
 
 
-def repeated_spans(docs: DataFrame, window: int = 200, gram: int = 32) -> DataFrame:
-    """(id, th, lo, hi): runs of starts of ``window``-byte strings that start anywhere else as well."""
-    kind = Units(False, window, gram)
-    known, left = candidate_windows(docs, kind)
-    counted = repeated_windows(window_rows(left.filter(f"others > {SORTED}"), docs, kind))
-    rich = with_texts(left.filter(f"others <= {SORTED}"), docs, ["key", "a", "lo", "hi", "weight"])
+def cut_pieces(rich: DataFrame, window: int) -> DataFrame:
+    """A row per place in texts with their places: the bytes of its context beside it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +149,54 @@ def repeated_spans(docs: DataFrame, window: int = 200, gram: int = 32) -> DataFr
             take = pa.array(row)
             yield pa.record_batch([batch.column("id").take(take), batch.column("th").take(take), *[flat.field(f) for f in ("key", "a", "lo", "hi", "weight")], pieces], names=["id", "th", "key", "a", "lo", "hi", "weight", "piece"])
 
-    pieces = rich.mapInArrow(cut, "id long, th long, key long, a int, lo int, hi int, weight int, piece binary")
+    return rich.mapInArrow(cut, "id long, th long, key long, a int, lo int, hi int, weight int, piece binary")
+
+
+def halved(pieces: DataFrame, window: int, gram: int) -> DataFrame:
+    """The contexts of anchors of ``gram`` bytes as contexts of anchors of ``gram + step``, step being half of what a window has besides.
+
+    A window holds either the ``step`` bytes before its anchor or those behind it, and equal windows the same ones. So
+    each context is cut in two at most, whose keys are the longer grams. Most that is not repeated is then alone with
+    its key, and what is repeated has whole contexts that are equal.
+    """
+    step = (window - gram + 1) // 2
+
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = tw.text_buffer(batch.column("piece"))
+            a, lo, hi = (batch.column(c).to_numpy() for c in ("a", "lo", "hi"))
+            before, behind = np.flatnonzero(lo <= a - step), np.flatnonzero(hi > a - step)
+            row = np.append(before, behind)
+            first, last = np.append(lo[before], np.maximum(lo, a - step + 1)[behind]), np.append(np.minimum(hi, a - step)[before], hi[behind])
+            anchor = np.append(a[before] - step, a[behind])
+            units, base = tw.BYTE_CODE[data], at[row] - lo[row]
+            key = tw.gram_hashes(units, gram + step)[base + anchor]
+            context = context_hashes(units, base + anchor, base + first, base + last, window)
+            raw, take = data.tobytes(), pa.array(row)
+            some = pa.array([raw[i:j] for i, j in zip((base + first).tolist(), (base + last + window).tolist(), strict=True)], pa.binary())
+            yield pa.record_batch(
+                [*[batch.column(c).take(take) for c in ("id", "th")], pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (anchor, first, last)], batch.column("weight").take(take), some],
+                names=["id", "th", "key", "context", "a", "lo", "hi", "weight", "piece"],
+            )
+
+    return pieces.mapInArrow(halve, "id long, th long, key long, context long, a int, lo int, hi int, weight int, piece binary")
+
+
+def repeated_spans(docs: DataFrame, window: int = 200, gram: int = 32) -> DataFrame:
+    """(id, th, lo, hi): runs of starts of ``window``-byte strings that start anywhere else as well."""
+    known, left = candidate_windows(docs, Units(False, window, gram))
+    fields = ["key", "a", "lo", "hi", "weight"]
+    spans = known.select("id", "th", "lo", "hi")
+    pieces = cut_pieces(with_texts(left.filter(f"others <= {SORTED}"), docs, fields), window)
+    # rows of equal key and text bring the same places
+    many = stored(cut_pieces(with_texts(left.filter(f"others > {SORTED}"), docs, fields), window).dropDuplicates(["id", "th", "lo"]))
+    while gram < window and not many.isEmpty():
+        halves = stored(halved(many, window, gram), many)
+        gram += (window - gram + 1) // 2
+        known, left = judged(halves, halves)
+        spans = spans.unionByName(known.select("id", "th", "lo", "hi"))
+        pieces = pieces.unionByName(left.filter(f"others <= {SORTED}").select(pieces.columns))
+        many = stored(left.filter(f"others > {SORTED}").select(pieces.columns))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = [b for b in batches if b.num_rows]
@@ -181,7 +225,7 @@ def repeated_spans(docs: DataFrame, window: int = 200, gram: int = 32) -> DataFr
         )
 
     found = pieces.repartition("key").mapInArrow(sort, "id long, th long, lo int, hi int")
-    return known.select("id", "th", "lo", "hi").unionByName(found).unionByName(counted.select("id", "th", "lo", "hi"))
+    return spans.unionByName(found)
 
 
 def dedup_bytes(docs: DataFrame, window: int = 200) -> DataFrame:

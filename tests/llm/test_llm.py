@@ -109,6 +109,33 @@ def test_suffix_dedup(docs, monkeypatch):
         assert Counter(tuple(r) for r in suffix_dedup.dedup_bytes(docs(*rows)).drop("kept").collect()) == expected
 
 
+def test_contexts_hash_alike_in_every_chunk():
+    rng = np.random.default_rng(2)
+    first, text = rng.integers(97, 123, 777).astype(np.uint8), rng.integers(97, 123, 600).astype(np.uint8)
+    kind = anchors.Units(False, 200, 32)
+
+    def contexts(*parts):
+        row, *_, context = anchors.find_anchors(*kind.read(np.concatenate(parts), np.cumsum([0, *map(len, parts)])), kind)
+        return context[row == len(parts) - 1].tolist()
+
+    assert contexts(text) == contexts(first, text)
+
+
+def test_anchors_with_many_contexts_make_no_row_per_window(docs, monkeypatch):
+    rng = np.random.default_rng(3)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    common = letters(420)
+    rows = [(i, letters(150) + common + letters(150)) for i in range(60)]
+    monkeypatch.setattr(suffix_dedup, "SORTED", 8)
+    spans = suffix_dedup.repeated_spans(anchors.keyed(docs(*rows))).collect()
+    starts = {i: set() for i, _ in rows}
+    for r in spans:
+        starts[r.id].update(range(r.lo, r.hi + 1))
+    counts = Counter(t[i : i + 200] for _, t in rows for i in range(len(t) - 199))
+    assert starts == {i: {s for s in range(len(t) - 199) if counts[t[s : s + 200]] > 1} for i, t in rows}
+    assert len(spans) < 60 * 20  # windows at the edges of the passage: over 60 * 60
+
+
 def test_suffix_sort_is_a_sort():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
