@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sourcesift.functions.text import has
 from sourcesift.operators import correlate
+from sourcesift.operators.matching import order_findings
 from sourcesift.plans import corpora
 from sourcesift.sources import sinks
 
@@ -73,3 +74,23 @@ def test_report_lines_work_out_findings_once(spark):
     ]
     assert [r[3] for r in sorted(got, key=str) if r[0] == 2] == ['{"metadata":{"filename":"b.js","size":2,"total":0},"findings":[', '],"total":0}']
     assert (None, 2, 0, '],"total":0}') in got
+
+
+@pytest.fixture
+def counted(spark):
+    """A column that counts how often it is worked out, and the count."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def count(v):
+        runs.add(1)
+        return v
+
+    return F.udf(count), runs
+
+
+def test_order_findings_works_them_out_once(spark, counted):
+    count, runs = counted
+    rows = [(None, "r", "low", 3), (2, "r", "high", 3), (2, "q", "high", 3), (1, "r", "critical", 9), (1, "r", "critical", 9), (1, "r", "odd", None)]
+    findings = spark.createDataFrame(rows, "artifact_id bigint, rule_id string, severity string, pos int").withColumn("rule_id", count("rule_id"))
+    got = [tuple(r) for r in order_findings(findings).collect()]
+    assert got == [rows[5], rows[3], rows[4], rows[2], rows[1], rows[0]] and runs.value == len(rows)
