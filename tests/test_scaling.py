@@ -94,3 +94,14 @@ def test_order_findings_works_them_out_once(spark, counted):
     findings = spark.createDataFrame(rows, "artifact_id bigint, rule_id string, severity string, pos int").withColumn("rule_id", count("rule_id"))
     got = [tuple(r) for r in order_findings(findings).collect()]
     assert got == [rows[5], rows[3], rows[4], rows[2], rows[1], rows[0]] and runs.value == len(rows)
+
+
+def test_enclosing_functions_works_findings_out_once(spark, counted):
+    count, runs = counted
+    findings = spark.createDataFrame([(1, "r", 90), (1, "q", 90), (2, "r", 5), (None, "r", 5)], "artifact_id bigint, rule_id string, pos int")
+    starts = spark.createDataFrame(
+        [(1, 60, 70, "arrow", "b", "on", 2), (2, 0, 3, "function", "a", None, 1), (None, 0, 3, "function", "a", None, 1)],
+        "artifact_id bigint, r_pos int, r_end int, kind string, name string, caller string, r_line int",
+    )
+    rows = {(r.artifact_id, r.rule_id, r.name) for r in correlate.enclosing_functions(findings.withColumn("rule_id", count("rule_id")), starts).collect()}
+    assert rows == {(1, "r", "b"), (1, "q", "b"), (2, "r", "a")} and runs.value == 4
