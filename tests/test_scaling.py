@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourcesift.functions.text import has
-from sourcesift.operators import correlate
+from sourcesift.operators import correlate, graph
 from sourcesift.operators.matching import order_findings
 from sourcesift.plans import corpora
 from sourcesift.sources import sinks
@@ -105,3 +105,16 @@ def test_enclosing_functions_works_findings_out_once(spark, counted):
     )
     rows = {(r.artifact_id, r.rule_id, r.name) for r in correlate.enclosing_functions(findings.withColumn("rule_id", count("rule_id")), starts).collect()}
     assert rows == {(1, "r", "b"), (1, "q", "b"), (2, "r", "a")} and runs.value == 4
+
+
+def test_chunk_findings_work_modules_out_once(spark, counted):
+    count, runs = counted
+    bodies = ["".join(f"d({i});" for i in range(30)), "d(1);" * 60, "nothing"]
+    rows = [(1, "webpack5", "main", str(i), f"m{i}", body) for i, body in enumerate(bodies)] + [(None, "webpack4", "c", "7", "admin", "")]
+    modules = spark.createDataFrame(rows, "artifact_id bigint, format string, chunk string, module_id string, name string, module_src string")
+    got = {(r.artifact_id, r.rule_id, r.value) for r in graph.chunk_findings(modules.withColumn("module_src", count("module_src"))).collect()}
+    assert got == {
+        (1, "chunk-hub", "Hub module: m0 (30 deps)"), (1, "chunk-hot-module", "Hot module: m1 (61 refs)"), (None, "chunk-admin-module", "Admin logic in chunk c: admin"),
+        (1, "chunk-format", "Webpack webpack5: 3 modules"), (None, "chunk-format", "Webpack webpack4: 1 modules"),
+    }
+    assert runs.value == len(rows)
