@@ -1,12 +1,14 @@
 """Work per task and per plan: how inputs are dealt, how often a plan repeats itself."""
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from sourcesift.functions.text import has
 from sourcesift.operators import correlate, graph
 from sourcesift.operators.matching import order_findings
 from sourcesift.plans import corpora
+from sourcesift.plans.queries import QUERIES
 from sourcesift.sources import sinks
 
 
@@ -118,3 +120,8 @@ def test_chunk_findings_work_modules_out_once(spark, counted):
         (1, "chunk-format", "Webpack webpack5: 3 modules"), (None, "chunk-format", "Webpack webpack4: 1 modules"),
     }
     assert runs.value == len(rows)
+
+
+def test_suppressions_are_found_once(spark):
+    plan = QUERIES["suppress_findings"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and plan.count("Join LeftAnti") == 2
